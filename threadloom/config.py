@@ -16,6 +16,7 @@ class Config:
     search_mode: str = "two_stage"
     use_topics: bool = True
     topic_weight: float = 0.3
+    topic_min_similarity: float = 0.5
     l2_top_k: int = 5
     chunk_top_k: int = 50
     min_cluster_size: int = 2

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions.text import escape_html, render_head, render_html, render_msg_id
@@ -31,7 +32,7 @@ def cut_text(text: str, room: int) -> list[str]:
     return pieces
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for text, room in parts:
         yield pd.Series([cut_text(t, int(r)) for t, r in zip(text, room)])

@@ -167,8 +167,8 @@ def retrieve(
     hits = search(queries, chunks, topics_l2, k, cfg, **kw)
     if cfg.use_topics if use_topics is None else use_topics:
         from_topics = topic_hits(
-            similar_topics(queries, topics_l1, fixed.TOPIC_L1_WIDTH, **kw),
-            similar_topics(queries, topics_l2, fixed.TOPIC_L2_WIDTH, **kw),
+            similar_topics(queries, topics_l1, fixed.TOPIC_L1_WIDTH, cfg.topic_min_similarity, **kw),
+            similar_topics(queries, topics_l2, fixed.TOPIC_L2_WIDTH, cfg.topic_min_similarity, **kw),
             chunks,
         )
         merged = merge_hits(hits, from_topics, cfg.topic_weight)
