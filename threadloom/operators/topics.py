@@ -126,7 +126,11 @@ def topic_tree(topics_l1: DataFrame, topics_l2: DataFrame) -> DataFrame:
 
 def representatives(topics_l2: DataFrame, topics_l1: DataFrame, chunks: DataFrame) -> DataFrame:
     """Texts that stand for a super-topic: of its five most central topics, the five most
-    central chunks each; short and repeated texts are dropped after that limit."""
+    central chunks each; short and repeated texts are dropped after that limit.
+
+    Similarities are ranked to twelve places: two topics are always equally far from their
+    own mean, and summation order must not decide between them.
+    """
     by_l1 = Window.partitionBy("l2_id").orderBy(F.desc("l1_similarity"), "l1_id")
     by_chunk = Window.partitionBy("l2_id", "l1_id").orderBy(F.desc("similarity"), "chunk_id")
     l2 = topics_l2.select(F.col("topic_id").alias("l2_id"), F.col("center_vec").alias("_c2"))
@@ -135,7 +139,7 @@ def representatives(topics_l2: DataFrame, topics_l1: DataFrame, chunks: DataFram
     ).filter(F.col("_c1").isNotNull())
     central = (
         l1.join(l2, "l2_id")
-        .withColumn("l1_similarity", cosine(F.col("_c2"), F.col("_c1")))
+        .withColumn("l1_similarity", F.round(cosine(F.col("_c2"), F.col("_c1")), 12))
         .withColumn("l1_rank", F.row_number().over(by_l1))
         .filter(F.col("l1_rank") <= fixed.MAX_L1_PER_L2)
         .select("l2_id", "l1_id", "_c1", "l1_rank")
@@ -144,7 +148,7 @@ def representatives(topics_l2: DataFrame, topics_l1: DataFrame, chunks: DataFram
         chunks.filter(F.col("embedding").isNotNull())
         .select("chunk_id", F.col("topic_l1_id").alias("l1_id"), "embedding", "text")
         .join(central, "l1_id")
-        .withColumn("similarity", cosine(F.col("_c1"), F.col("embedding")))
+        .withColumn("similarity", F.round(cosine(F.col("_c1"), F.col("embedding")), 12))
         .withColumn("chunk_rank", F.row_number().over(by_chunk))
         .filter(F.col("chunk_rank") <= fixed.MAX_CHUNKS_PER_L1)
         .select("l2_id", "l1_id", "l1_rank", "chunk_rank", "chunk_id", "text")

@@ -1,0 +1,589 @@
+"""Chunking, history, counters, joins, audits, index tables and snapshots over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixed
+from ..config import Config
+from ..functions import embed
+from ..functions.text import token_count
+from ..functions.vectors import rounded
+from ..operators import audit, chunking, history, hydrate, mutate, search
+from ..sources import dumps, index
+from . import bindings as b
+from .catalog import query
+from .text_queries import ACCESS_SQL, access_events
+
+# --- chunking ----------------------------------------------------------------------
+
+SMALL = Config(chunk_token_min=150, chunk_token_max=300, chunk_overlap_ratio=0.5)
+
+_LINES = """lines AS (
+  SELECT chat_id, msg_id, ts, from_id, line, length(line) // 4 AS tok, row_number() OVER (PARTITION BY chat_id ORDER BY ts, msg_id) AS n
+  FROM (SELECT *, '[date: ' || strftime(ts, '%Y-%m-%d %H:%M') || '] [user: ' || from_id || '] ' || text AS line FROM messages)),
+fold AS (
+  SELECT chat_id, n, tok AS cur, n AS start FROM lines WHERE n = 1
+  UNION ALL
+  SELECT l.chat_id, l.n, CASE WHEN f.cur + l.tok > 300 THEN l.tok ELSE f.cur + l.tok END, CASE WHEN f.cur + l.tok > 300 THEN l.n ELSE f.start END
+  FROM fold f JOIN lines l ON l.chat_id = f.chat_id AND l.n = f.n + 1)"""
+
+_CHUNKED = _LINES + """,
+starts AS (SELECT DISTINCT chat_id, start FROM fold),
+back AS (
+  SELECT s.chat_id, s.start, l.n, sum(l.tok) OVER (PARTITION BY s.chat_id, s.start ORDER BY l.n DESC) AS used
+  FROM starts s JOIN lines l ON l.chat_id = s.chat_id AND l.n < s.start),
+members AS (
+  SELECT chat_id, start, n FROM fold UNION ALL SELECT chat_id, start, n FROM back WHERE used <= 150),
+sized AS (
+  SELECT chat_id, start, sum(tok) + length('snippet: ' || strftime(min(ts), '%Y-%m-%d %H:%M') || '–' || strftime(max(ts), '%Y-%m-%d %H:%M')
+      || '. participants: ' || array_to_string(list_sort(list_distinct(list(from_id))), ', ') || '.' || chr(10)) // 4 AS size
+  FROM members JOIN lines USING (chat_id, n) GROUP BY 1, 2),
+flagged AS (
+  SELECT chat_id, start, row_number() OVER w > 1 AND size + CASE WHEN lead(start) OVER w IS NULL THEN 0 ELSE length(chr(10) || '[продолжение следует]') // 4 END < 150 AS merged
+  FROM sized WINDOW w AS (PARTITION BY chat_id ORDER BY start)),
+headed AS (
+  SELECT chat_id, start, max(CASE WHEN NOT merged THEN start END) OVER (PARTITION BY chat_id ORDER BY start) AS head FROM flagged),
+finished AS (
+  SELECT chat_id, head, arg_min(msg_id, (start, n)) AS msg_id_start, arg_max(msg_id, (start, n)) AS msg_id_end,
+    arg_min(ts, (start, n)) AS ts_from, arg_max(ts, (start, n)) AS ts_to, count(*) AS message_count,
+    list_sort(list_distinct(list(from_id))) AS senders, string_agg(line, chr(10) ORDER BY start, n) AS body
+  FROM members JOIN headed USING (chat_id, start) JOIN lines USING (chat_id, n) GROUP BY 1, 2)"""
+
+
+@query(
+    b.sql(
+        "SELECT chat_id, arg_min(msg_id, n) AS first_id, arg_max(msg_id, n) AS last_id, count(*) AS messages, CAST(sum(tok) AS BIGINT) AS tokens FROM fold JOIN lines USING (chat_id, n) GROUP BY chat_id, start",
+        "messages", recursive=True, extra=_LINES,
+    )
+)
+def pack_chunks(spark, d):
+    rows = chunking.membership(b.messages(spark, d), SMALL, overlap=False)
+    return rows.groupBy("chat_id", "chunk_pos").agg(
+        F.min_by("msg_id", "pos").alias("first_id"), F.max_by("msg_id", "pos").alias("last_id"),
+        F.count("*").alias("messages"), F.sum("tok").alias("tokens"),
+    ).drop("chunk_pos")
+
+
+@query(
+    b.sql(
+        """SELECT m.chat_id, l0.msg_id AS chunk_start, l.msg_id, m.n < m.start AS is_overlap
+FROM members m JOIN lines l ON l.chat_id = m.chat_id AND l.n = m.n JOIN lines l0 ON l0.chat_id = m.chat_id AND l0.n = m.start""",
+        "messages", recursive=True, extra=_CHUNKED,
+    )
+)
+def overlap_members(spark, d):
+    rows = chunking.membership(b.messages(spark, d), SMALL)
+    first = rows.filter("pos = chunk_pos").select("chunk_pos", F.col("msg_id").alias("chunk_start"))
+    return rows.join(first, "chunk_pos").select("chat_id", "chunk_start", "msg_id", "is_overlap")
+
+
+@query(
+    b.sql(
+        """SELECT f.chat_id, msg_id_start, msg_id_end, strftime(ts_from, '%Y-%m-%d %H:%M') AS ts_from, strftime(ts_to, '%Y-%m-%d %H:%M') AS ts_to, message_count,
+  'snippet: ' || strftime(ts_from, '%Y-%m-%d %H:%M') || '–' || strftime(ts_to, '%Y-%m-%d %H:%M') || '. participants: ' || array_to_string(senders, ', ') || '.' || chr(10)
+    || body || CASE WHEN msg_id_end = z.final_id THEN '' ELSE chr(10) || '[продолжение следует]' END AS text
+FROM finished f JOIN (SELECT chat_id, arg_max(msg_id, n) AS final_id FROM lines GROUP BY 1) z USING (chat_id)""",
+        "messages", recursive=True, extra=_CHUNKED,
+    )
+)
+def chunk_messages(spark, d):
+    fmt = fixed.DATE_FORMAT
+    return chunking.chunk_messages(b.messages(spark, d), SMALL).select(
+        "chat_id", "msg_id_start", "msg_id_end", F.date_format("ts_from", fmt).alias("ts_from"),
+        F.date_format("ts_to", fmt).alias("ts_to"), F.col("message_count").cast("long").alias("message_count"), "text",
+    )
+
+
+@query(
+    """SELECT conv_id, turn // 3 AS part, arg_min(turn, turn) AS first_turn, arg_max(turn, turn) AS last_turn, count(*) AS message_count,
+  array_to_string(list_sort(list_distinct(list(role))), ', ') AS senders, string_agg(text, chr(10) ORDER BY turn) AS body
+FROM conversations GROUP BY 1, 2"""
+)
+def chunk_rollup(spark, d):
+    rows = b.messages(spark, d).select(
+        F.col("chat_id").cast("long").alias("conv_id"), F.expr("cast(split(msg_id, '_')[1] as bigint) div 3").alias("part"),
+        F.col("ts").alias("at"), "ts", F.expr("cast(split(msg_id, '_')[1] as bigint)").alias("msg_id"),
+        F.col("from_id").alias("sender"), F.col("text").alias("line"),
+    )
+    return chunking.chunk_rollup(rows, ["conv_id", "part"]).select(
+        "conv_id", "part", F.col("msg_id_start").alias("first_turn"), F.col("msg_id_end").alias("last_turn"),
+        F.col("message_count").cast("long").alias("message_count"), F.array_join("senders", ", ").alias("senders"), "body",
+    )
+
+
+# --- history and prompts -----------------------------------------------------------
+
+_SAID = "CASE role WHEN 'user' THEN 'User' ELSE 'Bot' END || ': ' || text"
+_STRIP = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
+_HISTORY = f"""hist AS (
+  SELECT conv_id, turn, role, text, coalesce({_STRIP.format("string_agg(line, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")}, 'Нет недавних сообщений.') AS history
+  FROM (SELECT *, {_SAID} AS line FROM conversations))"""
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _prompt_sql(task: str, context: str, hist: str) -> str:
+    head, rest = fixed.PROMPT_TEMPLATE.split("{task}")
+    mid, rest = rest.split("{context}")
+    low, tail = rest.split("{history}")
+    return f"{_q(head)} || {task} || {_q(mid)} || {context} || {_q(low)} || {hist} || {_q(tail)}"
+
+
+@query(b.sql("SELECT conv_id, turn, history FROM hist", extra=_HISTORY))
+def history_window(spark, d):
+    return history.history_window(b.table(spark, d, "conversations")).select("conv_id", "turn", "history")
+
+
+@query(b.sql("SELECT msg_id, row_number() OVER (ORDER BY ts, msg_id) AS n FROM messages", "messages"))
+def messages_ordered(spark, d):
+    """The global order as exact positions, spread over segments of time."""
+    from ..operators.ordered import numbered
+
+    rows = b.messages(spark, d).withColumn("all", F.lit(0))
+    return numbered(rows, ["all"], ["ts", "msg_id"], "n").select("msg_id", "n")
+
+
+@query(
+    b.sql(
+        """SELECT msg_id, chat_id FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY ts, msg_id) AS n FROM messages) WHERE n <= 3""", "messages"
+    )
+)
+def first_messages(spark, d):
+    return history.messages_ordered(b.messages(spark, d), 3, per="chat_id").select("msg_id", "chat_id")
+
+
+@query(
+    "SELECT conv_id, turn, 2 + 4 + length(role) // 4 + length(text) // 4 + 4 + length('user') // 4 AS tokens FROM conversations"
+)
+def prompt_tokens(spark, d):
+    call = F.array(F.struct("role", F.col("text").alias("content")), F.struct(F.lit("user").alias("role"), F.lit("").alias("content")))
+    return b.table(spark, d, "conversations").select("conv_id", "turn", history.prompt_tokens(call).cast("long").alias("tokens"))
+
+
+_BLOCKS = """blocks AS (
+  SELECT query_id, rank, block, length(block) AS len, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) AS cum FROM (
+    SELECT r.query_id, r.rank, '--- Chunk ' || r.rank || CASE WHEN t = '' THEN '' ELSE ' (' || t || ')' END || ' ---' || chr(10) || text || chr(10) || chr(10) AS block
+    FROM (SELECT r.query_id, r.rank, c.text, CASE WHEN coalesce(z.title, '') <> '' THEN 'Category: ' || z.title || ' > ' ELSE '' END
+            || CASE WHEN coalesce(a.title, '') <> '' THEN 'Topic: ' || a.title ELSE '' END AS t
+          FROM retrieved r JOIN chunks c USING (chunk_id) LEFT JOIN topics_l1 a ON a.topic_id = c.topic_l1_id LEFT JOIN topics_l2 z ON z.topic_id = c.topic_l2_id) r)),
+contexts AS (
+  SELECT query_id, coalesce(regexp_replace(regexp_replace(string_agg(piece, '' ORDER BY rank), '^\\s+', ''), '\\s+$', ''), 'Нет релевантного контекста.') AS context FROM (
+    SELECT query_id, rank, CASE WHEN cum <= 4000 THEN block
+        WHEN NOT coalesce(bool_or(cum > 4000) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AND 4000 - (cum - len) > 100
+          THEN substr(block, 1, CAST(4000 - (cum - len) AS BIGINT)) || '...' || chr(10) END AS piece
+    FROM blocks) GROUP BY 1)"""
+
+
+def _contexts(spark, d):
+    from .search_queries import CFG
+
+    chunks, one, two = b.chunks(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d)
+    found = search.retrieve(b.queries(spark, d), chunks, one, two, 5, CFG)
+    return history.pack_context(search.hydrate(found, chunks, one, two), 4000)
+
+
+@query(b.sql("SELECT query_id, context FROM contexts", "retrieved", extra=_BLOCKS))
+def context_pack(spark, d):
+    return _contexts(spark, d)
+
+
+@query(
+    b.sql(
+        f"""SELECT query_id, prompt, 2 + 4 + 1 + length(prompt) // 4 + 4 + 1 + length(task) // 4 AS tokens FROM (
+  SELECT x.query_id, d.source AS task, {_prompt_sql('d.source', 'context', "coalesce(h.history, 'Нет недавних сообщений.')")} AS prompt
+  FROM contexts x JOIN documents d ON d.doc_id = x.query_id LEFT JOIN (SELECT conv_id, arg_max(history, turn) AS history FROM hist GROUP BY 1) h ON h.conv_id = x.query_id)""",
+        "retrieved", extra=_BLOCKS + ",\n" + _HISTORY,
+    )
+)
+def build_prompts(spark, d):
+    contexts = _contexts(spark, d)
+    tasks = b.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("task"))
+    asked = tasks.join(contexts.select("query_id"), "query_id", "left_semi")
+    last = history.history_window(b.table(spark, d, "conversations")).groupBy(F.col("conv_id").alias("query_id")).agg(
+        F.max_by("history", "turn").alias("history")
+    )
+    return history.build_prompts(asked, contexts, last).withColumn("tokens", F.col("tokens").cast("long"))
+
+
+_RESET = f"""turns AS (SELECT conv_id, turn, role, {_SAID} AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+tails AS (
+  SELECT t.conv_id, t.n, k, 12 + length({_prompt_sql("''", "'Нет релевантного контекста.'", _STRIP.format("string_agg(p.line, chr(10) ORDER BY p.n)"))}) // 4 AS tokens
+  FROM turns t, range(1, 6) AS r(k) JOIN turns p ON p.conv_id = t.conv_id AND p.n BETWEEN t.n - k AND t.n - 1
+  WHERE k < t.n OR k = 1 GROUP BY 1, 2, 3),
+walk AS (
+  SELECT conv_id, n, turn, role, 0 AS depth, CAST(0 AS BIGINT) AS usage, false AS reset FROM turns WHERE n = 1
+  UNION ALL
+  SELECT t.conv_id, t.n, t.turn, t.role, w.next, u.tokens, t.role = 'user' AND u.tokens >= 600
+  FROM (SELECT *, least(CASE WHEN reset THEN 0 ELSE depth END + 1, 5) AS next FROM walk) w
+  JOIN turns t ON t.conv_id = w.conv_id AND t.n = w.n + 1 JOIN tails u ON u.conv_id = t.conv_id AND u.n = t.n AND u.k = w.next)"""
+
+
+@query(b.sql("SELECT conv_id, turn, depth, usage, reset FROM walk", recursive=True, extra=_RESET))
+def session_reset(spark, d):
+    return history.session_reset(b.table(spark, d, "conversations"), 600).select(
+        "conv_id", "turn", F.col("depth").cast("int").alias("depth"), F.col("usage").cast("long").alias("usage"), "reset"
+    )
+
+
+# --- counters and the live flow ----------------------------------------------------
+
+
+def counter_events(spark, d):
+    e = b.table(spark, d, "events")
+    return e.select(
+        "event_id", (F.col("user_id") % 10).alias("chat_id"), F.col("event_id").alias("seq"), F.expr("cast(user_id % 10 % 4 as int)").alias("frequency"),
+        (F.col("event_type") == "purchase").alias("has_mention"), (F.col("event_type") == "click").alias("is_command"),
+        (F.col("event_type") == "signup").alias("is_private"),
+    )
+
+
+def _counter_sql(reset: bool) -> str:
+    part = "chat_id, epoch" if reset else "chat_id"
+    return f"""ev AS (
+  SELECT event_id, user_id % 10 AS chat_id, user_id % 10 % 4 AS f, event_type AS t, {"event_type = 'error' AND event_id % 3 = 0" if reset else 'false'} AS is_reset FROM events),
+ep AS (SELECT *, count(*) FILTER (WHERE is_reset) OVER (PARTITION BY chat_id ORDER BY event_id) AS epoch FROM ev),
+ct AS (SELECT *, count(*) FILTER (WHERE t IN ('view', 'error') AND f > 1 AND NOT is_reset) OVER (PARTITION BY {part} ORDER BY event_id) AS counter FROM ep),
+decided AS (SELECT event_id, chat_id, counter, CASE WHEN is_reset THEN 'reset' WHEN t IN ('click', 'signup') THEN 'command_or_private' WHEN t = 'purchase' THEN 'mentioned'
+    WHEN f < 1 THEN 'freq_zero_no_mention' WHEN f = 1 THEN 'freq_one' WHEN counter % f = 0 THEN 'freq_match_' || counter ELSE 'freq_skip_' || counter END AS reason FROM ct)"""
+
+
+_ANSWER = "NOT starts_with(reason, 'freq_skip') AND reason NOT IN ('freq_zero_no_mention', 'reset') AS respond"
+
+
+@query(b.sql(f"SELECT event_id, counter, reason, {_ANSWER} FROM decided", extra=_counter_sql(False)))
+def respond_every_n(spark, d):
+    return history.respond_every(counter_events(spark, d)).select("event_id", "counter", "reason", "respond")
+
+
+@query(b.sql(f"SELECT event_id, counter, reason, {_ANSWER} FROM decided", extra=_counter_sql(True)))
+def counter_reset(spark, d):
+    e = b.table(spark, d, "events").select("event_id", ((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0)).alias("is_reset"))
+    return history.respond_every(counter_events(spark, d).join(e, "event_id")).select("event_id", "counter", "reason", "respond")
+
+
+@query(b.sql("SELECT chat_id, max(counter) AS counter FROM decided GROUP BY 1", extra=_counter_sql(False)))
+def counter_values(spark, d):
+    return history.counters(counter_events(spark, d))
+
+
+@query(
+    b.sql(
+        """SELECT event_id, route, coalesce(reason, '') AS reason FROM (
+  SELECT g.event_id, CASE WHEN g.reason <> '' THEN 'denied' WHEN g.event_type IN ('click', 'error') THEN 'command'
+      WHEN g.event_type = 'purchase' AND event_id % 2 = 0 THEN 'search'
+      WHEN c.reason = 'freq_zero_no_mention' THEN 'ignored' WHEN starts_with(c.reason, 'freq_skip') THEN 'listen' ELSE 'question' END AS route, c.reason
+  FROM gate g LEFT JOIN cnt c USING (event_id))""",
+        extra=ACCESS_SQL + """,
+passed AS (SELECT event_id, chat_id, chat_id % 4 AS f, event_type AS t FROM gate WHERE reason = ''),
+cnt0 AS (SELECT *, count(*) FILTER (WHERE t = 'view' AND f > 1) OVER (PARTITION BY chat_id ORDER BY event_id) AS counter FROM passed),
+cnt AS (SELECT event_id, CASE WHEN t IN ('click', 'error', 'signup') THEN 'command_or_private' WHEN t = 'purchase' THEN 'mentioned' WHEN f < 1 THEN 'freq_zero_no_mention'
+    WHEN f = 1 THEN 'freq_one' WHEN counter % f = 0 THEN 'freq_match_' || counter ELSE 'freq_skip_' || counter END AS reason FROM cnt0)""",
+    )
+)
+def live_flow(spark, d):
+    from ..streaming.live import flow_batch
+
+    return flow_batch(live_events(spark, d)).select("event_id", "route", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def live_events(spark, d):
+    said = F.expr(
+        "case event_type when 'purchase' then concat('@helper ', if(event_id % 2 = 0, 'find ', 'hello '), props) when 'click' then '/help' "
+        "when 'error' then '/set_admin x' else props end"
+    )
+    entity = F.expr("if(event_type = 'purchase', array(named_struct('type', 'mention', 'offset', 0L, 'length', 7L, 'user_id', cast(null as bigint))), null)")
+    e = b.table(spark, d, "events").select("event_id", said.alias("text"), entity.alias("entities"))
+    return access_events(spark, d).join(e, "event_id").withColumn("seq", F.col("event_id")).withColumn(
+        "frequency", F.expr("cast(chat_id % 4 as int)")
+    )
+
+
+# --- joins -------------------------------------------------------------------------
+
+
+def _batches(spark, d):
+    """Stored messages are those of even turns; the incoming batch brings all, users' twice."""
+    m = b.messages(spark, d)
+    stored = m.filter(F.expr("cast(split(msg_id, '_')[1] as bigint) % 2 = 0"))
+    again = m.filter("from_id = 'user'").withColumn("text", F.concat(F.lit("zz"), "text"))
+    return stored, m.unionByName(again)
+
+
+@query(b.sql("SELECT msg_id, text FROM messages WHERE CAST(substr(msg_id, strpos(msg_id, '_') + 1) AS BIGINT) % 2 = 1 AND text < 'zz'", "messages"))
+def insert_new(spark, d):
+    """Text order decides between repeated ids; texts here sort before their copies."""
+    return hydrate.insert_new(*_batches(spark, d)).select("msg_id", "text").filter("text < 'zz'")
+
+
+@query(
+    b.sql(
+        """SELECT CAST(count(*) FILTER (WHERE CAST(substr(msg_id, strpos(msg_id, '_') + 1) AS BIGINT) % 2 = 1) AS BIGINT) AS inserted,
+  CAST(count(*) + count(*) FILTER (WHERE from_id = 'user') - count(*) FILTER (WHERE CAST(substr(msg_id, strpos(msg_id, '_') + 1) AS BIGINT) % 2 = 1) AS BIGINT) AS skipped FROM messages""",
+        "messages",
+    )
+)
+def insert_counts(spark, d):
+    return hydrate.insert_counts(*_batches(spark, d))
+
+
+@query(b.sql("SELECT chunk_id, msg_id, from_id, text_message FROM by_ids", "by_ids"))
+def chunk_messages_ids(spark, d):
+    return hydrate.chunk_messages(b.conv_chunks(spark, d), b.messages(spark, d), "ids").drop("ts")
+
+
+@query(b.sql("SELECT chunk_id, msg_id, from_id, text_message FROM by_ts", "by_ts"))
+def chunk_messages_ts(spark, d):
+    return hydrate.chunk_messages(b.conv_chunks(spark, d), b.messages(spark, d), "ts").drop("ts")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def orphans(spark, d):
+    stored = b.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    return hydrate.orphans(stored, b.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id")))
+
+
+@query(
+    """SELECT coalesce(l.doc_id, e.vec_id) AS id, CASE WHEN l.doc_id IS NOT NULL THEN 'labels' ELSE 'embeddings' END AS origin
+FROM labels l FULL OUTER JOIN embeddings e ON e.vec_id = l.doc_id"""
+)
+def first_wins(spark, d):
+    one = b.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit("labels").alias("origin"))
+    two = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("embeddings").alias("origin"))
+    return hydrate.first_wins(one, two, key=["id"])
+
+
+# --- audits ------------------------------------------------------------------------
+
+
+@query(
+    "SELECT 'chunks' AS name, count(*) AS n FROM embeddings UNION ALL SELECT 'messages', count(*) FROM conversations UNION ALL SELECT 'documents', count(*) FROM documents"
+)
+def table_counts(spark, d):
+    t = lambda n: b.table(spark, d, n)
+    return audit.table_counts(chunks=t("embeddings"), messages=t("conversations"), documents=t("documents"))
+
+
+@query(
+    b.sql(
+        "SELECT chat_id, count(*) AS messages, strftime(min(ts), '%Y-%m-%d %H:%M') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M') AS last_ts FROM messages GROUP BY 1", "messages"
+    )
+)
+def audit_messages(spark, d):
+    return audit.audit_messages(b.messages(spark, d))
+
+
+@query(
+    b.sql(
+        """SELECT chat_id, count(*) AS chunks, CAST(sum(length(text) // 4) AS BIGINT) AS tokens, CAST(sum(length(text) // 4) // count(*) AS BIGINT) AS avg_tokens,
+  count(*) FILTER (WHERE length(text) // 4 < 200) AS small_chunks, count(*) FILTER (WHERE coalesce(msg_id_start, '') = '') AS without_messages FROM chunks GROUP BY 1""",
+        "chunks",
+    )
+)
+def audit_chunks(spark, d):
+    return audit.audit_chunks(b.chunks(spark, d), 200)
+
+
+def _half_embedded(spark, d):
+    return b.chunks(spark, d).withColumn("embedding", F.when(F.col("topic_l1_id").isNotNull(), F.col("embedding"))).withColumn(
+        "chunk_id", F.col("chunk_id").cast("string")
+    )
+
+
+def _doc_index(spark, d):
+    """An index with one vector per document, some of them without a chunk."""
+    e = b.table(spark, d, "embeddings")
+    return b.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array(F.col("n_chars").cast("float")).alias("vector"), "doc_id")
+
+
+_VEC_METRICS = """SELECT 'with_vector' AS metric, count(topic_l1_id) AS value FROM chunks UNION ALL SELECT 'without_vector', count(*) - count(topic_l1_id) FROM chunks
+UNION ALL SELECT 'vectors', count(*) FROM documents UNION ALL SELECT 'dim', 1 UNION ALL SELECT 'orphans', count(*) FROM documents WHERE doc_id NOT IN (SELECT chunk_id FROM chunks)"""
+_TOPIC_METRICS = """SELECT 'chunks_with_topic_l1' AS metric, count(topic_l1_id) AS value FROM chunks UNION ALL SELECT 'chunks_without_topic_l1', count(*) - count(topic_l1_id) FROM chunks
+UNION ALL SELECT 'topics_l1', count(*) FROM topics_l1 UNION ALL SELECT 'topics_l1_with_center', count(*) FROM topics_l1
+UNION ALL SELECT 'l1_with_parent', count(parent_l2_id) FROM topics_l1 UNION ALL SELECT 'l1_without_parent', count(*) - count(parent_l2_id) FROM topics_l1
+UNION ALL SELECT 'topics_l2', count(*) FROM topics_l2 UNION ALL SELECT 'topics_l2_with_center', count(*) FROM topics_l2"""
+
+
+@query(b.sql(_VEC_METRICS, "chunks"))
+def audit_vectors(spark, d):
+    return audit.audit_vectors(_half_embedded(spark, d), _doc_index(spark, d))
+
+
+@query(b.sql(_TOPIC_METRICS, "topics_l2"))
+def audit_topics(spark, d):
+    return audit.audit_topics(b.chunks(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d))
+
+
+@query(
+    b.sql(
+        """SELECT 'l1' AS level, count(*) FILTER (WHERE title <> 'unknown') AS named, count(*) FILTER (WHERE title = 'unknown') AS unnamed FROM topics_l1
+UNION ALL SELECT 'l2', count(*) FILTER (WHERE title <> ''), count(*) FILTER (WHERE title = '') FROM topics_l2""",
+        "topics_l2",
+    )
+)
+def audit_names(spark, d):
+    return audit.audit_names(b.topics_l1(spark, d), b.topics_l2(spark, d))
+
+
+@query(b.sql("SELECT strftime(min(ts_from), '%Y-%m-%d') AS min_date, strftime(max(ts_to), '%Y-%m-%d') AS max_date FROM chunks", "chunks"))
+def date_range(spark, d):
+    return audit.date_range(b.chunks(spark, d))
+
+
+@query(
+    b.sql(
+        f"""SELECT 'messages' AS stage, 'messages' AS metric, count(*) AS value FROM messages UNION ALL SELECT 'messages', 'chats', count(DISTINCT chat_id) FROM messages
+UNION ALL SELECT 'chunks', 'chunks', count(*) FROM chunks UNION ALL SELECT 'chunks', 'avg_tokens', CAST(sum(length(text) // 4) // count(*) AS BIGINT) FROM chunks
+UNION ALL SELECT 'chunks', 'small_chunks', count(*) FROM chunks WHERE length(text) // 4 < 50 UNION ALL SELECT 'chunks', 'without_messages', 0
+UNION ALL SELECT 'vectors', * FROM ({_VEC_METRICS}) UNION ALL SELECT 'topics', * FROM ({_TOPIC_METRICS})
+UNION ALL SELECT 'names', 'named_l1', count(*) FROM topics_l1 WHERE title <> 'unknown' UNION ALL SELECT 'names', 'unnamed_l1', count(*) FROM topics_l1 WHERE title = 'unknown'
+UNION ALL SELECT 'names', 'named_l2', count(*) FROM topics_l2 WHERE title <> '' UNION ALL SELECT 'names', 'unnamed_l2', count(*) FROM topics_l2 WHERE title = ''""",
+        "topics_l2", "messages",
+    )
+)
+def ingest_report(spark, d):
+    return audit.ingest_report(
+        b.messages(spark, d), _half_embedded(spark, d), _doc_index(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d)
+    )
+
+
+# --- sources and index tables ------------------------------------------------------
+
+
+@query(
+    """SELECT chat_id, id, sender, content FROM (
+  SELECT user_id AS chat_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n,
+    CASE event_type WHEN 'click' THEN 'Ann' WHEN 'view' THEN 'Bob Lee' WHEN 'error' THEN 'The room' ELSE 'Unknown' END AS sender,
+    CASE WHEN event_id % 7 = 0 THEN '' ELSE props END AS content FROM events) WHERE n <= 20 AND content <> ''"""
+)
+def normalise_export(spark, d):
+    raw = b.table(spark, d, "events").select(
+        F.col("user_id").alias("chat_id"), F.col("event_id").alias("id"), F.col("ts").alias("date"),
+        F.expr("case when event_id % 7 = 0 then '' else props end").alias("text"),
+        F.expr("case event_type when 'click' then 'Ann' when 'view' then 'Bob' end").alias("first_name"),
+        F.expr("case event_type when 'view' then 'Lee' end").alias("last_name"),
+        F.expr("case event_type when 'error' then 'The room' end").alias("title"),
+    )
+    return dumps.normalise_export(raw, 20).select("chat_id", "id", "sender", "content")
+
+
+@query(
+    "SELECT page_id AS id, url AS name, 'like' AS kind FROM pages WHERE contains(lower(url), 'example.com/en') UNION ALL SELECT page_id, url, 'exact' FROM pages WHERE CAST(page_id AS VARCHAR) = '5' OR url = '5'"
+)
+def find_chats(spark, d):
+    chats = b.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("name"))
+    like = hydrate.chats_like(chats, "EXAMPLE.com/EN").withColumn("kind", F.lit("like"))
+    return like.unionByName(hydrate.chats_exact(chats, "5").withColumn("kind", F.lit("exact")))
+
+
+@query(
+    b.sql(
+        """SELECT chunk_id AS id, text AS document, json_extract_string(metadata, '$.start_date') AS start_date,
+  coalesce(CAST(topic_l1_id AS VARCHAR), '') AS l1, coalesce(CAST(topic_l2_id AS VARCHAR), '') AS l2 FROM chunks""",
+        "chunks",
+    )
+)
+def chunk_index(spark, d):
+    meta = lambda k: F.coalesce(F.col("metadata")[k], F.lit(""))
+    return index.build_chunk_index(b.chunks(spark, d)).select(
+        "id", "document", meta("start_date").alias("start_date"), meta("topic_l1_id").alias("l1"), meta("topic_l2_id").alias("l2")
+    )
+
+
+@query(
+    b.sql(
+        """SELECT 'l1-' || topic_id AS id, CAST(topic_id AS VARCHAR) AS topic, title, CAST(chunk_count AS VARCHAR) AS chunk_count, CAST(msg_count AS VARCHAR) AS msg_count, 64 AS dim FROM topics_l1
+UNION ALL SELECT 'l2-' || topic_id, CAST(topic_id AS VARCHAR), CASE title WHEN '' THEN 'unknown' ELSE title END, CAST(chunk_count AS VARCHAR), '', 64 FROM topics_l2""",
+        "topics_l2",
+    )
+)
+def topic_index(spark, d):
+    one = index.build_topic_index(b.topics_l1(spark, d), "l1")
+    both = one.unionByName(index.build_topic_index(b.topics_l2(spark, d), "l2"))
+    m = F.col("metadata")
+    return both.select(
+        "id", F.coalesce(m["topic_l1_id"], m["topic_l2_id"]).alias("topic"), m["title"].alias("title"), m["chunk_count"].alias("chunk_count"),
+        F.coalesce(m["msg_count"], F.lit("")).alias("msg_count"), F.size("vector").alias("dim"),
+    )
+
+
+@query("SELECT vec_id AS id, len(embedding) AS dim, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS first FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)")
+def scan_index(spark, d):
+    rows = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    ids = b.table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return index.scan_index(rows, ids).select("id", F.size("vector").cast("long").alias("dim"), rounded(F.col("vector")[0].cast("double")).alias("first"))
+
+
+@query("SELECT min(len(embedding)) AS index_min, max(len(embedding)) AS index_max, CAST(2 AS BIGINT) AS incoming_min, CAST(2 AS BIGINT) AS incoming_max, true AS rebuild FROM embeddings")
+def check_dim(spark, d):
+    have = b.table(spark, d, "embeddings").select(F.col("embedding").alias("vector"))
+    new = b.table(spark, d, "documents").select(F.array(F.col("n_chars"), F.col("doc_id")).alias("vector"))
+    row = index.check_dim(have, new)
+    return row.select(*[F.col(c).cast("long").alias(c) for c in row.columns if c != "rebuild"], "rebuild")
+
+
+@query(
+    """SELECT doc_id AS id, coalesce(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' END, CASE WHEN e.vec_id IS NOT NULL THEN 'old' END) AS origin
+FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id WHERE e.vec_id IS NOT NULL OR doc_id IN (SELECT doc_id FROM labels)"""
+)
+def sync_index(spark, d):
+    old = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("old").alias("origin"), F.array(F.lit(1.0)).alias("vector"))
+    new = b.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit("new").alias("origin"), F.array(F.lit(2.0)).alias("vector"))
+    return index.sync_index(old, new).select("id", "origin")
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE lang IN ('en', 'de') OR n_chars % 2 = 0")
+def embed_selection(spark, d):
+    rows = b.table(spark, d, "documents").select(
+        F.col("doc_id").alias("chunk_id"),
+        F.when(F.col("lang") != "en", F.array(F.lit(0.0))).alias("v"),
+        F.when(F.col("lang") != "de", F.when(F.col("n_chars") % 2 == 0, F.lit(32)).otherwise(F.lit(64))).alias("dim"),
+    )
+    return rows.filter(embed.is_stale(F.col("v"), F.col("dim"), 64)).select("chunk_id")
+
+
+@query()
+def embed_documents(spark, d):
+    """Hashed word vectors of every document; the hash is Spark's own, so no SQL twin."""
+    run, dim = embed.get_embedder("hashing", dim=64)
+    docs = b.table(spark, d, "documents").select(
+        F.col("doc_id").alias("chunk_id"), "text", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("int").alias("embedding_dim")
+    )
+    return embed.embed_missing(docs, run, dim)
+
+
+# --- snapshots ---------------------------------------------------------------------
+
+
+@query(
+    b.sql(
+        """SELECT 'chunks_l1' AS name, count(topic_l1_id) AS n FROM chunks UNION ALL SELECT 'chunks_l2', 0 UNION ALL SELECT 'topics_l1_parent', 0 UNION ALL SELECT 'topics_l1', count(*) FROM topics_l1 UNION ALL SELECT 'topics_l2', 0""",
+        "topics_l1",
+    )
+)
+def reset_stage(spark, d):
+    tables = {"chunks": b.chunks(spark, d), "topics_l1": b.topics_l1(spark, d), "topics_l2": b.topics_l2(spark, d)}
+    out = mutate.reset_stage(tables, 6)
+    return audit.table_counts(
+        chunks_l1=out["chunks"].filter("topic_l1_id is not null"), chunks_l2=out["chunks"].filter("topic_l2_id is not null"),
+        topics_l1_parent=out["topics_l1"].filter("parent_l2_id is not null"), topics_l1=out["topics_l1"], topics_l2=out["topics_l2"],
+    )
+
+
+@query(
+    b.sql(
+        """SELECT chunk_id, coalesce(CASE WHEN quality = 1 THEN toxic END, topic_l1_id, -1) AS topic_l1_id, coalesce(CASE WHEN quality = 1 THEN 7 END, topic_l2_id, -1) AS topic_l2_id
+FROM chunks LEFT JOIN labels ON doc_id = chunk_id""",
+        "chunks",
+    )
+)
+def apply_delta(spark, d):
+    delta = b.table(spark, d, "labels").select(
+        F.col("doc_id").alias("chunk_id"), F.when(F.col("quality") == 1, F.col("toxic")).cast("long").alias("topic_l1_id"),
+        F.when(F.col("quality") == 1, F.lit(7)).cast("long").alias("topic_l2_id"),
+    )
+    rows = mutate.apply_delta(b.chunks(spark, d), delta, "chunk_id")
+    blank = F.lit(-1)
+    return rows.select("chunk_id", F.coalesce("topic_l1_id", blank).alias("topic_l1_id"), F.coalesce("topic_l2_id", blank).alias("topic_l2_id"))

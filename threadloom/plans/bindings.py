@@ -159,7 +159,7 @@ topics_l2 AS (
     FROM (SELECT p.*, row_number() OVER (PARTITION BY p.query_id ORDER BY p.distance, p.chunk_id) AS near
           FROM pairs p JOIN l2_hits h ON p.query_id = h.query_id AND p.topic_l2_id = h.topic_id)
     WHERE near <= 50))""",
-    "similar": """similar AS (
+    "alike": """alike AS (
   SELECT query_id, level, topic_id, similarity, rank FROM (
     SELECT query_id, level, topic_id, array_cosine_similarity(q, center) AS similarity,
            row_number() OVER (PARTITION BY query_id, level ORDER BY 1 - array_cosine_similarity(q, center), topic_id) AS rank
@@ -170,7 +170,7 @@ topics_l2 AS (
          CASE level WHEN 1 THEN 'topic_l1' ELSE 'topic_l2' END AS source FROM (
     SELECT s.query_id, c.chunk_id, s.level,
            row_number() OVER (PARTITION BY s.query_id, c.chunk_id ORDER BY s.level, s.rank, c.nth) AS n
-    FROM similar s JOIN (
+    FROM alike s JOIN (
       SELECT 1 AS level, topic_l1_id AS topic_id, chunk_id, row_number() OVER (PARTITION BY topic_l1_id ORDER BY ts_from, chunk_id) AS nth
       FROM chunks WHERE topic_l1_id IS NOT NULL
       UNION ALL
@@ -247,8 +247,8 @@ NEEDS = {
     "direct": ["pairs"],
     "l2_hits": ["queries", "topics_l2"],
     "two_stage": ["pairs", "l2_hits"],
-    "similar": ["queries", "topics_l2"],
-    "topic_hits": ["similar", "chunks"],
+    "alike": ["queries", "topics_l2"],
+    "topic_hits": ["alike", "chunks"],
     "merged": ["two_stage", "topic_hits"],
     "retrieved": ["merged"],
     "links": ["chunks"],

@@ -1,0 +1,275 @@
+"""Search and ranking over whole tables: every stored vector is also a query."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import Config
+from ..functions.vectors import rounded
+from ..operators import nearest, search
+from . import bindings as b
+from .catalog import query
+
+CFG = Config(l2_top_k=2, topic_min_similarity=0.2)
+D, S = "round(distance, 6) + 0.0 AS distance", "round(score, 6) + 0.0 AS score"
+
+
+def _distance(df):
+    return df.withColumn("distance", rounded(F.col("distance")))
+
+
+def _score(df):
+    return df.withColumn("score", rounded(F.col("score")))
+
+
+def _similar(spark, d):
+    q = b.queries(spark, d)
+    return (
+        search.similar_topics(q, b.topics_l1(spark, d), 2, CFG.topic_min_similarity),
+        search.similar_topics(q, b.topics_l2(spark, d), 1, CFG.topic_min_similarity),
+    )
+
+
+@query(b.sql(f"SELECT query_id, chunk_id, {D}, rank FROM direct WHERE rank <= 10", "direct"))
+def topk_direct(spark, d):
+    return _distance(search.search_direct(b.queries(spark, d), b.chunks(spark, d), 10))
+
+
+@query(b.sql(f"SELECT query_id, chunk_id, {D}, rank FROM direct WHERE rank <= 10", "direct"))
+def topk_cells(spark, d):
+    """The same answers by the plan for query sets that do not fit a task."""
+    return _distance(search.search_direct(b.queries(spark, d), b.chunks(spark, d), 10, plan="cells", block_rows=256))
+
+
+@query(b.sql(f"SELECT query_id, rank, chunk_id, {D}, metadata FROM direct JOIN chunks USING (chunk_id) WHERE rank <= 3", "direct"))
+def search_basic(spark, d):
+    return _distance(search.search_basic(b.queries(spark, d), b.chunks(spark, d), 3))
+
+
+@query(
+    """SELECT id, neighbour, round(distance, 6) + 0.0 AS distance, rank FROM (
+  SELECT a.vec_id AS id, o.vec_id AS neighbour, array_distance(CAST(a.embedding AS DOUBLE[64]), CAST(o.embedding AS DOUBLE[64])) AS distance,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY array_distance(CAST(a.embedding AS DOUBLE[64]), CAST(o.embedding AS DOUBLE[64])), o.vec_id) AS rank
+  FROM embeddings a, embeddings o WHERE a.vec_id <> o.vec_id) WHERE rank <= 8"""
+)
+def knn_graph(spark, d):
+    return _distance(nearest.knn(b.table(spark, d, "embeddings"), 8, metric="l2", vector_id="vec_id"))
+
+
+@query(
+    """SELECT id, neighbour, round(distance, 6) + 0.0 AS distance, rank FROM (
+  SELECT a.vec_id AS id, o.vec_id AS neighbour, m.s AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY m.s, o.vec_id) AS rank
+  FROM embeddings a, embeddings o, LATERAL (SELECT list_sum(list_transform(list_zip(a.embedding, o.embedding), lambda x: abs(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS s) m
+  WHERE a.vec_id <> o.vec_id) WHERE rank <= 5"""
+)
+def knn_manhattan(spark, d):
+    return _distance(nearest.knn(b.table(spark, d, "embeddings"), 5, metric="manhattan", vector_id="vec_id"))
+
+
+@query(
+    b.sql(
+        "SELECT query_id, level, topic_id, round(similarity, 6) AS similarity, rank FROM alike", "alike"
+    )
+)
+def cosine_topics(spark, d):
+    one, two = _similar(spark, d)
+    both = one.withColumn("level", F.lit(1)).unionByName(two.withColumn("level", F.lit(2)))
+    return both.withColumn("similarity", rounded(F.col("similarity")))
+
+
+@query(b.sql(f"SELECT query_id, topic_id, {D}, rank FROM l2_hits", "l2_hits"))
+def l2_candidates(spark, d):
+    return _distance(search.l2_candidates(b.queries(spark, d), b.topics_l2(spark, d), 2))
+
+
+@query(b.sql(f"SELECT query_id, chunk_id, {D}, {S}, rank, 'two_stage' AS source FROM two_stage", "two_stage"))
+def two_stage(spark, d):
+    return _score(_distance(search.search_two_stage(b.queries(spark, d), b.chunks(spark, d), b.topics_l2(spark, d), 2, 50)))
+
+
+@query(
+    b.sql(
+        """SELECT query_id, chunk_id, round(1 - cos, 6) + 0.0 AS distance, round(cos, 6) + 0.0 AS score, rank, 'two_stage' AS source FROM (
+  SELECT p.query_id, p.chunk_id, cos, row_number() OVER (PARTITION BY p.query_id ORDER BY cos DESC, p.chunk_id) AS rank
+  FROM pairs p JOIN l2_hits h ON p.query_id = h.query_id AND p.topic_l2_id = h.topic_id) WHERE rank <= 20""",
+        "pairs", "l2_hits",
+    )
+)
+def two_stage_cosine(spark, d):
+    return _score(
+        _distance(search.search_two_stage(b.queries(spark, d), b.chunks(spark, d), b.topics_l2(spark, d), 2, 20, mode="cosine"))
+    )
+
+
+@query(
+    b.sql(
+        """SELECT query_id, chunk_id, round(distance, 6) + 0.0 AS distance, rank FROM (
+  SELECT p.query_id, p.chunk_id, p.distance, row_number() OVER (PARTITION BY p.query_id ORDER BY p.distance, p.chunk_id) AS rank
+  FROM pairs p JOIN l2_hits h ON p.query_id = h.query_id AND p.topic_l2_id = h.topic_id) WHERE rank <= 7""",
+        "pairs", "l2_hits",
+    )
+)
+def within_topics_cells(spark, d):
+    """Topic-limited search by the shuffled plan: topics are the cells, cut into blocks."""
+    q = b.queries(spark, d)
+    picked = search.l2_candidates(q, b.topics_l2(spark, d), 2).select("query_id", F.col("topic_id").alias("topic_l2_id"))
+    return _distance(
+        nearest.top_k(q, b.chunks(spark, d), 7, within=picked, cell="topic_l2_id", plan="cells", block_rows=64)
+    )
+
+
+def _known_topics(spark, d):
+    """Super-topics whose chunks were all removed give nothing, so their queries go direct."""
+    return b.chunks(spark, d).withColumn("topic_l2_id", F.when(F.col("topic_l2_id") != 1, F.col("topic_l2_id")))
+
+
+@query(
+    b.sql(
+        f"""SELECT query_id, chunk_id, {D}, {S}, rank, source FROM (
+  SELECT *, 'two_stage' AS source FROM staged WHERE rank <= 5
+  UNION ALL
+  SELECT query_id, chunk_id, distance,
+    CASE WHEN distance <= 1 THEN 1 - distance WHEN distance <= 2 THEN 1 - distance / 2 ELSE greatest(0.0, 1 - distance) END AS score, rank, 'vector'
+  FROM direct WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM staged))""",
+        "direct", "l2_hits",
+        extra="""staged AS (
+  SELECT query_id, chunk_id, distance, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT *, CASE WHEN distance <= 1 THEN 1 - distance WHEN distance <= 2 THEN 1 - distance / 2 ELSE greatest(0.0, 1 - distance) END AS score
+    FROM (SELECT p.query_id, p.chunk_id, p.distance, row_number() OVER (PARTITION BY p.query_id ORDER BY p.distance, p.chunk_id) AS near
+          FROM pairs p JOIN l2_hits h ON p.query_id = h.query_id AND p.topic_l2_id = h.topic_id AND h.rank = 1
+          WHERE p.topic_l2_id <> 1)
+    WHERE near <= 50))""",
+    )
+)
+def search_mode(spark, d):
+    cfg = Config(l2_top_k=1)
+    return _score(_distance(search.search(b.queries(spark, d), _known_topics(spark, d), b.topics_l2(spark, d), 5, cfg)))
+
+
+@query(b.sql("SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, source FROM topic_hits", "topic_hits"))
+def topic_hits(spark, d):
+    one, two = _similar(spark, d)
+    return search.topic_hits(one, two, b.chunks(spark, d))
+
+
+@query(b.sql(f"SELECT query_id, chunk_id, {S}, coalesce(round(distance, 6) + 0.0, -1.0) AS distance, source FROM merged", "merged"))
+def hybrid_merge(spark, d):
+    one, two = _similar(spark, d)
+    chunks = b.chunks(spark, d)
+    hits = search.search_two_stage(b.queries(spark, d), chunks, b.topics_l2(spark, d), 2, 50).filter("rank <= 5")
+    merged = search.merge_hits(hits, search.topic_hits(one, two, chunks))
+    return _score(merged).withColumn("distance", F.coalesce(rounded(F.col("distance")), F.lit(-1.0)))
+
+
+@query(b.sql(f"SELECT query_id, rank, chunk_id, {S}, coalesce(round(distance, 6) + 0.0, -1.0) AS distance, source FROM retrieved", "retrieved"))
+def retrieve(spark, d):
+    found = search.retrieve(
+        b.queries(spark, d), b.chunks(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d), 5, CFG
+    )
+    return _score(found).withColumn("distance", F.coalesce(rounded(F.col("distance")), F.lit(-1.0)))
+
+
+@query(
+    b.sql(
+        f"""SELECT r.query_id, r.rank, r.chunk_id, {S.replace('score', 'r.score', 1)}, c.text, coalesce(a.title, '') AS topic_l1_title, coalesce(z.title, '') AS topic_l2_title
+FROM retrieved r JOIN chunks c USING (chunk_id) LEFT JOIN topics_l1 a ON a.topic_id = c.topic_l1_id LEFT JOIN topics_l2 z ON z.topic_id = c.topic_l2_id""",
+        "retrieved",
+    )
+)
+def hydrate(spark, d):
+    chunks, one, two = b.chunks(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d)
+    found = search.retrieve(b.queries(spark, d), chunks, one, two, 5, CFG)
+    blank = F.lit("")
+    return _score(search.hydrate(found, chunks, one, two)).select(
+        "query_id", "rank", "chunk_id", "score", "text", F.coalesce("topic_l1_title", blank).alias("topic_l1_title"),
+        F.coalesce("topic_l2_title", blank).alias("topic_l2_title"),
+    )
+
+
+@query(b.sql(f"SELECT query_id, rank, chunk_id, {D}, link FROM direct JOIN links USING (chunk_id) WHERE rank <= 3", "direct", "links"))
+def search_links(spark, d):
+    return _distance(search.search_links(b.queries(spark, d), b.chunks(spark, d), 3)).select(
+        "query_id", "rank", "chunk_id", "distance", "link"
+    )
+
+
+@query(
+    b.sql(
+        """SELECT chunk_id, coalesce(a.title, '') AS l1_title, coalesce(CASE WHEN c.topic_l1_id IS NULL THEN c.topic_l2_id ELSE z1.topic_id END, -1) AS l2_id
+FROM chunks c LEFT JOIN topics_l1 a ON a.topic_id = c.topic_l1_id LEFT JOIN topics_l2 z1 ON z1.topic_id = a.parent_l2_id""",
+        "topics_l2",
+    )
+)
+def resolve_topics(spark, d):
+    rows = search.resolve_topics(b.chunks(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d))
+    return rows.select(
+        "chunk_id", F.coalesce("topic_l1_title", F.lit("")).alias("l1_title"), F.coalesce("resolved_l2_id", F.lit(-1)).cast("long").alias("l2_id")
+    )
+
+
+@query(
+    b.sql(
+        """SELECT query_id, rank, chunk_id, round(CASE WHEN distance <= 1 THEN 1 - distance ELSE 0 END, 6) + 0.0 AS similarity,
+  coalesce(n, 0) AS messages, coalesce(first_id, '') AS first_id, coalesce(topic_l1_id, -1) AS topic_l1_id
+FROM direct JOIN conv_chunks USING (chunk_id) LEFT JOIN (SELECT chunk_id, count(*) AS n, arg_min(msg_id, (ts, msg_id)) AS first_id FROM by_ts GROUP BY 1) USING (chunk_id)
+WHERE rank <= 5""",
+        "direct", "by_ts",
+    )
+)
+def search_full(spark, d):
+    full = search.search_full(
+        b.queries(spark, d), b.conv_chunks(spark, d), b.messages(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d), 5
+    )
+    return full.select(
+        "query_id", "rank", "chunk_id", rounded(F.col("similarity")).alias("similarity"),
+        F.size("messages").cast("long").alias("messages"),
+        F.coalesce(F.get(F.col("messages"), 0)["msg_id"], F.lit("")).alias("first_id"),
+        F.coalesce("topic_l1_id", F.lit(-1)).alias("topic_l1_id"),
+    )
+
+
+_SHOWN = """rendered AS (SELECT msg_id, substr(msg_id, strpos(msg_id, '_') + 1) AS render_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date, from_id AS sender, text AS body FROM messages)"""
+
+
+@query(
+    b.sql(
+        f"""SELECT query_id, rank, chunk_id, msg_id, part, {D}, content FROM (
+  SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank
+  FROM direct WHERE rank <= 12 AND distance <= 1.5) h JOIN by_ids USING (chunk_id) JOIN parts USING (msg_id) WHERE h.rank <= 3""",
+        "direct", "by_ids", "parts", extra=_SHOWN,
+    )
+)
+def search_contents(spark, d):
+    found = search.search_contents(b.queries(spark, d), b.conv_chunks(spark, d), b.messages(spark, d), 3, 1.5)
+    return _distance(found).select(
+        "query_id", "rank", "chunk_id", "msg_id", F.coalesce("part", F.lit(0)).cast("long").alias("part"), "distance", "content"
+    )
+
+
+@query(
+    b.sql(
+        """SELECT query_id, count(*) AS parts, CAST(sum(length(content)) AS BIGINT) AS chars, count(DISTINCT chunk_id) AS chunks
+FROM direct JOIN by_ids USING (chunk_id) JOIN parts USING (msg_id) WHERE rank <= 100 AND distance <= 1.6 GROUP BY 1""",
+        "direct", "by_ids", "parts", extra=_SHOWN,
+    )
+)
+def find_threshold(spark, d):
+    found = search.find(b.queries(spark, d), b.conv_chunks(spark, d), b.messages(spark, d), 1.6)
+    return found.groupBy("query_id").agg(
+        F.count("*").alias("parts"), F.sum(F.char_length("content")).alias("chars"), F.count_distinct("chunk_id").alias("chunks")
+    )
+
+
+@query(
+    b.sql(
+        """SELECT 'l2' AS level, a.parent_l2_id AS topic_id, a.topic_id AS item, a.title AS content, a.chunk_count
+FROM topics_l1 a JOIN topics_l2 z ON z.topic_id = a.parent_l2_id
+UNION ALL
+SELECT 'l1', a.topic_id, c.nth, replace(substr(c.text, 1, 200), chr(10), ' ') || '...', a.chunk_count
+FROM topics_l1 a JOIN (SELECT *, row_number() OVER (PARTITION BY topic_l1_id ORDER BY ts_from, chunk_id) AS nth FROM chunks WHERE topic_l1_id IS NOT NULL) c
+  ON c.topic_l1_id = a.topic_id AND nth <= 3""",
+        "topics_l2",
+    )
+)
+def topic_detail(spark, d):
+    return search.topic_detail(b.topics_l1(spark, d), b.topics_l2(spark, d), b.chunks(spark, d))
