@@ -113,3 +113,32 @@ def representatives(spark, d):
 def sample_chunks(spark, d):
     """Seeded hash order, which SQL engines do not share; covered by tests."""
     return topics.sample_chunks(b.chunks(spark, d))
+
+
+@query(
+    """WITH RECURSIVE e AS MATERIALIZED (
+  SELECT a.vec_id AS a, o.vec_id AS b FROM embeddings a, embeddings o
+  WHERE a.vec_id <> o.vec_id AND array_distance(CAST(a.embedding AS DOUBLE[64]), CAST(o.embedding AS DOUBLE[64])) <= 1.08),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b)
+SELECT id AS vec_id, min(root) AS root FROM r GROUP BY 1"""
+)
+def components_eps(spark, d):
+    from ..operators.density import flat_cut
+
+    return flat_cut(b.table(spark, d, "embeddings"), 1.08, "vec_id")
+
+
+@query()
+def density_topics(spark, d):
+    """Hierarchical density labels of every vector; compared with brute force in the tests."""
+    from ..operators.density import cluster
+
+    return cluster(b.table(spark, d, "embeddings"), "vec_id", min_cluster_size=3, metric="cosine")
+
+
+@query()
+def spanning_tree(spark, d):
+    from ..operators.density import spanning_tree_of
+
+    tree = spanning_tree_of(b.table(spark, d, "embeddings"), "vec_id", metric="cosine")
+    return tree.withColumn("w", rounded(F.col("w")))

@@ -40,3 +40,109 @@ def flow_batch(events: DataFrame, username: str = USERNAME, account_id: int = AC
         {"counter": F.lit(None).cast("long"), "reason": F.lit(None).cast("string"), "respond": F.lit(False)}
     )
     return heard.unionByName(denied).withColumn("route", route(F.coalesce("reason", F.lit(""))))
+
+
+# --- keyed state -------------------------------------------------------------------
+
+_COUNTED = "chat_id long, seq long, event_id long, counter long, reason string, respond boolean"
+
+
+def _every_n_processor():
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class EveryN(StatefulProcessor):
+        """One counter per chat; decisions follow the batch rule."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.counter = handle.getValueState("counter", "n long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            n = self.counter.get()[0] if self.counter.exists() else 0
+            out = []
+            for pdf in rows:
+                for e in pdf.sort_values("seq").itertuples(index=False):
+                    if e.is_command or e.is_private:
+                        reason = "command_or_private"
+                    elif e.has_mention:
+                        reason = "mentioned"
+                    elif e.frequency < 1:
+                        reason = "freq_zero_no_mention"
+                    elif e.frequency == 1:
+                        reason = "freq_one"
+                    else:
+                        n += 1
+                        reason = f"freq_{'match' if n % e.frequency == 0 else 'skip'}_{n}"
+                    respond = not reason.startswith("freq_skip") and reason != "freq_zero_no_mention"
+                    out.append((key[0], e.seq, e.event_id, n, reason, respond))
+            self.counter.update((n,))
+            yield pd.DataFrame(out, columns=["chat_id", "seq", "event_id", "counter", "reason", "respond"])
+
+        def close(self) -> None:
+            pass
+
+    return EveryN()
+
+
+def respond_every_stream(events: DataFrame) -> DataFrame:
+    """Streaming twin of ``respond_every``; rows of a batch count in ``seq`` order."""
+    return events.groupBy("chat_id").transformWithStateInPandas(
+        statefulProcessor=_every_n_processor(), outputStructType=_COUNTED, outputMode="Append", timeMode="None"
+    )
+
+
+_SESSION = "conv_id long, turn long, depth int, usage long, reset boolean"
+
+
+def _session_processor(max_tokens: int, template: str):
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    from .. import fixed
+
+    frame = template.format(task="", context=fixed.EMPTY_CONTEXT, history="{h}") if "{history}" in template else template
+    overhead = 2 + 4 + len("system") // 4 + 4 + len("user") // 4
+    tail = 5
+
+    class Session(StatefulProcessor):
+        """The last five lines since the last reset."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.lines = handle.getListState("lines", "line string")
+
+        def handleInputRows(self, key, rows, timerValues):
+            lines = [r[0] for r in self.lines.get()]
+            out = []
+            for pdf in rows:
+                for t in pdf.sort_values("turn").itertuples(index=False):
+                    text = "\n".join(lines).strip()
+                    usage = overhead + len(frame.replace("{h}", text)) // 4 if lines else 0
+                    depth = len(lines)
+                    reset = t.role == "user" and depth > 0 and usage >= max_tokens
+                    lines = ([] if reset else lines) + [("User: " if t.role == "user" else "Bot: ") + t.text]
+                    lines = lines[-tail:]
+                    out.append((key[0], t.turn, depth, usage, reset))
+            self.lines.put([(line,) for line in lines])
+            yield pd.DataFrame(out, columns=["conv_id", "turn", "depth", "usage", "reset"])
+
+        def close(self) -> None:
+            pass
+
+    return Session()
+
+
+def session_stream(turns: DataFrame, max_tokens: int = 14000, template: str | None = None) -> DataFrame:
+    """Streaming twin of ``session_reset``."""
+    from .. import fixed
+
+    return turns.groupBy("conv_id").transformWithStateInPandas(
+        statefulProcessor=_session_processor(max_tokens, template or fixed.PROMPT_TEMPLATE), outputStructType=_SESSION, outputMode="Append", timeMode="None"
+    )
+
+
+def flow_stream(events: DataFrame, username: str = USERNAME, account_id: int = ACCOUNT) -> DataFrame:
+    """Streaming twin of ``flow_batch`` for allowed events: gate, keyed count, route."""
+    rows = gated(events, username, account_id).filter("access.allowed")
+    narrow = rows.select("chat_id", "seq", "event_id", "frequency", "has_mention", "is_command", "is_private", F.col("search").isNotNull().alias("wanted"))
+    counted = respond_every_stream(narrow.drop("wanted"))
+    return counted
