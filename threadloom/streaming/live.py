@@ -44,7 +44,7 @@ def flow_batch(events: DataFrame, username: str = USERNAME, account_id: int = AC
 
 # --- keyed state -------------------------------------------------------------------
 
-_COUNTED = "chat_id long, seq long, event_id long, counter long, reason string, respond boolean"
+_COUNTED = "chat_id long, seq long, event_id long, counter long, reason string, respond boolean, hint string"
 
 
 def _every_n_processor():
@@ -74,9 +74,9 @@ def _every_n_processor():
                         n += 1
                         reason = f"freq_{'match' if n % e.frequency == 0 else 'skip'}_{n}"
                     respond = not reason.startswith("freq_skip") and reason != "freq_zero_no_mention"
-                    out.append((key[0], e.seq, e.event_id, n, reason, respond))
+                    out.append((key[0], e.seq, e.event_id, n, reason, respond, e.hint))
             self.counter.update((n,))
-            yield pd.DataFrame(out, columns=["chat_id", "seq", "event_id", "counter", "reason", "respond"])
+            yield pd.DataFrame(out, columns=["chat_id", "seq", "event_id", "counter", "reason", "respond", "hint"])
 
         def close(self) -> None:
             pass
@@ -84,13 +84,20 @@ def _every_n_processor():
     return EveryN()
 
 
-def respond_every_stream(events: DataFrame) -> DataFrame:
-    """Streaming twin of ``respond_every``; rows of a batch count in ``seq`` order."""
+_FLAGS = ("chat_id", "seq", "event_id", "frequency", "has_mention", "is_command", "is_private")
+
+
+def _count(events: DataFrame) -> DataFrame:
     return events.groupBy("chat_id").transformWithStateInPandas(
         statefulProcessor=_every_n_processor(), outputStructType=_COUNTED, outputMode="Append", timeMode="None"
     )
 
 
+def respond_every_stream(events: DataFrame) -> DataFrame:
+    """Streaming twin of ``respond_every``; rows of a batch count in ``seq`` order."""
+    return _count(events.select(*_FLAGS, F.lit("").alias("hint"))).drop("hint")
+
+
 _SESSION = "conv_id long, turn long, depth int, usage long, reset boolean"
 
 
@@ -100,7 +107,7 @@ def _session_processor(max_tokens: int, template: str):
 
     from .. import fixed
 
-    frame = template.format(task="", context=fixed.EMPTY_CONTEXT, history="{h}") if "{history}" in template else template
+    frame = template.format(task="", context=fixed.EMPTY_CONTEXT, history="{h}")
     overhead = 2 + 4 + len("system") // 4 + 4 + len("user") // 4
     tail = 5
 
@@ -143,6 +150,12 @@ def session_stream(turns: DataFrame, max_tokens: int = 14000, template: str | No
 def flow_stream(events: DataFrame, username: str = USERNAME, account_id: int = ACCOUNT) -> DataFrame:
     """Streaming twin of ``flow_batch`` for allowed events: gate, keyed count, route."""
     rows = gated(events, username, account_id).filter("access.allowed")
-    narrow = rows.select("chat_id", "seq", "event_id", "frequency", "has_mention", "is_command", "is_private", F.col("search").isNotNull().alias("wanted"))
-    counted = respond_every_stream(narrow.drop("wanted"))
-    return counted
+    hint = F.when(F.col("search").isNotNull(), F.lit("search")).when(F.col("is_command"), F.lit("command")).otherwise(F.lit(""))
+    counted = _count(rows.select(*_FLAGS, hint.alias("hint")))
+    to = (
+        F.when(F.col("hint") != "", F.col("hint"))
+        .when(F.col("reason") == "freq_zero_no_mention", F.lit("ignored"))
+        .when(F.col("reason").startswith("freq_skip"), F.lit("listen"))
+        .otherwise(F.lit("question"))
+    )
+    return counted.withColumn("route", to).drop("hint")
