@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import strip, token_count
+from ..session import cut
 from .ordered import SEG, numbered, running_sum, segmented, with_halo
 
 TAIL = 5
@@ -184,38 +185,45 @@ def counters(events: DataFrame, key: str = "chat_id", order: str = "seq", parts:
 # --- session budget ----------------------------------------------------------------
 
 
-def usage_by_depth(lines: Column, template: str = fixed.PROMPT_TEMPLATE) -> Column:
-    """Prompt tokens if the last 1..TAIL of ``lines`` (oldest first) were the history."""
-    def at(depth: int) -> Column:
-        text = strip(F.concat(F.array_join(F.slice(lines, F.greatest(F.size(lines) - depth + 1, F.lit(1)), F.lit(depth)), "\n"), F.lit("\n")))
-        prompt = fill_template(F.lit(""), F.lit(fixed.EMPTY_CONTEXT), text, template)
-        call = F.array(
-            F.struct(F.lit("system").alias("role"), prompt.alias("content")),
-            F.struct(F.lit("user").alias("role"), F.lit("").alias("content")),
-        )
-        return prompt_tokens(call)
+def usage_by_depth(window, template: str = fixed.PROMPT_TEMPLATE) -> Column:
+    """Prompt tokens if the last 1..TAIL lines before a turn were the history.
 
-    return F.array(*[at(d) for d in range(1, TAIL + 1)])
+    The rule counts characters, so lengths suffice: lines start with a speaker and only the
+    newest one's trailing blanks are stripped.  Expects ``_len`` and ``_trail`` columns.
+    """
+    frame = template.format(task="", context=fixed.EMPTY_CONTEXT, history="")
+    around = prompt_tokens(
+        F.array(*[F.struct(F.lit(r).alias("role"), F.lit("").alias("content")) for r in ("system", "user")])
+    )
+    total = F.lit(len(frame)) - F.lag("_trail", 1).over(window)
+    depths = []
+    for d in range(1, TAIL + 1):
+        total = total + F.coalesce(F.lag("_len", d).over(window) + F.lit(0 if d == 1 else 1), F.lit(0))
+        depths.append(around + F.floor(total / 4).cast("int"))
+    return F.array(*depths)
 
 
 _SCAN_OUT = "key string, seg int, n long, before array<int>, after array<int>"
 
 
 def _depth_scan(limit: int):
-    """Depth of the history before each turn, for every possible depth at segment entry."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        depth = np.arange(TAIL + 1)
-        before = []
-        for user, usage in zip(pdf["is_user"].to_numpy(), np.array(list(pdf["usage"]))):
-            before.append(depth)
-            if user:
-                full = np.r_[0, usage][depth] >= limit
-                depth = np.where((depth > 0) & full, 0, depth)
-            depth = np.minimum(depth + 1, TAIL)
-        after = [None] * (len(pdf) - 1) + [depth]
-        return pd.DataFrame({"key": pdf["key"], "seg": pdf["seg"], "n": pdf["n"], "before": before, "after": after})
+    """Depth of the history before and after each turn, for every depth at segment entry.
+
+    Rows come sorted by key, segment and number; what a batch ends with carries over."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, depth = None, []
+        for pdf in batches:
+            before, after = [], []
+            for key, seg, user, usage in zip(pdf["key"], pdf["seg"], pdf["is_user"], pdf["usage"]):
+                if at != (key, seg):
+                    at, depth = (key, seg), list(range(TAIL + 1))
+                before.append(depth)
+                if user:
+                    depth = [0 if d and usage[d - 1] >= limit else d for d in depth]
+                depth = [min(d + 1, TAIL) for d in depth]
+                after.append(depth)
+            yield pdf[["key", "seg", "n"]].assign(before=before, after=after)
 
     return run
 
@@ -227,41 +235,39 @@ def session_reset(turns: DataFrame, max_tokens: int = 14000, key: str = "conv_id
     from six entry depths to six exit depths.  Segments are mapped in parallel and the maps
     of a conversation are chained; there are at most as many as partitions.
     """
-    lines = turns.withColumn("_line", speaker_line(F.col("role"), F.col("text")))
-    wide = with_halo(numbered(lines, [key], [order], parts=parts), [key], TAIL)
-    before = Window.partitionBy(key, SEG).orderBy("_n").rowsBetween(-TAIL, -1)
-    rows = wide.withColumn("_usage", usage_by_depth(F.collect_list("_line").over(before))).filter(~F.col("_halo"))
+    line = speaker_line(F.col("role"), F.col("text"))
+    sized = turns.withColumn("_len", F.char_length(line)).withColumn("_trail", F.col("_len") - F.char_length(strip(line)))
+    known = numbered(sized, [key], [order], parts=parts)
+    wide = with_halo(known.select(key, SEG, "_n", "role", "_len", "_trail"), [key], TAIL)
+    window = Window.partitionBy(key, SEG).orderBy("_n")
+    rows = wide.withColumn("usage", usage_by_depth(window)).filter(~F.col("_halo"))
     narrow = rows.select(
         F.col(key).cast("string").alias("key"), F.col(SEG).alias("seg"), F.col("_n").cast("long").alias("n"),
-        (F.col("role") == "user").alias("is_user"), F.col("_usage").alias("usage"),
+        (F.col("role") == "user").alias("is_user"), "usage",
     )
-    scanned = narrow.groupBy("key", "seg").applyInPandas(_depth_scan(max_tokens), _SCAN_OUT)
-    maps = scanned.filter(F.col("after").isNotNull()).groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("seg", "after"))).alias("maps")
+    ordered = narrow.repartition("key", "seg").sortWithinPartitions("key", "seg", "n")
+    scanned = cut(ordered.mapInPandas(_depth_scan(max_tokens), _SCAN_OUT).join(narrow.select("key", "n", "usage"), ["key", "n"]))
+    maps = (
+        scanned.groupBy("key", "seg").agg(F.max_by("after", "n").alias("after"))
+        .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seg", "after"))).alias("maps"))
     )
-    entry = maps.select(
-        "key",
-        F.explode(
-            F.transform(
-                "maps",
-                lambda m: F.struct(
-                    m["seg"].alias("seg"),
-                    F.aggregate(
-                        F.filter("maps", lambda e: e["seg"] < m["seg"]), F.lit(0), lambda d, e: F.element_at(e["after"], d + 1)
-                    ).alias("entry"),
-                ),
-            )
-        ).alias("e"),
-    ).select("key", "e.seg", "e.entry")
-    depths = scanned.join(entry, ["key", "seg"]).select(
-        "key", "n", F.element_at("before", F.col("entry") + 1).alias("depth")
+    chained = F.transform(
+        "maps",
+        lambda m: F.struct(
+            m["seg"].alias("seg"),
+            F.aggregate(
+                F.filter("maps", lambda e: e["seg"] < m["seg"]), F.lit(0), lambda d, e: F.element_at(e["after"], d + 1)
+            ).alias("entry"),
+        ),
     )
-    usage = F.when(F.col("depth") == 0, F.lit(0)).otherwise(F.element_at("_usage", F.greatest("depth", F.lit(1))))
+    entry = maps.select("key", F.explode(chained).alias("e")).select("key", "e.seg", "e.entry")
+    depth = F.element_at("before", F.col("entry") + 1)
+    usage = F.when(depth == 0, F.lit(0)).otherwise(F.element_at("usage", F.greatest(depth, F.lit(1))))
+    found = scanned.join(entry, ["key", "seg"]).select("key", "n", depth.alias("depth"), usage.alias("usage"))
     return (
-        rows.withColumn("key", F.col(key).cast("string"))
+        known.withColumn("key", F.col(key).cast("string"))
         .withColumn("n", F.col("_n").cast("long"))
-        .join(depths, ["key", "n"])
-        .withColumn("usage", usage)
+        .join(found, ["key", "n"])
         .withColumn("reset", (F.col("role") == "user") & (F.col("depth") > 0) & (F.col("usage") >= max_tokens))
-        .drop("key", "n", "_n", "_line", "_usage", "_halo", SEG)
+        .drop("key", "n", "_n", "_len", "_trail", SEG)
     )

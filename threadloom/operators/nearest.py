@@ -152,10 +152,13 @@ def top_k(
         s = s.filter(F.col("cell").isNotNull())
         pairs = within.select(F.col("query_id"), F.col(cell).cast("long").alias("cell")).distinct()
         q = q.join(pairs.groupBy("query_id").agg(F.collect_set("cell").alias("cells")), "query_id")
-    if plan == "auto":
-        plan = "scan" if q.limit(SCAN_QUERIES + 1).count() <= SCAN_QUERIES else "cells"
-    if plan == "scan":
-        hits = _scan(q, s, k, metric, within is not None)
+    few = None
+    if plan in ("auto", "scan"):
+        few = q.limit(SCAN_QUERIES + 1).toArrow()  # bounded, and the count that decides
+        if few.num_rows > SCAN_QUERIES:
+            few = None
+    if few is not None:
+        hits = _scan(few, q, s, k, metric, within is not None)
     elif within is not None:
         hits = _blocks(q.withColumn("cell", F.explode("cells")).drop("cells"), s, k, metric, block_rows)
     else:
@@ -168,7 +171,7 @@ def top_k(
             "query_id",
             F.col("vector_id").alias(vector_id),
             "distance",
-            "rank",
+            F.col("rank").cast("long").alias("rank"),
         )
     )
 
@@ -191,8 +194,7 @@ def _hit_schema(q: DataFrame, s: DataFrame) -> T.StructType:
 # --- plan 1: queries travel, vectors stay ------------------------------------------
 
 
-def _scan(q: DataFrame, s: DataFrame, k: int, metric: str, limited: bool) -> DataFrame:
-    table = q.toArrow()  # at most SCAN_QUERIES rows, counted by the caller
+def _scan(table: pa.Table, q: DataFrame, s: DataFrame, k: int, metric: str, limited: bool) -> DataFrame:
     qid = np.array(table.column("query_id").to_pylist(), dtype=object)
     qvec = prepare(stack(table.column("query_vec")), metric)
     cells = [set(x) for x in table.column("cells").to_pylist()] if limited else None
@@ -377,5 +379,6 @@ def knn(vectors: DataFrame, k: int, *, metric: str = "sq_l2", vector_id: str = "
     return (
         found.withColumn("rank", F.row_number().over(again))
         .filter(F.col("rank") <= k)
+        .withColumn("rank", F.col("rank").cast("long"))
         .withColumnRenamed("query_id", "id")
     )

@@ -18,6 +18,7 @@ from .. import fixed
 from ..config import Config
 from ..functions.text import link_msg_id, message_link, meta_get
 from ..functions.vectors import score, score_hydrated
+from ..session import cut
 from .nearest import top_k
 
 
@@ -79,18 +80,22 @@ def search_two_stage(
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return (
         hits.withColumn("score", graded)
-        .withColumn("rank", F.row_number().over(order))
+        .withColumn("rank", F.row_number().over(order).cast("long"))
         .withColumn("source", F.lit("two_stage"))
     )
 
 
 def search(queries: DataFrame, chunks: DataFrame, topics_l2: DataFrame, k: int, cfg: Config = Config(), **kw) -> DataFrame:
-    """Two-stage hits cut to k; queries it finds nothing for are answered directly."""
+    """Two-stage hits limited to k; queries it finds nothing for are answered directly.
+
+    The hits, k per query at most, are materialised: which queries are left depends on them."""
     direct_queries = queries
     found = None
     if cfg.search_mode == "two_stage":
-        found = search_two_stage(queries, chunks, topics_l2, cfg.l2_top_k, cfg.chunk_top_k, **kw).filter(F.col("rank") <= k)
+        found = cut(search_two_stage(queries, chunks, topics_l2, cfg.l2_top_k, cfg.chunk_top_k, **kw).filter(F.col("rank") <= k))
         direct_queries = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
+        if direct_queries.isEmpty():
+            return found
     direct = (
         search_direct(direct_queries, chunks, k, **kw)
         .withColumn("score", score(F.col("distance")))
@@ -178,7 +183,8 @@ def retrieve(
         )
     limit = min(k, rag_ntop) if rag_ntop > 0 else k
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    best = merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return best.withColumn("rank", F.col("rank").cast("long"))
 
 
 # --- joining hits back to the archive ----------------------------------------------
@@ -273,6 +279,7 @@ def search_contents(
         found = search_direct(queries, chunks, 4 * k, **kw)
         order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     kept = within(found, max_distance).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    kept = kept.withColumn("rank", F.col("rank").cast("long"))
     return message_parts(kept, chunks, messages, dedupe)
 
 

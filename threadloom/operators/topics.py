@@ -164,7 +164,7 @@ def representatives(topics_l2: DataFrame, topics_l1: DataFrame, chunks: DataFram
         .withColumn("place", F.row_number().over(place))
         .filter(F.col("place") <= fixed.MAX_CHUNKS_PER_L2)
         .select(
-            "l2_id", "place", "l1_id", "chunk_id",
+            "l2_id", F.col("place").cast("long").alias("place"), "l1_id", "chunk_id",
             F.concat(
                 F.lit("--- chunk from topic l1-"), F.col("l1_id").cast("string"), F.lit(" ---\n"),
                 F.substring("text", 1, fixed.MAX_CHUNK_CHARS),

@@ -180,7 +180,9 @@ contexts AS (
 def _contexts(spark, d):
     from .search_queries import CFG
 
-    chunks, one, two = b.chunks(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d)
+    from .search_queries import stored
+
+    chunks, one, two = stored(spark, d)
     found = search.retrieve(b.queries(spark, d), chunks, one, two, 5, CFG)
     return history.pack_context(search.hydrate(found, chunks, one, two), 4000)
 
@@ -305,23 +307,23 @@ def live_events(spark, d):
 
 
 def _batches(spark, d):
-    """Stored messages are those of even turns; the incoming batch brings all, users' twice."""
+    """The assistant's messages are stored already; the incoming batch brings all, users' twice."""
     m = b.messages(spark, d)
-    stored = m.filter(F.expr("cast(split(msg_id, '_')[1] as bigint) % 2 = 0"))
-    again = m.filter("from_id = 'user'").withColumn("text", F.concat(F.lit("zz"), "text"))
+    stored = m.filter("from_id = 'assistant'")
+    again = m.filter("from_id = 'user'").withColumn("text", F.concat("text", F.lit("~")))
     return stored, m.unionByName(again)
 
 
-@query(b.sql("SELECT msg_id, text FROM messages WHERE CAST(substr(msg_id, strpos(msg_id, '_') + 1) AS BIGINT) % 2 = 1 AND text < 'zz'", "messages"))
+@query(b.sql("SELECT msg_id, text FROM messages WHERE from_id <> 'assistant'", "messages"))
 def insert_new(spark, d):
-    """Text order decides between repeated ids; texts here sort before their copies."""
-    return hydrate.insert_new(*_batches(spark, d)).select("msg_id", "text").filter("text < 'zz'")
+    """Text order decides between repeated ids; the copies sort after the texts."""
+    return hydrate.insert_new(*_batches(spark, d)).select("msg_id", "text")
 
 
 @query(
     b.sql(
-        """SELECT CAST(count(*) FILTER (WHERE CAST(substr(msg_id, strpos(msg_id, '_') + 1) AS BIGINT) % 2 = 1) AS BIGINT) AS inserted,
-  CAST(count(*) + count(*) FILTER (WHERE from_id = 'user') - count(*) FILTER (WHERE CAST(substr(msg_id, strpos(msg_id, '_') + 1) AS BIGINT) % 2 = 1) AS BIGINT) AS skipped FROM messages""",
+        """SELECT count(*) FILTER (WHERE from_id <> 'assistant') AS inserted,
+  count(*) FILTER (WHERE from_id = 'user') + count(*) FILTER (WHERE from_id = 'assistant') AS skipped FROM messages""",
         "messages",
     )
 )

@@ -89,7 +89,11 @@ def topics_l1(spark, d) -> DataFrame:
 
 
 def topics_l2(spark, d) -> DataFrame:
-    rolled = topic_ops.rollup_l2(topics_l1(spark, d))
+    return super_topics(topics_l1(spark, d))
+
+
+def super_topics(one: DataFrame) -> DataFrame:
+    rolled = topic_ops.rollup_l2(one)
     return rolled.withColumn("title", F.expr("case when topic_id = 1 then '' else concat('Area ', topic_id) end"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.vectors import rounded
 from ..operators import nearest, search
+from ..session import cut
 from . import bindings as b
 from .catalog import query
 
@@ -22,11 +23,17 @@ def _score(df):
     return df.withColumn("score", rounded(F.col("score")))
 
 
-def _similar(spark, d):
+def stored(spark, d):
+    """Chunks and both topic tables; topics are rolled up once, as a build would store them."""
+    one = cut(b.topics_l1(spark, d))
+    return b.chunks(spark, d), one, cut(b.super_topics(one))
+
+
+def _similar(spark, d, one, two):
     q = b.queries(spark, d)
     return (
-        search.similar_topics(q, b.topics_l1(spark, d), 2, CFG.topic_min_similarity),
-        search.similar_topics(q, b.topics_l2(spark, d), 1, CFG.topic_min_similarity),
+        search.similar_topics(q, one, 2, CFG.topic_min_similarity),
+        search.similar_topics(q, two, 1, CFG.topic_min_similarity),
     )
 
 
@@ -72,7 +79,7 @@ def knn_manhattan(spark, d):
     )
 )
 def cosine_topics(spark, d):
-    one, two = _similar(spark, d)
+    one, two = _similar(spark, d, *stored(spark, d)[1:])
     both = one.withColumn("level", F.lit(1)).unionByName(two.withColumn("level", F.lit(2)))
     return both.withColumn("similarity", rounded(F.col("similarity")))
 
@@ -84,7 +91,7 @@ def l2_candidates(spark, d):
 
 @query(b.sql(f"SELECT query_id, chunk_id, {D}, {S}, rank, 'two_stage' AS source FROM two_stage", "two_stage"))
 def two_stage(spark, d):
-    return _score(_distance(search.search_two_stage(b.queries(spark, d), b.chunks(spark, d), b.topics_l2(spark, d), 2, 50)))
+    return _score(_distance(search.search_two_stage(b.queries(spark, d), *stored(spark, d)[::2], 2, 50)))
 
 
 @query(
@@ -97,7 +104,7 @@ def two_stage(spark, d):
 )
 def two_stage_cosine(spark, d):
     return _score(
-        _distance(search.search_two_stage(b.queries(spark, d), b.chunks(spark, d), b.topics_l2(spark, d), 2, 20, mode="cosine"))
+        _distance(search.search_two_stage(b.queries(spark, d), *stored(spark, d)[::2], 2, 20, mode="cosine"))
     )
 
 
@@ -148,24 +155,21 @@ def search_mode(spark, d):
 
 @query(b.sql("SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, source FROM topic_hits", "topic_hits"))
 def topic_hits(spark, d):
-    one, two = _similar(spark, d)
-    return search.topic_hits(one, two, b.chunks(spark, d))
+    chunks, one, two = stored(spark, d)
+    return search.topic_hits(*_similar(spark, d, one, two), chunks)
 
 
 @query(b.sql(f"SELECT query_id, chunk_id, {S}, coalesce(round(distance, 6) + 0.0, -1.0) AS distance, source FROM merged", "merged"))
 def hybrid_merge(spark, d):
-    one, two = _similar(spark, d)
-    chunks = b.chunks(spark, d)
-    hits = search.search_two_stage(b.queries(spark, d), chunks, b.topics_l2(spark, d), 2, 50).filter("rank <= 5")
-    merged = search.merge_hits(hits, search.topic_hits(one, two, chunks))
+    chunks, one, two = stored(spark, d)
+    hits = search.search_two_stage(b.queries(spark, d), chunks, two, 2, 50).filter("rank <= 5")
+    merged = search.merge_hits(hits, search.topic_hits(*_similar(spark, d, one, two), chunks))
     return _score(merged).withColumn("distance", F.coalesce(rounded(F.col("distance")), F.lit(-1.0)))
 
 
 @query(b.sql(f"SELECT query_id, rank, chunk_id, {S}, coalesce(round(distance, 6) + 0.0, -1.0) AS distance, source FROM retrieved", "retrieved"))
 def retrieve(spark, d):
-    found = search.retrieve(
-        b.queries(spark, d), b.chunks(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d), 5, CFG
-    )
+    found = search.retrieve(b.queries(spark, d), *stored(spark, d), 5, CFG)
     return _score(found).withColumn("distance", F.coalesce(rounded(F.col("distance")), F.lit(-1.0)))
 
 
@@ -177,7 +181,7 @@ FROM retrieved r JOIN chunks c USING (chunk_id) LEFT JOIN topics_l1 a ON a.topic
     )
 )
 def hydrate(spark, d):
-    chunks, one, two = b.chunks(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d)
+    chunks, one, two = stored(spark, d)
     found = search.retrieve(b.queries(spark, d), chunks, one, two, 5, CFG)
     blank = F.lit("")
     return _score(search.hydrate(found, chunks, one, two)).select(
@@ -233,7 +237,7 @@ _SHOWN = """rendered AS (SELECT msg_id, substr(msg_id, strpos(msg_id, '_') + 1)
 
 @query(
     b.sql(
-        f"""SELECT query_id, rank, chunk_id, msg_id, part, {D}, content FROM (
+        f"""SELECT query_id, rank, chunk_id, msg_id, CAST(part AS BIGINT) AS part, {D}, content FROM (
   SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank
   FROM direct WHERE rank <= 12 AND distance <= 1.5) h JOIN by_ids USING (chunk_id) JOIN parts USING (msg_id) WHERE h.rank <= 3""",
         "direct", "by_ids", "parts", extra=_SHOWN,

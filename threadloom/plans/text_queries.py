@@ -75,7 +75,7 @@ def link_info(spark, d):
 
 
 @query(
-    """SELECT conv_id, turn, CASE role WHEN 'system' THEN -1.0 WHEN 'user' THEN 1.5 ELSE length(text) + 0.5 END AS threshold,
+    """SELECT conv_id, turn, CAST(CASE role WHEN 'system' THEN -1.0 WHEN 'user' THEN 1.5 ELSE length(text) + 0.5 END AS DOUBLE) AS threshold,
   CASE role WHEN 'system' THEN '' ELSE regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') END AS query,
   CASE role WHEN 'system' THEN 'threshold_without_query' ELSE '' END AS error FROM conversations"""
 )
@@ -173,13 +173,14 @@ def title_responses(spark, d):
         .when(F.col("doc_id") % 6 == 4, F.concat(F.lit("{\"title\": "), F.to_json(F.struct("source")), F.lit("}")))
         .otherwise(F.col("text"))
         .alias("response"),
+        "lang",
     )
 
 
 _TITLES = """titles AS (
   SELECT doc_id AS topic_id, CASE WHEN doc_id % 6 IN (0, 1, 2) THEN CASE WHEN n_chars % 11 = 0 THEN 'empty_value' ELSE 'ok' END
      WHEN doc_id % 6 = 3 THEN 'not_an_object' WHEN doc_id % 6 = 4 THEN 'missing_key' ELSE 'invalid_json' END AS status,
-     'About ' || source AS title, text AS description FROM documents)"""
+     'About ' || source AS title, text AS description, lang FROM documents)"""
 
 
 @query(
@@ -198,8 +199,8 @@ def title_response(spark, d):
 
 @query(
     b.sql(
-        """SELECT topic_id, CASE WHEN status = 'ok' AND topic_id % 5 <> 4 THEN title WHEN topic_id % 5 = 4 THEN 'kept' ELSE 'unknown' END AS title,
-  CASE WHEN status = 'ok' AND topic_id % 5 <> 4 THEN description WHEN topic_id % 5 = 4 THEN 'old' ELSE 'Failed to generate description after retries.' END AS descr
+        """SELECT topic_id, CASE WHEN lang = 'de' THEN 'kept' WHEN status = 'ok' THEN title ELSE 'unknown' END AS title,
+  CASE WHEN lang = 'de' THEN 'old' WHEN status = 'ok' THEN description ELSE 'Failed to generate description after retries.' END AS descr
   FROM titles""",
         extra=_TITLES,
     )
@@ -209,7 +210,7 @@ def apply_titles(spark, d):
 
     responses = title_responses(spark, d)
     topics = responses.select("topic_id", F.lit("kept").alias("title"), F.lit("old").alias("descr"))
-    return op(topics, responses.filter("topic_id % 5 <> 4"))
+    return op(topics, responses.filter("lang <> 'de'"))
 
 
 @query(
