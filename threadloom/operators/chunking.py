@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from .. import fixed
 from ..config import Config
 from ..functions.text import chunk_prefix, compose_id, format_message, raw_id, token_count
-from ..session import cut, partitions
+from ..session import cut
+from .ordered import ranged
 
 
 # --- scans over one run of messages (inside tasks) ---------------------------------
@@ -97,8 +98,8 @@ def _sorted_lines(messages: DataFrame, token_counter, parts: int | None) -> Data
         F.coalesce("from_id", F.lit(fixed.UNKNOWN_SENDER)).alias("sender"),
         line.alias("line"),
     ).withColumn("tok", token_counter(F.col("line")).cast("long"))
-    n = parts or partitions(messages.sparkSession)
-    placed = lines.repartitionByRange(n, "chat_id", "ts", "msg_id").sortWithinPartitions("chat_id", "ts", "msg_id")
+    by = ["chat_id", "ts", "msg_id"]
+    placed = ranged(lines, by, parts).sortWithinPartitions(*by)
     return cut(placed.withColumn("pos", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()))
 
 

@@ -91,16 +91,10 @@ def pack_context(hits: DataFrame, budget: int = 8000) -> DataFrame:
         F.when(F.col("_cum") <= budget, F.col("_block"))
         .when(~over_before & (left > 100), F.concat(F.expr(f"substring(_block, 1, cast({budget} - (_cum - _len) as int))"), F.lit("...\n")))
     )
-    packed = (
-        blocks.withColumn("_piece", piece)
-        .filter(F.col("_piece").isNotNull())
-        .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_i", "_piece"))).alias("_p"))
-        .select("query_id", F.array_join(F.col("_p._piece"), "").alias("_text"))
-    )
-    asked = hits.select("query_id").distinct()
-    text = F.when(F.coalesce("_text", F.lit("")) == "", F.lit(fixed.EMPTY_CONTEXT)).otherwise(strip(F.col("_text")))
-    return asked.join(packed, "query_id", "left").select("query_id", text.alias("context"))
+    kept = F.when(piece.isNotNull(), F.struct(F.col("_i"), piece.alias("_piece")))  # collect_list skips nulls
+    packed = blocks.withColumn("_kept", kept).groupBy("query_id").agg(F.array_sort(F.collect_list("_kept")).alias("_p"))
+    text = F.array_join("_p._piece", "")
+    return packed.select("query_id", F.when(text == "", F.lit(fixed.EMPTY_CONTEXT)).otherwise(strip(text)).alias("context"))
 
 
 def fill_template(task: Column, context: Column, history: Column, template: str = fixed.PROMPT_TEMPLATE) -> Column:

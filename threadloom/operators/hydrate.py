@@ -28,12 +28,19 @@ def insert_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return flags.agg(F.sum("new").alias("inserted"), (F.sum("seen") - F.sum("new")).alias("skipped"))
 
 
+def _micros(name: str):
+    """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
+    return F.expr(
+        f"cast(date_diff(to_date({name}), date'1970-01-01') as bigint) * 86400000000 + hour({name}) * 3600000000 "
+        f"+ minute({name}) * 60000000 + cast(extract(second from {name}) * 1000000 as bigint)"
+    )
+
+
 def _bucketed(messages: DataFrame) -> DataFrame:
     """Per chat, the time width that holds about ``TARGET_BUCKET_ROWS`` messages."""
-    span = F.greatest(
-        F.lit(1), F.ceil((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) * TARGET_BUCKET_ROWS / F.count("*"))
-    )
-    return messages.groupBy("chat_id").agg(span.cast("long").alias("width"))
+    ends = messages.groupBy("chat_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n"))
+    span = F.ceil((_micros("hi") - _micros("lo")) * TARGET_BUCKET_ROWS / F.col("n"))
+    return ends.select("chat_id", F.greatest(F.lit(1), span).cast("long").alias("width"))
 
 
 def range_members(ranges: DataFrame, messages: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -43,20 +50,19 @@ def range_members(ranges: DataFrame, messages: DataFrame, lo: str, hi: str) -> D
     buckets, so even one huge chat joins on many keys.  A message lies in exactly one
     bucket, hence no row comes twice.
     """
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     width = _bucketed(messages)
     left = (
         ranges.filter(F.col(lo) <= F.col(hi))
         .join(width, "chat_id")
         .withColumn(
             "_bucket",
-            F.explode(F.sequence(F.floor(micros(lo) / F.col("width")), F.floor(micros(hi) / F.col("width")))),
+            F.explode(F.sequence(F.floor(_micros(lo) / F.col("width")), F.floor(_micros(hi) / F.col("width")))),
         )
         .drop("width")
     )
     right = messages.join(width, "chat_id").select(
         "chat_id",
-        F.floor(micros("ts") / F.col("width")).alias("_bucket"),
+        F.floor(_micros("ts") / F.col("width")).alias("_bucket"),
         "ts",
         "msg_id",
         "from_id",

@@ -11,15 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, partitions
+from ..session import cut
 
 SEG = "_seg"
 
 
 def segmented(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
-    """``df`` with its range segment in ``_seg``; order it by ``keys + order`` must be unique."""
-    n = parts or partitions(df.sparkSession)
-    return cut(df.repartitionByRange(n, *keys, *order).withColumn(SEG, F.spark_partition_id()))
+    """``df`` with its range segment in ``_seg``; ``keys + order`` must be unique.
+
+    Without ``parts`` the session's partition count is the upper limit and adjacent small
+    ranges are joined at run time, which keeps segments in order.
+    """
+    return cut(ranged(df, [*keys, *order], parts).withColumn(SEG, F.spark_partition_id()))
+
+
+def ranged(df: DataFrame, by: list[str], parts: int | None = None) -> DataFrame:
+    return df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
 
 
 def running_sum(seg: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import embed
 from ..functions.text import token_count
 from ..functions.vectors import rounded
 from ..operators import audit, chunking, history, hydrate, mutate, search
+from ..session import cut
 from ..sources import dumps, index
 from . import bindings as b
 from .catalog import query
@@ -201,7 +202,7 @@ def context_pack(spark, d):
     )
 )
 def build_prompts(spark, d):
-    contexts = _contexts(spark, d)
+    contexts = cut(_contexts(spark, d))
     tasks = b.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("task"))
     asked = tasks.join(contexts.select("query_id"), "query_id", "left_semi")
     last = history.history_window(b.table(spark, d, "conversations")).groupBy(F.col("conv_id").alias("query_id")).agg(

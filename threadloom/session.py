@@ -45,7 +45,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably and drop its lineage (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
