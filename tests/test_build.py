@@ -51,6 +51,8 @@ def test_preconditions(spark, tmp_path):
     for stage in (archive.chunks, archive.vectors, archive.chunk_index, archive.topics_l1, archive.topics_l2):
         with pytest.raises(EmptyInput):
             stage()
+    archive.append("messages", [{"msg_id": "1_1", "chat_id": "1", "text": "hi"}])
+    assert archive.read("messages").first().text == "hi"
     with pytest.raises(ValueError):
         Config(chunk_overlap_ratio=2.0)
 

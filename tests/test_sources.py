@@ -162,7 +162,7 @@ def test_insert_and_snapshots(spark):
 def test_chunk_messages_edges(spark):
     t = lambda d: dt.datetime(2024, 1, d)
     m = spark.createDataFrame([(f"c_{i}", "c", t(i), "u", str(i)) for i in range(1, 6)] + [("d_2", "d", t(2), "u", "o")], "msg_id string, chat_id string, ts timestamp_ntz, from_id string, text string")
-    rows = [("in", "c", "c_2", "c_4", None, None), ("one", "c", "c_3", "c_3", None, None), ("noend", "c", "c_2", "c_99", None, None), ("nostart", "c", "c_77", "c_4", None, None), ("null", "c", None, None, None, None), ("win", "c", "c_1", "c_1", t(2), t(3)), ("far", "c", "c_1", "c_2", t(20), t(21)), ("last", "c", "c_5", "c_1", t(20), t(21))]
+    rows = [("in", "c", "c_2", "c_4", None, None), ("one", "c", "c_3", "c_3", None, None), ("noend", "c", "c_2", "c_99", None, None), ("nostart", "c", "c_77", "c_4", None, None), ("null", "c", None, None, None, None), ("win", "c", "c_1", "c_1", t(2), t(3)), ("far", "c", "c_1", "c_2", t(20), t(21)), ("last", "c", "c_5", "c_1", t(20), t(21)), ("wide", "d", "d_2", "d_2", t(1), dt.datetime(2034, 1, 1))]
     c = spark.createDataFrame(rows, "chunk_id string, chat_id string, msg_id_start string, msg_id_end string, ts_from timestamp_ntz, ts_to timestamp_ntz")
     def got(by):
         out = {}
@@ -174,4 +174,5 @@ def test_chunk_messages_edges(spark):
     assert "nostart" not in ids and "null" not in ids
     ts = got("ts")
     assert ts["win"] == ["c_2", "c_3"] and ts["far"] == ["c_1", "c_2"] and ts["last"] == ["c_5"]
+    assert ts["wide"] == ["d_2"]
     assert ts["noend"] == ["c_2", "c_3", "c_4", "c_5"]

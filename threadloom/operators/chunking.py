@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .. import fixed
 from ..config import Config
 from ..functions.text import chunk_prefix, compose_id, format_message, raw_id, token_count
-from ..session import cut
+from ..session import cut, cut_in_place
 from .ordered import ranged
 
 
@@ -100,7 +100,7 @@ def _sorted_lines(messages: DataFrame, token_counter, parts: int | None) -> Data
     ).withColumn("tok", token_counter(F.col("line")).cast("long"))
     by = ["chat_id", "ts", "msg_id"]
     placed = ranged(lines, by, parts).sortWithinPartitions(*by)
-    return cut(placed.withColumn("pos", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()))
+    return cut_in_place(placed.withColumn("pos", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()))
 
 
 _SUMMARY = "part int, first_chat string, last_chat string, breaks array<long>, exits array<long>, total long, open long"
@@ -183,7 +183,7 @@ def membership(messages: DataFrame, cfg: Config = Config(), token_counter=token_
         out = table.select(own_fields).append_column("is_start", pa.array(start))
         yield from out.to_batches()
 
-    marked = cut(lines.mapInArrow(mark, own_schema).withColumn("part", F.spark_partition_id()))
+    marked = cut_in_place(lines.mapInArrow(mark, own_schema).withColumn("part", F.spark_partition_id()))
     return _members(marked, target, nl)
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .ordered import running_sum, segmented
+
 TARGET_BUCKET_ROWS = 256
 
 
@@ -40,25 +43,30 @@ def _bucketed(messages: DataFrame) -> DataFrame:
     """Per chat, the time width that holds about ``TARGET_BUCKET_ROWS`` messages."""
     ends = messages.groupBy("chat_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n"))
     span = F.ceil((_micros("hi") - _micros("lo")) * TARGET_BUCKET_ROWS / F.col("n"))
-    return ends.select("chat_id", F.greatest(F.lit(1), span).cast("long").alias("width"))
+    return ends.select(
+        "chat_id", F.greatest(F.lit(1), span).cast("long").alias("width"), F.col("lo").alias("_first"), F.col("hi").alias("_last")
+    )
 
 
 def range_members(ranges: DataFrame, messages: DataFrame, lo: str, hi: str) -> DataFrame:
     """Messages of ``chat_id`` with ``lo <= ts <= hi`` for every range row.
 
     Time is cut into buckets as wide as the chat is busy; a range meets only its own
-    buckets, so even one huge chat joins on many keys.  A message lies in exactly one
-    bucket, hence no row comes twice.
+    buckets, so even one huge chat joins on many keys.  Ranges are clipped to the chat's
+    own time first, so a wide one meets no more buckets than the chat has.  A message lies
+    in exactly one bucket, hence no row comes twice.
     """
     width = _bucketed(messages)
     left = (
         ranges.filter(F.col(lo) <= F.col(hi))
         .join(width, "chat_id")
+        .withColumns({"_a": F.greatest(lo, "_first"), "_z": F.least(hi, "_last")})
+        .filter(F.col("_a") <= F.col("_z"))
         .withColumn(
             "_bucket",
-            F.explode(F.sequence(F.floor(_micros(lo) / F.col("width")), F.floor(_micros(hi) / F.col("width")))),
+            F.explode(F.sequence(F.floor(_micros("_a") / F.col("width")), F.floor(_micros("_z") / F.col("width")))),
         )
-        .drop("width")
+        .drop("width", "_first", "_last", "_a", "_z")
     )
     right = messages.join(width, "chat_id").select(
         "chat_id",
@@ -99,8 +107,9 @@ def chunk_messages(chunks: DataFrame, messages: DataFrame, by: str = "ids") -> D
         F.coalesce("chat_id", F.lit("")) != ""
     )
     by_time = range_members(base.filter(F.col("ts_from").isNotNull() & F.col("ts_to").isNotNull()), messages, "ts_from", "ts_to").select(out)
-    left_over = base.join(by_time.select("chunk_id").distinct(), "chunk_id", "left_anti")
-    # ids compare as text, so the range is found among the chat's ids; few chunks get here
+    left_over = cut(base.join(by_time.select("chunk_id").distinct(), "chunk_id", "left_anti"))
+    if left_over.isEmpty():
+        return by_time
     by_id = _id_range(left_over, messages).select(out)
     last = (
         left_over.join(by_id.select("chunk_id").distinct(), "chunk_id", "left_anti")
@@ -112,25 +121,32 @@ def chunk_messages(chunks: DataFrame, messages: DataFrame, by: str = "ids") -> D
 
 
 def _id_range(chunks: DataFrame, messages: DataFrame) -> DataFrame:
-    """Text-range join on ids, keyed by the longest prefix both ends of a range share."""
+    """Messages whose id lies, as text, between a chunk's start and end id.
+
+    Ids and range ends are put in one order; counting ids along it turns every range into
+    positions, which join in blocks like times do.
+    """
     ends = chunks.filter((F.coalesce("msg_id_start", F.lit("")) != "") & (F.coalesce("msg_id_end", F.lit("")) != ""))
-    at = F.expr(
-        "aggregate(sequence(1, greatest(least(length(msg_id_start), length(msg_id_end)), 1)), 0, (acc, i) -> "
-        "if(acc = i - 1 and substring(msg_id_start, i, 1) = substring(msg_id_end, i, 1), i, acc))"
+    nobody = F.lit(None).cast(ends.schema["chunk_id"].dataType).alias("chunk_id")
+    ids = messages.join(ends.select("chat_id").distinct(), "chat_id", "left_semi").select(
+        "chat_id", F.col("msg_id").alias("at"), F.lit(1).alias("kind"), nobody
     )
-    keyed = ends.withColumn("_n", at).withColumn("_key", F.expr("substring(msg_id_start, 1, _n)"))
-    sizes = keyed.select("chat_id", "_n").distinct().groupBy("chat_id").agg(F.collect_set("_n").alias("_ns"))
-    right = (
-        messages.join(sizes, "chat_id")
-        .withColumn("_n", F.explode("_ns"))
-        .select(
-            "chat_id", "_n", F.expr("substring(msg_id, 1, _n)").alias("_key"), "ts", "msg_id", "from_id",
-            F.col("text").alias("text_message"),
+    lows = ends.select("chat_id", F.col("msg_id_start").alias("at"), F.lit(0).alias("kind"), "chunk_id")
+    highs = ends.select("chat_id", F.col("msg_id_end").alias("at"), F.lit(2).alias("kind"), "chunk_id")
+    order = ["at", "kind", "chunk_id"]
+    placed = cut(
+        running_sum(
+            segmented(ids.unionByName(lows).unionByName(highs), ["chat_id"], order), ["chat_id"], order, (F.col("kind") == 1).cast("long"), "n"
         )
     )
-    return keyed.join(right, ["chat_id", "_n", "_key"]).filter(
-        F.col("msg_id").between(F.col("msg_id_start"), F.col("msg_id_end"))
-    )
+    spans = placed.filter("kind <> 1").groupBy("chat_id", "chunk_id").agg(
+        F.max(F.when(F.col("kind") == 0, F.col("n") + 1)).alias("lo"), F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("hi")
+    ).filter("lo <= hi")
+    block = lambda c: F.floor(F.col(c) / TARGET_BUCKET_ROWS)
+    left = spans.withColumn("_block", F.explode(F.sequence(block("lo"), block("hi"))))
+    right = placed.filter("kind = 1").select("chat_id", F.col("at").alias("msg_id"), "n", block("n").alias("_block"))
+    found = left.join(right, ["chat_id", "_block"]).filter(F.col("n").between(F.col("lo"), F.col("hi"))).select("chunk_id", "msg_id")
+    return found.join(messages.select("msg_id", "ts", "from_id", F.col("text").alias("text_message")), "msg_id")
 
 
 def orphans(index: DataFrame, store: DataFrame) -> DataFrame:

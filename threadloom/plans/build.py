@@ -52,6 +52,12 @@ class Archive:
     def write(self, name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(self._path(name, self._version(name) + 1))
 
+    def append(self, name: str, rows: list[dict]) -> None:
+        """Add single rows to a table; missing fields are null."""
+        schema = self.SCHEMAS[name]
+        new = self.spark.createDataFrame([tuple(r.get(f) for f in schema.fieldNames()) for r in rows], schema)
+        self.write(name, self.read(name).unionByName(new, allowMissingColumns=True))
+
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.read(name) for name in self.SCHEMAS}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and drop its lineage (survives executor loss)."""
+    """``df`` written once as a table in the shared folder and read back: its lineage ends
+    there, later plans see its true size, and executors may come and go."""
+    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_in_place(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, for frames whose partitions and row order must survive."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
