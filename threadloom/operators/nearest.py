@@ -29,6 +29,7 @@ from ..session import cut
 
 SCAN_QUERIES = 2048
 MAX_PIVOTS = 512
+PUSHED_CELLS = 1000
 BLOCK_ROWS = 16384
 STEP = 1024
 METRICS = ("sq_l2", "l2", "cosine", "manhattan")
@@ -197,7 +198,15 @@ def _hit_schema(q: DataFrame, s: DataFrame) -> T.StructType:
 def _scan(table: pa.Table, q: DataFrame, s: DataFrame, k: int, metric: str, limited: bool) -> DataFrame:
     qid = np.array(table.column("query_id").to_pylist(), dtype=object)
     qvec = prepare(stack(table.column("query_vec")), metric)
-    cells = [set(x) for x in table.column("cells").to_pylist()] if limited else None
+    known = member = None
+    if limited:
+        cells = table.column("cells").to_pylist()
+        known = np.array(sorted({c for mine in cells for c in mine}), dtype=np.int64)
+        member = np.zeros((len(cells), len(known)), dtype=bool)
+        for row, mine in enumerate(cells):
+            member[row, np.searchsorted(known, mine)] = True
+        if len(known) <= PUSHED_CELLS:  # reaches the scan, and prunes an index laid out by cell
+            s = s.filter(F.col("cell").isin([int(c) for c in known]))
     schema = _hit_schema(q, s)
     names = schema.fieldNames()
 
@@ -206,13 +215,16 @@ def _scan(table: pa.Table, q: DataFrame, s: DataFrame, k: int, metric: str, limi
         for batch in batches:
             if not len(batch) or not len(qid):
                 continue
-            svec = prepare(stack(batch.column("vector")), metric)
-            sid = as_ids(batch.column("vector_id"))
             allowed = None
             if limited:
                 cell = as_ids(batch.column("cell"))
-                allowed = np.array([[c in mine for c in cell] for mine in cells]) if len(cells) * len(cell) < 4096 else \
-                    np.vstack([np.isin(cell, list(mine)) for mine in cells])
+                asked = np.isin(cell, known)
+                if not asked.any():
+                    continue
+                batch = batch.filter(pa.array(asked))
+                allowed = member[:, np.searchsorted(known, cell[asked])]
+            svec = prepare(stack(batch.column("vector")), metric)
+            sid = as_ids(batch.column("vector_id"))
             r, c, d = tile_top_k(qvec, svec, sid, k, metric, allowed)
             ids = sid[c]
             if best is not None:
