@@ -528,8 +528,8 @@ def check_dim(spark, d):
 
 
 @query(
-    """SELECT doc_id AS id, coalesce(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' END, CASE WHEN e.vec_id IS NOT NULL THEN 'old' END) AS origin
-FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id WHERE e.vec_id IS NOT NULL OR doc_id IN (SELECT doc_id FROM labels)"""
+    """SELECT coalesce(l.doc_id, e.vec_id) AS id, CASE WHEN l.doc_id IS NOT NULL THEN 'new' ELSE 'old' END AS origin
+FROM labels l FULL OUTER JOIN embeddings e ON e.vec_id = l.doc_id"""
 )
 def sync_index(spark, d):
     old = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("old").alias("origin"), F.array(F.lit(1.0)).alias("vector"))

@@ -76,7 +76,7 @@ def topic_children(spark, d):
 
 @query(
     """SELECT vec_id AS chunk_id, CASE WHEN label < 8 THEN label ELSE -1 END AS topic_l1_id,
-  CASE WHEN label IN (0, 1, 2, 4, 5, 6) THEN label % 4 ELSE -1 END AS topic_l2_id FROM embeddings"""
+  CASE WHEN label IN (0, 1, 2, 4, 5, 6) THEN label % 4 ELSE -1 END AS topic_l2_id FROM embeddings JOIN documents ON vec_id = doc_id"""
 )
 def assign_topics(spark, d):
     """Labels to chunks, super-labels to topics, and those on to the chunks."""
