@@ -176,3 +176,16 @@ def test_chunk_messages_edges(spark):
     assert ts["win"] == ["c_2", "c_3"] and ts["far"] == ["c_1", "c_2"] and ts["last"] == ["c_5"]
     assert ts["wide"] == ["d_2"]
     assert ts["noend"] == ["c_2", "c_3", "c_4", "c_5"]
+
+
+def test_sample_chunks(spark):
+    from threadloom.operators.topics import sample_chunks
+
+    df = spark.range(60).select(
+        F.col("id").cast("string").alias("chunk_id"), F.when(F.col("id") < 58, F.col("id") % 4).alias("topic_l1_id"), F.lit("t" * 300).alias("text")
+    )
+    pick = lambda frame, seed: sorted((r.topic_id, r.nth, r.chunk_id) for r in sample_chunks(frame, 5, seed).collect())
+    one = pick(df, 1)
+    assert len(one) == 20 and {t for t, _, _ in one} == {0, 1, 2, 3} and all(int(c) % 4 == t for t, _, c in one)
+    assert one == pick(df.repartition(7), 1) and one != pick(df, 2)
+    assert len(sample_chunks(df).first().block) == len("Chunk 1:\n") + 203
