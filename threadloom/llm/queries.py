@@ -90,3 +90,25 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
         FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0))
 WHERE rank <= 10
 """
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, identify
+    from .text_bytes import held_out
+
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{held_out(5, 0)} AS held_out", "text", "lang")
+    found = identify(docs.drop("lang"), fit(docs.where("NOT held_out")), ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .text_bytes import held_out
+    from .toxicity import FIT_ROWS, fit, labelled_rows, score
+
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{held_out(3, 1)} AS held_out", "text")
+    labels = table(spark, sf_dir, "labels").where(f"NOT {held_out(3, 1)}")
+    model = fit(docs, labelled_rows(docs, labels, "toxic", FIT_ROWS))
+    found = score(docs, model, ["doc_id", "held_out"])
+    return found.withColumn("predicted", (found["score"] >= 0.7).cast("int"))
