@@ -112,3 +112,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, labelled_rows(docs, labels, "toxic", FIT_ROWS))
     found = score(docs, model, ["doc_id", "held_out"])
     return found.withColumn("predicted", (found["score"] >= 0.7).cast("int"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import FIT_ROWS, fit, labelled_rows, score
+    from .text_bytes import held_out
+
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{held_out(5, 0)} AS held_out", "text")
+    labels = table(spark, sf_dir, "labels").where(f"NOT {held_out(5, 0)}")
+    found = score(docs, fit(labelled_rows(docs, labels, "quality", FIT_ROWS)), ["doc_id", "held_out"])
+    return found.withColumn("predicted", (found["score"] >= 0.3).cast("int"))
