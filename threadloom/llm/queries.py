@@ -123,3 +123,26 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(f"NOT {held_out(5, 0)}")
     found = score(docs, fit(labelled_rows(docs, labels, "quality", FIT_ROWS)), ["doc_id", "held_out"])
     return found.withColumn("predicted", (found["score"] >= 0.3).cast("int"))
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .blocks import shared_folder
+    from .warc import build_index, capture_key, look_up, write_archives
+
+    pages, folder = table(spark, sf_dir, "pages"), shared_folder(spark, "warc")
+    shards = build_index(write_archives(pages, folder), folder)
+    asked = pages.select(capture_key(F.col("url"), F.col("page_id")).alias("key"))
+    return look_up(asked, shards, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op2_warc"] = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, payload_bytes, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
+"""
