@@ -146,3 +146,15 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN '
     CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
 """
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .blocks import shared_folder
+    from .token_files import token_counts
+
+    # 50256 is no id of the vocabulary
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_counts(table(spark, sf_dir, "documents"), shared_folder(spark, "tokens"), path, public_tokenizers.PATTERN, 50256)
