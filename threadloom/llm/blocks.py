@@ -6,6 +6,8 @@ import uuid
 
 import pyarrow as pa
 
+from pyspark.sql import types as T
+
 from threadloom.session import checkpoint_dir
 
 BLOCK_BYTES = 4_000_000
@@ -31,3 +33,8 @@ def blocks(batches, column: str, limit: int = BLOCK_BYTES):
 def shared_folder(spark, what: str) -> str:
     """A new folder name below the shared folder the session names."""
     return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def extended(schema: T.StructType, fields: list[tuple[str, T.DataType]]) -> T.StructType:
+    """The schema with more fields at its end."""
+    return T.StructType([*schema.fields, *(T.StructField(name, kind) for name, kind in fields)])

@@ -189,18 +189,17 @@ class Codec:
         ids = [",".join([known[x] for x in parts]) for parts in texts]
         return ids, [x.count(",") + 1 if x else 0 for x in ids]
 
-    def decode(self, ids: list[str]) -> list[bytes]:
-        """The bytes of each list of ids."""
+    def decode(self, parts) -> list[bytes]:
+        """The bytes of each array of ids."""
         import numpy as np
 
-        parts = [np.fromstring(x, np.int32, sep=",") if x else np.empty(0, np.int32) for x in ids]
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
         d = np.repeat(np.arange(len(parts), dtype=np.int32), lengths)
         self.db.register("ids_in", pa.table({"d": d, "p": np.arange(len(flat), dtype=np.int64), "tok": flat}))
         found = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("ids_in")
-        out = [b""] * len(ids)
+        out = [b""] * len(parts)
         for i, text in zip(found["d"].to_pylist(), found["text"].to_pylist(), strict=True):
             out[i] = text.encode("latin-1")
         return out
@@ -218,11 +217,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
         import gc
         import hashlib
 
+        import numpy as np
+
         gc.disable()  # millions of live strings, no cycles
         codec = Codec(read_ranks(ranks_path), pattern)
         for part in blocks(batches, "text", 2_000_000):
             ids, counts = codec.encode([x or "" for x in part["text"].to_pylist()])
-            decoded = codec.decode(ids)
+            parts = [np.fromstring(x, np.int32, sep=",") if x else np.empty(0, np.int32) for x in ids]
+            decoded = codec.decode(parts)
             out = {
                 "doc_id": part["doc_id"],
                 "n_tokens": pa.array(counts, pa.int64()),
@@ -230,7 +232,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
                 "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
             }
             if keep_ids:
-                out["ids"] = pa.array([[int(y) for y in x.split(",")] if x else [] for x in ids], pa.list_(pa.int32()))
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), np.concatenate(parts))
             if keep_decoded:
                 out["decoded"] = pa.array(decoded, pa.binary())
             yield pa.RecordBatch.from_pydict(out)

@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .blocks import blocks
+from .blocks import blocks, extended
 from .text_bytes import lower_bytes, sums
 
 BUCKETS = 1 << 15
@@ -136,12 +137,11 @@ def fit(rows: DataFrame) -> LanguageModel:
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] = ()) -> DataFrame:
     """``keep`` columns of ``docs`` with ``lang_pred, score, ambiguous`` of the column ``text``."""
     columns = list(keep)
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema), "lang_pred string", "score double", "ambiguous boolean"])
+    fields = extended(docs.select(*columns).schema, [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType())])
 
     def task(batches):
         for part in blocks(batches, "text", 1_000_000):
             language, score, ambiguous = model.answers(part["text"])
             yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), pa.array(language, pa.string()), pa.array(score), pa.array(ambiguous)], [*columns, "lang_pred", "score", "ambiguous"])
 
-    wanted = columns if "text" in columns else [*columns, "text"]
-    return docs.select(*wanted).mapInArrow(task, fields)
+    return docs.select(*(columns if "text" in columns else [*columns, "text"])).mapInArrow(task, fields)

@@ -21,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.session import cut
 
-from .blocks import blocks
+from .blocks import blocks, extended
 from .text_bytes import Words, lower_bytes, raw_bytes, sums
 from .toxicity import labelled_rows  # noqa: F401  the same bounded choice of rows
 
@@ -76,7 +77,7 @@ def measure(texts: pa.Array) -> np.ndarray:
 def statistics(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     """``keep`` columns of ``docs`` with the statistics of the column ``text``."""
     columns = list(keep)
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema), *(f"`{x}` double" for x in STATISTICS)])
+    fields = extended(docs.select(*columns).schema, [(x, T.DoubleType()) for x in STATISTICS])
 
     def task(batches):
         for part in blocks(batches, "text", 2_000_000):

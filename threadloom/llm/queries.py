@@ -158,3 +158,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # 50256 is no id of the vocabulary
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return token_counts(table(spark, sf_dir, "documents"), shared_folder(spark, "tokens"), path, public_tokenizers.PATTERN, 50256)
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .mixing import copies, fit_domains, rates
+    from .text_bytes import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_domains(docs.where(f"NOT {held_out(5, 0)}").select("text", F.col("lang").alias("domain")))
+    found = rates(docs, model, keep=["doc_id", "source"])
+    return found.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))

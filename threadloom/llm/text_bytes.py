@@ -63,7 +63,7 @@ class Words:
         at = np.arange(len(self.starts)) if length is None else np.flatnonzero(self.ends - self.starts > length)
         s = self.starts[at]
         e = self.ends[at] if length is None else s + length
-        return at, mix((self._total[e] - self._total[s]) * self._back[s] + np.uint64(length or 0) * _BASE)
+        return at, mix((self._total[e] - self._total[s]) * self._back[s] + np.uint64((length or 0) * int(_BASE) % 2**64))
 
 
 def held_out(divisor: int, remainder: int) -> str:

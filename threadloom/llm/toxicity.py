@@ -27,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.session import cut
 
-from .blocks import blocks
+from .blocks import blocks, extended
 from .text_bytes import Words, lower_bytes, raw_bytes
 
 EVIDENCE = 20_000
@@ -350,12 +351,11 @@ def fit(docs: DataFrame, rows: DataFrame) -> ToxicityModel:
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] = ()) -> DataFrame:
     """``keep`` columns of ``docs`` with the ``score`` of the column ``text``."""
     columns = list(keep)
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema), "score double"])
+    fields = extended(docs.select(*columns).schema, [("score", T.DoubleType())])
 
     def task(batches):
         for part in blocks(batches, "text", 1_000_000):
             found = model.score(model.evidence(part["text"]))
             yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), pa.array(found)], [*columns, "score"])
 
-    wanted = columns if "text" in columns else [*columns, "text"]
-    return docs.select(*wanted).mapInArrow(task, fields)
+    return docs.select(*(columns if "text" in columns else [*columns, "text"])).mapInArrow(task, fields)
