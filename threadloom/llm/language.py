@@ -46,6 +46,8 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of the trigram at each byte of the texts (of the spaces after it for the last two), and
     where each text begins and ends. Bucket 0 is that of spaces only."""
     data, offsets = lower_bytes(texts)
+    if not len(data):
+        return np.empty(0, np.int32), offsets
     b = _SPACED[data]
     second, third = np.append(b[1:], np.uint32(32)), np.append(b[2:], [np.uint32(32)] * min(2, len(b)))
     ends = offsets[1:][offsets[1:] > offsets[:-1]]

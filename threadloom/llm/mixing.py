@@ -63,7 +63,7 @@ class DomainModel:
         """``docs`` with ``p0, p1, ...``: the posterior of each domain given the column ``text``."""
         text = F.coalesce("text", F.lit(""))
         docs = docs.withColumns({f"bin{m}": _bin(text, x) for m, x in enumerate(self.markers)})
-        blank = F.trim(text) == ""
+        blank = ~text.rlike(r"\S")
         logs = {}
         for d in range(len(self.domains)):
             total = F.lit(float(np.log(self.prior[d])))

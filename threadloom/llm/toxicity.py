@@ -301,7 +301,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, most: int) ->
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r["doc_id"], int(r["label"])) for r in some.collect()], "doc_id long, label int")  # at most ``most`` rows
-    found = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    found = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
     return cut(found.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label"))
 
 
