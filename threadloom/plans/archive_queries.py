@@ -10,7 +10,7 @@ from ..functions import embed
 from ..functions.text import token_count
 from ..functions.vectors import rounded
 from ..operators import audit, chunking, history, hydrate, mutate, search
-from ..session import cut
+from ..session import cut, scratch
 from ..sources import dumps, index
 from . import bindings as b
 from .catalog import query
@@ -382,41 +382,38 @@ def audit_messages(spark, d):
     b.sql(
         """SELECT chat_id, count(*) AS chunks, CAST(sum(length(text) // 4) AS BIGINT) AS tokens, CAST(sum(length(text) // 4) // count(*) AS BIGINT) AS avg_tokens,
   count(*) FILTER (WHERE length(text) // 4 < 200) AS small_chunks, count(*) FILTER (WHERE coalesce(msg_id_start, '') = '') AS without_messages FROM chunks GROUP BY 1""",
-        "chunks",
+        "chunks", whole=True,
     )
 )
 def audit_chunks(spark, d):
-    return audit.audit_chunks(b.chunks(spark, d), 200)
+    return audit.audit_chunks(b.all_chunks(spark, d), 200)
 
 
-def _half_embedded(spark, d):
-    return b.chunks(spark, d).withColumn("embedding", F.when(F.col("topic_l1_id").isNotNull(), F.col("embedding"))).withColumn(
-        "chunk_id", F.col("chunk_id").cast("string")
-    )
+def _with_text_ids(spark, d):
+    return b.all_chunks(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("string"))
 
 
-def _doc_index(spark, d):
-    """An index with one vector per document, some of them without a chunk."""
-    e = b.table(spark, d, "embeddings")
-    return b.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array(F.col("n_chars").cast("float")).alias("vector"), "doc_id")
+def _vector_index(spark, d):
+    """An index with every vector, some of them without a chunk."""
+    return b.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
 
 
-_VEC_METRICS = """SELECT 'with_vector' AS metric, count(topic_l1_id) AS value FROM chunks UNION ALL SELECT 'without_vector', count(*) - count(topic_l1_id) FROM chunks
-UNION ALL SELECT 'vectors', count(*) FROM documents UNION ALL SELECT 'dim', 1 UNION ALL SELECT 'orphans', count(*) FROM documents WHERE doc_id NOT IN (SELECT chunk_id FROM chunks)"""
+_VEC_METRICS = """SELECT 'with_vector' AS metric, count(v) AS value FROM chunks UNION ALL SELECT 'without_vector', count(*) - count(v) FROM chunks
+UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'dim', max(len(embedding)) FROM embeddings UNION ALL SELECT 'orphans', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT chunk_id FROM chunks)"""
 _TOPIC_METRICS = """SELECT 'chunks_with_topic_l1' AS metric, count(topic_l1_id) AS value FROM chunks UNION ALL SELECT 'chunks_without_topic_l1', count(*) - count(topic_l1_id) FROM chunks
 UNION ALL SELECT 'topics_l1', count(*) FROM topics_l1 UNION ALL SELECT 'topics_l1_with_center', count(*) FROM topics_l1
 UNION ALL SELECT 'l1_with_parent', count(parent_l2_id) FROM topics_l1 UNION ALL SELECT 'l1_without_parent', count(*) - count(parent_l2_id) FROM topics_l1
 UNION ALL SELECT 'topics_l2', count(*) FROM topics_l2 UNION ALL SELECT 'topics_l2_with_center', count(*) FROM topics_l2"""
 
 
-@query(b.sql(_VEC_METRICS, "chunks"))
+@query(b.sql(_VEC_METRICS, "chunks", whole=True))
 def audit_vectors(spark, d):
-    return audit.audit_vectors(_half_embedded(spark, d), _doc_index(spark, d))
+    return audit.audit_vectors(_with_text_ids(spark, d), _vector_index(spark, d))
 
 
-@query(b.sql(_TOPIC_METRICS, "topics_l2"))
+@query(b.sql(_TOPIC_METRICS, "topics_l2", whole=True))
 def audit_topics(spark, d):
-    return audit.audit_topics(b.chunks(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d))
+    return audit.audit_topics(b.all_chunks(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d))
 
 
 @query(
@@ -430,9 +427,9 @@ def audit_names(spark, d):
     return audit.audit_names(b.topics_l1(spark, d), b.topics_l2(spark, d))
 
 
-@query(b.sql("SELECT strftime(min(ts_from), '%Y-%m-%d') AS min_date, strftime(max(ts_to), '%Y-%m-%d') AS max_date FROM chunks", "chunks"))
+@query(b.sql("SELECT strftime(min(ts_from), '%Y-%m-%d') AS min_date, strftime(max(ts_to), '%Y-%m-%d') AS max_date FROM chunks", "chunks", whole=True))
 def date_range(spark, d):
-    return audit.date_range(b.chunks(spark, d))
+    return audit.date_range(b.all_chunks(spark, d))
 
 
 @query(
@@ -443,12 +440,12 @@ UNION ALL SELECT 'chunks', 'small_chunks', count(*) FROM chunks WHERE length(tex
 UNION ALL SELECT 'vectors', * FROM ({_VEC_METRICS}) UNION ALL SELECT 'topics', * FROM ({_TOPIC_METRICS})
 UNION ALL SELECT 'names', 'named_l1', count(*) FROM topics_l1 WHERE title <> 'unknown' UNION ALL SELECT 'names', 'unnamed_l1', count(*) FROM topics_l1 WHERE title = 'unknown'
 UNION ALL SELECT 'names', 'named_l2', count(*) FROM topics_l2 WHERE title <> '' UNION ALL SELECT 'names', 'unnamed_l2', count(*) FROM topics_l2 WHERE title = ''""",
-        "topics_l2", "messages",
+        "topics_l2", "messages", whole=True,
     )
 )
 def ingest_report(spark, d):
     return audit.ingest_report(
-        b.messages(spark, d), _half_embedded(spark, d), _doc_index(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d)
+        b.messages(spark, d), _with_text_ids(spark, d), _vector_index(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d)
     )
 
 
@@ -563,11 +560,11 @@ def embed_documents(spark, d):
 @query(
     b.sql(
         """SELECT 'chunks_l1' AS name, count(topic_l1_id) AS n FROM chunks UNION ALL SELECT 'chunks_l2', 0 UNION ALL SELECT 'topics_l1_parent', 0 UNION ALL SELECT 'topics_l1', count(*) FROM topics_l1 UNION ALL SELECT 'topics_l2', 0""",
-        "topics_l1",
+        "topics_l1", whole=True,
     )
 )
 def reset_stage(spark, d):
-    tables = {"chunks": b.chunks(spark, d), "topics_l1": b.topics_l1(spark, d), "topics_l2": b.topics_l2(spark, d)}
+    tables = {"chunks": b.all_chunks(spark, d), "topics_l1": b.topics_l1(spark, d), "topics_l2": b.topics_l2(spark, d)}
     out = mutate.reset_stage(tables, 6)
     return audit.table_counts(
         chunks_l1=out["chunks"].filter("topic_l1_id is not null"), chunks_l2=out["chunks"].filter("topic_l2_id is not null"),
@@ -579,7 +576,7 @@ def reset_stage(spark, d):
     b.sql(
         """SELECT chunk_id, coalesce(CASE WHEN quality = 1 THEN toxic END, topic_l1_id, -1) AS topic_l1_id, coalesce(CASE WHEN quality = 1 THEN 7 END, topic_l2_id, -1) AS topic_l2_id
 FROM chunks LEFT JOIN labels ON doc_id = chunk_id""",
-        "chunks",
+        "chunks", whole=True,
     )
 )
 def apply_delta(spark, d):
@@ -587,6 +584,52 @@ def apply_delta(spark, d):
         F.col("doc_id").alias("chunk_id"), F.when(F.col("quality") == 1, F.col("toxic")).cast("long").alias("topic_l1_id"),
         F.when(F.col("quality") == 1, F.lit(7)).cast("long").alias("topic_l2_id"),
     )
-    rows = mutate.apply_delta(b.chunks(spark, d), delta, "chunk_id")
+    rows = mutate.apply_delta(b.all_chunks(spark, d), delta, "chunk_id")
     blank = F.lit(-1)
     return rows.select("chunk_id", F.coalesce("topic_l1_id", blank).alias("topic_l1_id"), F.coalesce("topic_l2_id", blank).alias("topic_l2_id"))
+
+
+# --- files written and read back ---------------------------------------------------
+
+_MESSAGE_ROWS = """SELECT conv_id || '_' || turn AS msg_id, CAST(conv_id AS VARCHAR) AS chat_id, role AS from_id, coalesce(text, '') AS text,
+  strftime(TIMESTAMP '2024-01-01 00:00:00' - to_days(CAST(conv_id AS INTEGER)) + to_minutes(turn), '%Y-%m-%d %H:%M:%S') AS at FROM conversations"""
+
+
+def _dump_rows(spark, d):
+    """Conversations as dump rows, each later than the next one's."""
+    return b.table(spark, d, "conversations").select(
+        F.col("conv_id").alias("chat_id"), F.col("turn").cast("string").alias("id"),
+        F.date_format(F.expr(f"{b.EPOCH} - make_dt_interval(cast(conv_id as int), 0, 0, 0) + make_dt_interval(0, 0, cast(turn as int), 0)"), "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        F.col("role").alias("sender"), F.col("text").alias("content"),
+    )
+
+
+def _message_rows(messages):
+    return messages.select("msg_id", "chat_id", "from_id", "text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query(_MESSAGE_ROWS)
+def dump_round_trip(spark, d):
+    path = scratch(spark, "dump")
+    dumps.write_dump(_dump_rows(spark, d), path)
+    return _message_rows(dumps.to_messages(dumps.read_written_dump(spark, path)))
+
+
+@query(_MESSAGE_ROWS)
+def stream_ingest(spark, d):
+    """Dumps whose order of arrival is not that of their dates, through the ingest stream."""
+    from ..streaming import ingest
+
+    path = scratch(spark, "ingest")
+    dumps.write_dump(_dump_rows(spark, d), f"{path}/dump")
+    stream = ingest.read_written_stream(spark, f"{path}/dump", files_per_trigger=200)
+    ingest.start(stream, f"{path}/messages", f"{path}/state").awaitTermination()
+    return _message_rows(spark.read.parquet(f"{path}/messages"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
+def vector_file_round_trip(spark, d):
+    path = scratch(spark, "vectors")
+    dumps.write_vectors(b.table(spark, d, "embeddings"), path, "vec_id")
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4)
+    return dumps.read_vectors(spark, path).select("id", F.size("embedding").cast("long").alias("dim"), total.alias("total"))

@@ -36,20 +36,22 @@ def queries(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
-def chunks(spark, d) -> DataFrame:
+def all_chunks(spark, d) -> DataFrame:
+    """One chunk per document; those without a vector have no topic either."""
     e, doc = table(spark, d, "embeddings"), table(spark, d, "documents")
-    rows = e.join(doc, e["vec_id"] == doc["doc_id"]).select(
-        F.col("vec_id").alias("chunk_id"),
+    kind = "coalesce(label, doc_id % 10)"
+    rows = doc.join(e, e["vec_id"] == doc["doc_id"], "left").select(
+        F.col("doc_id").alias("chunk_id"),
         "text",
         "embedding",
-        F.size("embedding").alias("embedding_dim"),
+        F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("embedding_dim"),
         F.expr("case when label = 9 then null else cast(label as bigint) end").alias("topic_l1_id"),
         F.expr("case when label = 8 then null when label = 9 then 2L else cast(label % 3 as bigint) end").alias("topic_l2_id"),
         F.expr(
-            "case label % 3 when 0 then concat('-100', 1000 + label) when 1 then concat('-', 500 + label) else concat('', 70 + label) end"
+            f"case {kind} % 3 when 0 then concat('-100', 1000 + {kind}) when 1 then concat('-', 500 + {kind}) else concat('', 70 + {kind}) end"
         ).alias("chat_id"),
-        _minutes("vec_id").alias("ts_from"),
-        _minutes("vec_id + n_chars % 7").alias("ts_to"),
+        _minutes("doc_id").alias("ts_from"),
+        _minutes("doc_id + n_chars % 7").alias("ts_to"),
         (F.col("n_chars") % 7 + 1).alias("message_count"),
         "label",
     )
@@ -65,17 +67,26 @@ def chunks(spark, d) -> DataFrame:
     ).drop("label")
 
 
+def chunks(spark, d) -> DataFrame:
+    """The chunks that have a vector."""
+    return all_chunks(spark, d).filter(F.col("embedding").isNotNull())
+
+
 def conv_chunks(spark, d) -> DataFrame:
-    """Chunks whose message range lies in a conversation; every fifth has no known end."""
-    return chunks(spark, d).withColumns(
+    """Chunks whose message range is a whole conversation, dealt over all of them; every fifth has no known end."""
+    c = table(spark, d, "conversations")
+    span = c.groupBy("conv_id").agg(F.min("turn").alias("lo"), F.max("turn").alias("hi"))
+    many = c.agg((F.max("conv_id") + 1).alias("many"))
+    rows = chunks(spark, d).crossJoin(F.broadcast(many)).withColumn("conv_id", F.expr("chunk_id % many")).join(span, "conv_id")  # one row
+    return rows.withColumns(
         {
-            "chat_id": F.expr("cast(chunk_id % 100 as string)"),
-            "msg_id_start": F.expr("concat(chunk_id % 100, '_1')"),
-            "msg_id_end": F.expr("case when chunk_id % 5 = 0 then concat(chunk_id % 100, '_999') else concat(chunk_id % 100, '_3') end"),
-            "ts_from": F.expr(f"case when chunk_id % 7 = 0 then null when chunk_id % 7 = 1 then {EPOCH} + interval 500 minutes else {EPOCH} + interval 1 minutes end"),
-            "ts_to": F.expr(f"case when chunk_id % 7 = 1 then {EPOCH} + interval 600 minutes else {EPOCH} + interval 2 minutes end"),
+            "chat_id": F.expr("cast(conv_id as string)"),
+            "msg_id_start": F.expr("concat(conv_id, '_', lo)"),
+            "msg_id_end": F.expr("case when chunk_id % 5 = 0 then concat(conv_id, '_none') else concat(conv_id, '_', hi) end"),
+            "ts_from": F.expr(f"case when chunk_id % 7 = 0 then null when chunk_id % 7 = 1 then {EPOCH} + make_dt_interval(0, 0, cast(hi + 500 as int), 0) else {EPOCH} + make_dt_interval(0, 0, cast(lo as int), 0) end"),
+            "ts_to": F.expr(f"{EPOCH} + make_dt_interval(0, 0, cast(case when chunk_id % 7 = 1 then hi + 600 else hi end as int), 0)"),
         }
-    )
+    ).drop("conv_id", "lo", "hi", "many")
 
 
 def topics_l1(spark, d) -> DataFrame:
@@ -104,27 +115,29 @@ CTE = {
   FROM conversations)""",
     "queries": "queries AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[64]) AS q FROM embeddings)",
     "chunks": """chunks0 AS (
-  SELECT vec_id AS chunk_id, text, CAST(embedding AS DOUBLE[64]) AS v, label,
+  SELECT doc_id AS chunk_id, text, CAST(embedding AS DOUBLE[64]) AS v, label, coalesce(label, doc_id % 10) AS kind,
          CASE WHEN label = 9 THEN NULL ELSE CAST(label AS BIGINT) END AS topic_l1_id,
          CASE WHEN label = 8 THEN NULL WHEN label = 9 THEN 2 ELSE CAST(label % 3 AS BIGINT) END AS topic_l2_id,
-         CASE label % 3 WHEN 0 THEN '-100' || (1000 + label) WHEN 1 THEN '-' || (500 + label) ELSE '' || (70 + label) END AS chat_id,
-         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(vec_id) AS ts_from,
-         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(vec_id + n_chars % 7) AS ts_to,
+         CASE kind % 3 WHEN 0 THEN '-100' || (1000 + kind) WHEN 1 THEN '-' || (500 + kind) ELSE '' || (70 + kind) END AS chat_id,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS ts_from,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id + n_chars % 7) AS ts_to,
          n_chars % 7 + 1 AS message_count
-  FROM embeddings JOIN documents ON vec_id = doc_id),
+  FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
 chunks AS (
   SELECT *, chat_id || '_' || chunk_id AS msg_id_start, chat_id || '_' || chunk_id AS msg_id_end,
          '{"message_count": ' || message_count || ', "start_date": "' || strftime(ts_from, '%Y-%m-%dT%H:%M:%S')
            || '", "end_date": "' || strftime(ts_to, '%Y-%m-%dT%H:%M:%S') || '"'
            || CASE WHEN label % 4 = 0 THEN ', "chat_username": "room' || label || '"' ELSE '' END || '}' AS metadata
-  FROM chunks0)""",
-    "conv_chunks": """conv_chunks AS (
+  FROM chunks0 WHERE v IS NOT NULL)""",
+    "conv_chunks": """conv_span AS (SELECT conv_id, min(turn) AS lo, max(turn) AS hi FROM conversations GROUP BY 1),
+conv_many AS (SELECT max(conv_id) + 1 AS many FROM conversations),
+conv_chunks AS (
   SELECT chunk_id, text, v, topic_l1_id, topic_l2_id, metadata,
-         CAST(chunk_id % 100 AS VARCHAR) AS chat_id, (chunk_id % 100) || '_1' AS msg_id_start,
-         CASE WHEN chunk_id % 5 = 0 THEN (chunk_id % 100) || '_999' ELSE (chunk_id % 100) || '_3' END AS msg_id_end,
-         CASE WHEN chunk_id % 7 = 0 THEN NULL WHEN chunk_id % 7 = 1 THEN TIMESTAMP '2024-01-01 08:20:00' ELSE TIMESTAMP '2024-01-01 00:01:00' END AS ts_from,
-         CASE WHEN chunk_id % 7 = 1 THEN TIMESTAMP '2024-01-01 10:00:00' ELSE TIMESTAMP '2024-01-01 00:02:00' END AS ts_to
-  FROM chunks)""",
+         CAST(conv_id AS VARCHAR) AS chat_id, conv_id || '_' || lo AS msg_id_start,
+         CASE WHEN chunk_id % 5 = 0 THEN conv_id || '_none' ELSE conv_id || '_' || hi END AS msg_id_end,
+         CASE WHEN chunk_id % 7 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CASE WHEN chunk_id % 7 = 1 THEN hi + 500 ELSE lo END) END AS ts_from,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CASE WHEN chunk_id % 7 = 1 THEN hi + 600 ELSE hi END) AS ts_to
+  FROM chunks, conv_many JOIN conv_span ON conv_id = chunk_id % many)""",
     "topics_l1": """unit AS (
   SELECT chunk_id, topic_l1_id, i AS pos, v[i] / sqrt(array_inner_product(v, v)) AS x
   FROM chunks, range(1, 65) AS t(i) WHERE topic_l1_id IS NOT NULL),
@@ -261,8 +274,8 @@ NEEDS = {
 }
 
 
-def sql(body: str, *ctes: str, recursive: bool = False, extra: str = "") -> str:
-    """``body`` behind the named CTEs and all they need, each once."""
+def sql(body: str, *ctes: str, recursive: bool = False, extra: str = "", whole: bool = False) -> str:
+    """``body`` behind the named CTEs and all they need, each once; ``whole``: over ``all_chunks``."""
     seen: list[str] = []
 
     def add(name: str) -> None:
@@ -276,5 +289,7 @@ def sql(body: str, *ctes: str, recursive: bool = False, extra: str = "") -> str:
         if c not in late:
             add(c)
     texts = [CTE[n] for n in seen] + ([extra] if extra else []) + [CTE[n] for n in late]
+    if whole:
+        texts = [t.replace("FROM chunks0 WHERE v IS NOT NULL", "FROM chunks0") for t in texts]
     head = "WITH RECURSIVE " if recursive or late else "WITH "
     return (head + ",\n".join(texts) + "\n" if texts else "") + body

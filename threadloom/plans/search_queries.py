@@ -201,11 +201,11 @@ def search_links(spark, d):
     b.sql(
         """SELECT chunk_id, coalesce(a.title, '') AS l1_title, coalesce(CASE WHEN c.topic_l1_id IS NULL THEN c.topic_l2_id ELSE z1.topic_id END, -1) AS l2_id
 FROM chunks c LEFT JOIN topics_l1 a ON a.topic_id = c.topic_l1_id LEFT JOIN topics_l2 z1 ON z1.topic_id = a.parent_l2_id""",
-        "topics_l2",
+        "topics_l2", whole=True,
     )
 )
 def resolve_topics(spark, d):
-    rows = search.resolve_topics(b.chunks(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d))
+    rows = search.resolve_topics(b.all_chunks(spark, d), b.topics_l1(spark, d), b.topics_l2(spark, d))
     return rows.select(
         "chunk_id", F.coalesce("topic_l1_title", F.lit("")).alias("l1_title"), F.coalesce("resolved_l2_id", F.lit(-1)).cast("long").alias("l2_id")
     )

@@ -67,11 +67,11 @@ def split_parts(spark, d):
     return render.split_parts(rows).select("msg_id", F.coalesce("part", F.lit(0)).cast("long").alias("part"), "content")
 
 
-@query(b.sql("SELECT chunk_id, link_chat_id, link_msg_id, coalesce(chat_username, '') AS chat_username, link FROM links", "links"))
+@query(b.sql("SELECT chunk_id, link_chat_id, link_msg_id, coalesce(chat_username, '') AS chat_username, link FROM links", "links", whole=True))
 def link_info(spark, d):
     from ..operators.search import link_info as op
 
-    return op(b.chunks(spark, d)).withColumn("chat_username", F.coalesce("chat_username", F.lit("")))
+    return op(b.all_chunks(spark, d)).withColumn("chat_username", F.coalesce("chat_username", F.lit("")))
 
 
 @query(

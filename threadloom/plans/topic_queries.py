@@ -67,11 +67,11 @@ def topic_tree(spark, d):
         """SELECT 'l2' AS level, parent_l2_id AS topic_id, 'topic' AS kind, CAST(topic_id AS VARCHAR) AS child_id FROM topics_l1 WHERE parent_l2_id IS NOT NULL
 UNION ALL SELECT 'l1', topic_l1_id, 'chunk', CAST(chunk_id AS VARCHAR) FROM chunks WHERE topic_l1_id IS NOT NULL
 UNION ALL SELECT 'l2', topic_l2_id, 'chunk', CAST(chunk_id AS VARCHAR) FROM chunks WHERE topic_l2_id IS NOT NULL""",
-        "topics_l1",
+        "topics_l1", whole=True,
     )
 )
 def topic_children(spark, d):
-    return hydrate.children(b.topics_l1(spark, d), b.chunks(spark, d))
+    return hydrate.children(b.topics_l1(spark, d), b.all_chunks(spark, d))
 
 
 @query(

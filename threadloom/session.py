@@ -42,10 +42,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: its lineage ends
     there, later plans see its true size, and executors may come and go."""
-    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -31,16 +31,23 @@ def read_dump_stream(spark: SparkSession, path: str, files_per_trigger: int = 1)
     return to_messages(rows)
 
 
-def unique_recent(messages: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drops repeats that arrive within the delay; bounds the state a stream keeps."""
-    timed = messages.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", delay)
-    return timed.dropDuplicatesWithinWatermark(["msg_id"]).drop("_at")
+def read_written_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """New files of what ``write_dump`` writes, as messages."""
+    raw = spark.readStream.schema(_LINE + ", dump string").option("maxFilesPerTrigger", files_per_trigger).json(path)
+    return to_messages(
+        raw.select(
+            "id", F.col("date").cast("timestamp_ntz").alias("ts"), F.coalesce("sender", F.lit("Unknown")).alias("sender"),
+            F.coalesce("content", F.lit("")).alias("content"), F.col("dump").alias("file_name"),
+        )
+    )
 
 
 def append_new(table: str):
     """A ``foreachBatch`` sink that inserts what the table does not hold yet.
 
-    Each batch writes its own folder, so a repeated batch overwrites itself.
+    Each batch writes its own folder, so a repeated batch overwrites itself. Repeats are found in
+    the batch and in the table, never by event time: archives arrive in any order, and an old
+    message is as new to the table as a recent one. The stream keeps no state.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -64,12 +71,11 @@ def _read(spark: SparkSession, table: str) -> DataFrame:
         raise
 
 
-def ingest(spark: SparkSession, source: str, table: str, checkpoint: str, delay: str = "1 day"):
-    """Start the ingest query; it stops when the files present are done."""
-    stream = unique_recent(read_dump_stream(spark, source), delay)
-    return (
-        stream.writeStream.foreachBatch(append_new(table))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def start(messages: DataFrame, table: str, checkpoint: str):
+    """Insert a stream of messages; the query stops when what is present now is done."""
+    return messages.writeStream.foreachBatch(append_new(table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest(spark: SparkSession, source: str, table: str, checkpoint: str, files_per_trigger: int = 1):
+    """Start the ingest of dump files."""
+    return start(read_dump_stream(spark, source, files_per_trigger), table, checkpoint)

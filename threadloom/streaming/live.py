@@ -62,7 +62,9 @@ def _every_n_processor():
             out = []
             for pdf in rows:
                 for e in pdf.sort_values("seq").itertuples(index=False):
-                    if e.is_command or e.is_private:
+                    if e.is_reset:
+                        n, reason = 0, "reset"
+                    elif e.is_command or e.is_private:
                         reason = "command_or_private"
                     elif e.has_mention:
                         reason = "mentioned"
@@ -73,7 +75,7 @@ def _every_n_processor():
                     else:
                         n += 1
                         reason = f"freq_{'match' if n % e.frequency == 0 else 'skip'}_{n}"
-                    respond = not reason.startswith("freq_skip") and reason != "freq_zero_no_mention"
+                    respond = not reason.startswith("freq_skip") and reason not in ("freq_zero_no_mention", "reset")
                     out.append((key[0], e.seq, e.event_id, n, reason, respond, e.hint))
             self.counter.update((n,))
             yield pd.DataFrame(out, columns=["chat_id", "seq", "event_id", "counter", "reason", "respond", "hint"])
@@ -87,6 +89,12 @@ def _every_n_processor():
 _FLAGS = ("chat_id", "seq", "event_id", "frequency", "has_mention", "is_command", "is_private")
 
 
+def _flagged(events: DataFrame, hint: Column) -> DataFrame:
+    """What the counter needs; ``is_reset`` events are optional, as in ``respond_every``."""
+    reset = F.col("is_reset") if "is_reset" in events.columns else F.lit(False)
+    return events.select(*_FLAGS, reset.alias("is_reset"), hint.alias("hint"))
+
+
 def _count(events: DataFrame) -> DataFrame:
     return events.groupBy("chat_id").transformWithStateInPandas(
         statefulProcessor=_every_n_processor(), outputStructType=_COUNTED, outputMode="Append", timeMode="None"
@@ -94,8 +102,8 @@ def _count(events: DataFrame) -> DataFrame:
 
 
 def respond_every_stream(events: DataFrame) -> DataFrame:
-    """Streaming twin of ``respond_every``; rows of a batch count in ``seq`` order."""
-    return _count(events.select(*_FLAGS, F.lit("").alias("hint"))).drop("hint")
+    """Streaming twin of ``respond_every``, resets included; rows of a batch count in ``seq`` order."""
+    return _count(_flagged(events, F.lit(""))).drop("hint")
 
 
 _SESSION = "conv_id long, turn long, depth int, usage long, reset boolean"
@@ -148,14 +156,18 @@ def session_stream(turns: DataFrame, max_tokens: int = 14000, template: str | No
 
 
 def flow_stream(events: DataFrame, username: str = USERNAME, account_id: int = ACCOUNT) -> DataFrame:
-    """Streaming twin of ``flow_batch`` for allowed events: gate, keyed count, route."""
-    rows = gated(events, username, account_id).filter("access.allowed")
+    """Streaming twin of ``flow_batch``: gate, keyed count, route; denied events pass uncounted."""
+    rows = gated(events, username, account_id)
     hint = F.when(F.col("search").isNotNull(), F.lit("search")).when(F.col("is_command"), F.lit("command")).otherwise(F.lit(""))
-    counted = _count(rows.select(*_FLAGS, hint.alias("hint")))
+    counted = _count(_flagged(rows.filter("access.allowed"), hint))
     to = (
         F.when(F.col("hint") != "", F.col("hint"))
         .when(F.col("reason") == "freq_zero_no_mention", F.lit("ignored"))
         .when(F.col("reason").startswith("freq_skip"), F.lit("listen"))
         .otherwise(F.lit("question"))
     )
-    return counted.withColumn("route", to).drop("hint")
+    denied = rows.filter("not access.allowed").select(
+        "chat_id", "seq", "event_id", F.lit(None).cast("long").alias("counter"), F.lit(None).cast("string").alias("reason"),
+        F.lit(False).alias("respond"), F.lit("denied").alias("route"),
+    )
+    return counted.withColumn("route", to).drop("hint").unionByName(denied)
