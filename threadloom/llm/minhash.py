@@ -7,11 +7,13 @@ of similarity ``s`` meet in no table with probability at most ``2 * (1 - s ** PE
 HALVES``: 0.0005 at 0.75, 0.00007 at 0.8.
 
 Documents with equal sets are one class from the start. Classes that meet in a table are then
-compared without listing the pairs of a table: in each round a table's most popular member is
-compared with the others, linked ones take its label, and only members of other labels than the
-table's commonest go on to be compared with all. Tables with more than ``CROWD`` of those are
-replaced by tables of rare shingles (the prefix filter: sets of similarity t share one of their
-``n - ceil(t n) + 1`` rarest shingles), so that a passage that many documents share makes no pairs.
+compared without listing the pairs of a table. In a first round every class is compared with
+the most popular member of its tables, and linked ones take one label. Classes whose tables still
+hold several labels are then compared exactly by their rarest shingles (prefix filter: sets of similarity
+t share one of their ``n - ceil(t n) + 1`` rarest shingles, and what is left behind the first
+shared place must be enough for the overlap): again by rounds, as long as these find links, and at last
+all pairs across labels. So neither a large group of near
+copies nor a passage that many documents share makes a pair for each two of its documents.
 
 Defined results: null or blank text has the empty set and links with nothing; rows without
 ``doc_id`` link with nothing and have no component; rows that repeat a ``doc_id`` with another text
@@ -35,8 +37,9 @@ from .components import components
 WORDS = 5
 HALVES, PER_HALF = 10, 2
 THRESHOLD = 75
-ROUNDS = 4
-CROWD = 200
+ROUNDS = 8
+#: Rounds go on while this share of their comparisons are links.
+YIELD = 0.3
 FILTER_BITS = 1 << 23
 
 
@@ -198,91 +201,90 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(labels.join(to, "label", "left").select("rep", F.coalesce("new", "label").alias("label")))
 
 
+_BEHIND = "175 * least(n - at, o - oat) >= 75 * (n + o)"
+
+
 def _centre_pairs(rows: DataFrame, done: DataFrame | None) -> DataFrame:
-    """Each table's most popular member that was no centre yet, with the others of other labels."""
+    """Each member with the most popular one that its tables' centres offer; a centre is a table's most
+    popular member that was none yet."""
     w = Window.partitionBy("bucket")
     fresh = rows if done is None else rows.join(done.withColumn("was", F.lit(1)), "rep", "left")
-    rank = F.struct("popular", F.xxhash64("rep").alias("h"), F.col("rep").alias("a"), F.col("n").alias("o"), F.col("label").alias("la"))
-    best = F.max(rank if done is None else F.when(F.col("was").isNull(), rank)).over(w)
-    rows = fresh.withColumn("best", best).selectExpr("best.a AS a", "rep AS b", "n", "best.o AS o", "best.la AS la", "label AS lb")
-    return rows.where(f"a <> b AND la <> lb AND {_SIZES}").select("a", "b", "la", "lb").distinct()
+    rank = F.struct("popular", F.xxhash64("rep").alias("h"), F.col("rep").alias("a"), F.col("n").alias("o"), F.col("label").alias("la"), F.col("at").alias("oat"))
+    fresh = fresh.withColumn("best", F.max(rank if done is None else F.when(F.col("was").isNull(), rank)).over(w))
+    offers = fresh.select(F.col("rep").alias("b"), F.col("label").alias("lb"), "n", "at", "best.*").where(f"a <> b AND la <> lb AND {_SIZES} AND {_BEHIND}")
+    return offers.groupBy("b", "lb").agg(F.max(F.struct("popular", "h", "a", "la")).alias("to")).select("to.a", "b", "to.la", "lb")
 
 
 def _rest_pairs(rows: DataFrame) -> DataFrame:
     """Members outside their table's commonest label, with all members of other labels."""
-    few = rows.where("label <> top")
-    other = rows.select("bucket", F.col("rep").alias("a"), F.col("n").alias("o"), F.col("label").alias("la"), F.col("top").alias("t"))
-    pairs = few.join(other, "bucket").where(f"la <> label AND (la = t OR a < rep) AND {_SIZES}")
-    return pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"), F.when(F.col("a") < F.col("rep"), F.col("la")).otherwise(F.col("label")).alias("la"), F.when(F.col("a") < F.col("rep"), F.col("label")).otherwise(F.col("la")).alias("lb")).distinct()
+    w = Window.partitionBy("bucket")
+    rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("bucket", "label")))
+    rows = cut(rows.withColumn("top", F.max(F.struct("c", "label")).over(w).getField("label")))
+    few = rows.where("label <> top").select("bucket", F.col("rep").alias("b"), "n", "at", F.col("label").alias("lb"))
+    other = rows.select("bucket", F.col("rep").alias("a"), F.col("n").alias("o"), F.col("at").alias("oat"), F.col("label").alias("la"), F.col("top").alias("t"))
+    pairs = few.join(other, "bucket").where(f"la <> lb AND (la = t OR a < b) AND {_SIZES} AND {_BEHIND}")
+    return pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b", "if(a < b, la, lb) AS la", "if(a < b, lb, la) AS lb").distinct()
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of tables that still have more than one label."""
     w = Window.partitionBy("bucket")
     rows = rows.join(labels, "rep")
-    return rows.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi").drop("lo", "hi")
+    return cut(rows.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi").drop("lo", "hi"))
 
 
-def _compare(rows: DataFrame, labels: DataFrame, sets: DataFrame, crowd: int | None) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
-    """Labels after the comparisons in all tables, the links found, and the members of tables
-    too crowded to compare (all tables are compared when ``crowd`` is None)."""
-    links, done, empty = [], None, False
+def _rounds(rows: DataFrame, labels: DataFrame, sets: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """What is left of the tables, the labels, and the links found."""
+    links, done = [], None
     popular = rows.groupBy("rep").agg(F.sum("m").alias("popular"))
-    rows = cut(rows.join(popular, "rep"))
-    for _ in range(ROUNDS):
-        rows = cut(_labelled(rows.select("bucket", "rep", "n", "m", "popular"), labels))
+    rows = _mixed(rows.join(popular, "rep"), labels)
+    for _ in range(rounds):
         if rows.isEmpty():
-            empty = True
             break
         pairs = cut(_centre_pairs(rows, done))
         found = cut(_confirm(pairs, sets))
-        done = cut((pairs.select(F.col("a").alias("rep")) if done is None else done.union(pairs.select("a"))).distinct())
         links.append(found)
+        centres = pairs.select(F.col("a").alias("rep"))
+        done = cut((centres if done is None else done.union(centres)).distinct())
         labels = _relabel(labels, found)
-    if empty:
-        return labels, links, None
-    rows = _labelled(rows.select("bucket", "rep", "n", "m", "popular"), labels)
-    w = Window.partitionBy("bucket")
-    rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("bucket", "label")))
-    rows = rows.withColumn("best", F.max(F.struct("c", "label")).over(w)).withColumn("top", F.col("best.label"))
-    rows = cut(rows.withColumn("outside", F.sum(F.expr("int(label <> top)")).over(w)).drop("best", "c"))
-    crowded = None
-    if crowd is not None:
-        crowded = rows.where(F.col("outside") > crowd).select("rep", "n").distinct()
-        rows = rows.where(F.col("outside") <= crowd)
-    links.append(cut(_confirm(cut(_rest_pairs(rows)), sets)))
-    return labels, links, crowded
+        rows = _mixed(rows.drop("label"), labels)
+        if found.count() < YIELD * pairs.count():
+            break
+    return rows, labels, links
 
 
-def _prefix_rows(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Tables of rare shingles for ``members(rep, n)``: any two of them that are similar enough meet."""
+def _prefix_tables(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Tables of rare shingles for ``members(rep, n)``, with the shingle's place ``at`` in the set's order
+    by rarity: any two members that are similar enough meet in one."""
 
     def task(batches):
         for batch in batches:
             values = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["shingles"]]
             yield pa.RecordBatch.from_pydict({"rep": batch["rep"], "n": batch["n"], "shingles": pa.array(values, pa.list_(pa.int64()))})
 
-    one = cut(members.join(sets, "rep").mapInArrow(task, "rep long, n long, shingles array<long>").selectExpr("rep", "n", "explode(shingles) AS bucket"))
-    often = cut(one.groupBy("bucket").agg(F.count("*").alias("m")))
-    rare = one.join(often, "bucket").withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("m", "bucket")))
-    rare = rare.where(f"at <= n - CAST(ceil(n * {THRESHOLD} / 100) AS BIGINT) + 1").drop("at", "m")
-    return rare.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).where("m > 1").select("bucket", "rep", "n", "m")
+    one = members.join(sets, "rep").mapInArrow(task, "rep long, n long, shingles array<long>").selectExpr("rep", "n", "explode(shingles) AS bucket")
+    often = one.withColumn("m", F.count("*").over(Window.partitionBy("bucket")))
+    rare = often.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("m", "bucket")) - 1)
+    rare = rare.where(f"m > 1 AND at <= n - CAST(ceil(n * {THRESHOLD} / 100) AS BIGINT)").select("bucket", "rep", "n", "at")
+    return rare.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).where("m > 1")
 
 
-def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``."""
     rows = cut(sketches(docs))
     of = ["h1", "h2", "n_shingles"]
     real = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(real.groupBy(*of).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("copies")))
-    tables = cut(table_rows(classes.select("rep", "keys", F.col("n_shingles").alias("n"))))
+    tables = cut(table_rows(classes.select("rep", "keys", F.col("n_shingles").alias("n"))).withColumn("at", F.lit(0)))
     met = tables.select("rep").distinct()
     sets = cut(_sets_of(docs, met))
-    labels = cut(met.withColumn("label", F.col("rep")))
-    labels, links, crowded = _compare(tables, labels, sets, crowd)
-    if crowded is not None and not crowded.isEmpty():
-        labels, more, _ = _compare(cut(_prefix_rows(crowded, sets)), labels, sets, None)
+    left, labels, links = _rounds(tables, cut(met.withColumn("label", F.col("rep"))), sets, 1)
+    if not left.isEmpty():
+        rare = cut(_prefix_tables(left.select("rep", "n").distinct(), sets))
+        left, labels, more = _rounds(rare, labels, sets, ROUNDS)
         links += more
+        if not left.isEmpty():
+            links.append(cut(_confirm(cut(_rest_pairs(left)), sets)))
     edges = labels.selectExpr("rep AS u", "label AS v")
     for x in links:
         edges = edges.union(x.select("a", "b"))
