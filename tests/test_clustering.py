@@ -38,6 +38,16 @@ def test_distributed_tree_equals_prim(spark):
     assert np.allclose(sorted(r.w for r in got), [w for w, _, _ in want])
 
 
+def test_tied_points_have_one_tree_and_one_labelling(spark):
+    """Coordinates of one decimal and min_samples above 1: most weights are tied."""
+    x = np.round(blobs(11, 120, 2, 5, 0.3), 1)
+    points = density._points(frame(spark, x), "chunk_id", "embedding")
+    edges = lambda n: sorted(tuple(r) for r in density.spanning_tree(points, "l2", 4, 6, task_points=n).select("a", "b", "w").collect())
+    assert edges(2048) == edges(1)
+    labels = lambda **kw: [r.label for r in density.cluster(frame(spark, x), min_cluster_size=4, min_samples=4, metric="euclidean", **kw).orderBy("chunk_id").collect()]
+    assert labels() == labels(task_points=1)
+
+
 def test_dendrogram_runs_equal_one_run(spark):
     rng = np.random.default_rng(4)
     edges = [(int(rng.integers(0, i)) + 1, i + 1, float(rng.random())) for i in range(1, 50)]

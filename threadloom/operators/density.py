@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalise
@@ -76,6 +76,18 @@ def core_distances(points: DataFrame, metric: str, min_samples: int, k: int) ->
 
 
 # --- spanning tree -----------------------------------------------------------------
+# One rule at every size: weights count to nine places, and edges are ordered by (weight, lower
+# point, higher point). No two edges are equal, so the tree is the same however it is found.
+
+_PLACES, _EXACT_BELOW = 1e9, 1e6
+
+
+def _weight(w: np.ndarray) -> np.ndarray:
+    return np.where(w < _EXACT_BELOW, np.floor(w * _PLACES + 0.5) / _PLACES, w)
+
+
+def _weight_column(w: Column) -> Column:
+    return F.when(w < _EXACT_BELOW, F.floor(w * _PLACES + 0.5) / _PLACES).otherwise(w)
 
 
 def _tree_task(metric: str, min_samples: int):
@@ -92,18 +104,21 @@ def _tree_task(metric: str, min_samples: int):
             d = np.sqrt(d)
         near = min(min_samples, len(x) - 1)
         core = np.partition(d, near, axis=1)[:, near]
-        reach = np.maximum(np.maximum(d, core[:, None]), core[None, :])
-        least, link = reach[0].copy(), np.zeros(len(x), dtype=np.int64)
+        reach = _weight(np.maximum(np.maximum(d, core[:, None]), core[None, :]))
+        least, lo, hi = reach[0].copy(), np.minimum(v, v[0]), np.maximum(v, v[0])
         least[0] = np.inf
         inside = np.zeros(len(x), dtype=bool)
         inside[0] = True
         edges = []
         for _ in range(len(x) - 1):
-            j = int(np.argmin(least))
-            edges.append((min(v[j], v[link[j]]), max(v[j], v[link[j]]), least[j]))
+            ties = np.flatnonzero(least == least.min())
+            j = int(ties[np.lexsort((hi[ties], lo[ties]))[0]])
+            edges.append((lo[j], hi[j], least[j]))
             inside[j] = True
-            closer = (reach[j] < least) & ~inside
-            least[closer], link[closer] = reach[j][closer], j
+            low, high = np.minimum(v, v[j]), np.maximum(v, v[j])
+            tie = (reach[j] == least) & ((low < lo) | ((low == lo) & (high < hi)))
+            closer = ((reach[j] < least) | tie) & ~inside
+            least[closer], lo[closer], hi[closer] = reach[j][closer], low[closer], high[closer]
             least[j] = np.inf
         return pd.DataFrame(edges, columns=["a", "b", "w"])
 
@@ -126,7 +141,7 @@ def spanning_tree(
     ca = cores.select(F.col("v").alias("a"), F.col("core").alias("_ca"))
     cb = cores.select(F.col("v").alias("b"), F.col("core").alias("_cb"))
     edges = cut(
-        near.join(ca, "a").join(cb, "b").select("a", "b", F.greatest("_ca", "_cb", "d").alias("w"))
+        near.join(ca, "a").join(cb, "b").select("a", "b", _weight_column(F.greatest("_ca", "_cb", "d")).alias("w"))
     )
     placed = None
     pivots = None
@@ -139,7 +154,7 @@ def spanning_tree(
         best = edges.groupBy("c").agg(F.min(_edge_key()).alias("e"))
         state = comp.join(cores, "v").join(best, "c", "left")
         bound = F.coalesce("e.w", F.lit(float("inf")))
-        unsure = cut(state.filter((F.col("reach") <= bound) & F.col("reach").isNotNull() & (F.col("reach") < float("inf"))).select("v", "c", "core", bound.alias("bound")))
+        unsure = cut(state.filter((_weight_column(F.col("reach")) <= bound) & F.col("reach").isNotNull() & (F.col("reach") < float("inf"))).select("v", "c", "core", bound.alias("bound")))
         if not unsure.isEmpty():
             if placed is None:
                 named = points.select(F.col("v").alias("vector_id"), F.col("vec").alias("vector"))
@@ -235,7 +250,7 @@ def _nearest_outside(unsure: DataFrame, placed: DataFrame, comp: DataFrame, pivo
                 if not len(rows):
                     continue
                 exact = exact_distances(x[at + rows], y[cols], metric)
-                w = np.maximum(np.maximum(exact, qcore[at + rows]), score[cols])
+                w = _weight(np.maximum(np.maximum(exact, qcore[at + rows]), score[cols]))
                 a, b = qv[at + rows], sv[cols]
                 order = np.lexsort((np.maximum(a, b), np.minimum(a, b), w, rows))
                 first = order[np.r_[True, np.diff(rows[order]) > 0]]
