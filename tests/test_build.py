@@ -35,6 +35,7 @@ def test_build_and_ask(spark, tmp_path):
     archive.messages(b.messages(spark, SF))
     archive.chunks(cfg)
     assert {r.chunk_id for r in archive.read("chunks").select("chunk_id").collect()} == before
+    assert archive.read("chunks").filter("embedding is null").count() == 0  # nothing is embedded again
     assert archive.read("messages").count() == b.messages(spark, SF).count()
     # every chunk finds itself first
     q = t["chunks"].select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"))

@@ -11,8 +11,6 @@ class Config:
     chunk_token_max: int = 400
     chunk_overlap_ratio: float = 0.3
     max_distance: float = 4.0
-    rag_ntop: int = 20
-    response_frequency: int = 1
     search_mode: str = "two_stage"
     use_topics: bool = True
     topic_weight: float = 0.3
@@ -32,11 +30,9 @@ class Config:
     def __post_init__(self):
         checks = {
             "chunk_token_min": self.chunk_token_min >= 0,
-            "chunk_token_max": self.chunk_token_max > 0,
+            "chunk_token_max": self.chunk_token_max > 0 and self.chunk_token_max >= self.chunk_token_min,
             "chunk_overlap_ratio": 0.0 <= self.chunk_overlap_ratio <= 1.0,
             "max_distance": self.max_distance >= 0.0,
-            "rag_ntop": self.rag_ntop >= 0,
-            "response_frequency": self.response_frequency >= 0,
             "search_mode": self.search_mode in ("two_stage", "direct"),
             "topic_weight": 0.0 <= self.topic_weight <= 1.0,
             "min_cluster_size": self.min_cluster_size >= 2,

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Config
 from .text import clean_text
 
 Embedder = Callable[[DataFrame, str, str], DataFrame]
@@ -42,7 +43,7 @@ def hashing_embedder(dim: int = 64) -> tuple[Embedder, int]:
     return embed, dim
 
 
-def model_embedder(load: Callable[[], Callable[[list[str]], list]], dim: int, batch: int = 128) -> tuple[Embedder, int]:
+def model_embedder(load: Callable[[], Callable[[list[str]], list]], dim: int, batch: int = Config.embed_batch) -> tuple[Embedder, int]:
     """A user-supplied model: ``load`` runs once per Python worker, texts go in by batches."""
 
     @F.pandas_udf("array<float>")

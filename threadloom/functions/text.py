@@ -66,10 +66,6 @@ def chunk_prefix(ts_from: Column, ts_to: Column, senders: Column) -> Column:
     )
 
 
-def chunk_suffix(last_id: Column, final_id: Column) -> Column:
-    return F.when(last_id == final_id, F.lit("")).otherwise(F.lit(fixed.CONTINUATION))
-
-
 def token_count(text: Column) -> Column:
     """The documented fallback rule, four characters a token."""
     return F.floor(F.char_length(text) / 4).cast("int")

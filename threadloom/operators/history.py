@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..config import Config
 from ..functions.text import strip, token_count
 from ..session import cut
 from .ordered import SEG, numbered, running_sum, segmented, with_halo
@@ -62,7 +63,7 @@ def prompt_tokens(messages: Column) -> Column:
     )
 
 
-def pack_context(hits: DataFrame, budget: int = 8000) -> DataFrame:
+def pack_context(hits: DataFrame, budget: int = Config.max_context_chars) -> DataFrame:
     """Ranked texts of each query as numbered blocks within a character budget.
 
     Expects ``query_id, rank, text, topic_l1_title, topic_l2_title``; rows per query are
@@ -222,7 +223,7 @@ def _depth_scan(limit: int):
     return run
 
 
-def session_reset(turns: DataFrame, max_tokens: int = 14000, key: str = "conv_id", order: str = "turn", parts: int | None = None) -> DataFrame:
+def session_reset(turns: DataFrame, max_tokens: int = Config.max_context_tokens, key: str = "conv_id", order: str = "turn", parts: int | None = None) -> DataFrame:
     """Token usage before each turn and whether it empties the history.
 
     The history since the last reset only matters up to five turns, so a segment is a map

@@ -56,14 +56,6 @@ def reset_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return tables
 
 
-def clear_topics_l1(chunks: DataFrame, topics_l1: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _null(chunks, "topic_l1_id"), empty(topics_l1)
-
-
-def clear_topics_l2(chunks: DataFrame, topics_l1: DataFrame, topics_l2: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return _null(chunks, "topic_l2_id"), _null(topics_l1, "parent_l2_id"), empty(topics_l2)
-
-
 def apply_delta(table: DataFrame, delta: DataFrame, key: str, keep_null: bool = False) -> DataFrame:
     """``table`` with the columns of ``delta`` overwritten where its key matches.
 

@@ -283,7 +283,7 @@ def search_contents(
     return message_parts(kept, chunks, messages, dedupe)
 
 
-def find(queries: DataFrame, chunks: DataFrame, messages: DataFrame, max_distance: float = 4.0, width: int = fixed.FIND_WIDTH, **kw) -> DataFrame:
+def find(queries: DataFrame, chunks: DataFrame, messages: DataFrame, max_distance: float = Config.max_distance, width: int = fixed.FIND_WIDTH, **kw) -> DataFrame:
     """Threshold search: the nearest ``width`` chunks within ``max_distance``, as message parts."""
     return message_parts(within(search_direct(queries, chunks, width, **kw), max_distance), chunks, messages)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.text import needs_name, parse_title_response, preview, short_title, strip
+from ..functions.text import needs_name, parse_title_response, short_title, strip
 from ..functions.vectors import cosine, l2_normalise
 
 _NO_TIME = "timestamp_ntz"
@@ -213,7 +213,3 @@ def apply_titles(topics: DataFrame, responses: DataFrame) -> DataFrame:
         F.when(F.col("_r").isNull(), F.col("title")).when(ok, F.col("_r.title")).otherwise(F.lit(fixed.UNNAMED_TITLE)).alias("title"),
         F.when(F.col("_r").isNull(), F.col("descr")).when(ok, F.col("_r.description")).otherwise(F.lit(fixed.FAILED_DESCRIPTION)).alias("descr"),
     )
-
-
-def topic_preview(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", preview(F.col("text")).alias("preview"))

@@ -76,10 +76,14 @@ class Archive:
         self.write("messages", stored.unionByName(fresh).repartitionByRange("chat_id", "ts").sortWithinPartitions("chat_id", "ts"))
 
     def chunks(self, cfg: Config = Config()) -> None:
-        """Stage 1: chunks with ids that follow from their messages, so a rerun replaces them."""
+        """Stage 1: chunks with ids that follow from their messages, so a rerun replaces them; a chunk
+        whose id and text are as before keeps its vector."""
         m = self.require_non_empty("messages", "run stage 0 first")
-        fresh = chunking.chunk_messages(m, cfg)
-        self.write("chunks", mutate.evolve(fresh, schemas.CHUNKS))
+        same = ["chunk_id", "_text"]
+        known = self.read("chunks").filter(F.col("embedding").isNotNull())
+        known = known.select("chunk_id", F.md5("text").alias("_text"), "embedding", "embedding_dim")
+        fresh = mutate.evolve(chunking.chunk_messages(m, cfg), schemas.CHUNKS).drop("embedding", "embedding_dim").withColumn("_text", F.md5("text"))
+        self.write("chunks", fresh.join(known, same, "left").select(*schemas.CHUNKS.fieldNames()))
 
     def vectors(self, cfg: Config = Config(), embedder: str = "hashing", **options) -> None:
         """Stage 2: embed what has no vector of the embedder's dimension."""

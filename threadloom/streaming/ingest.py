@@ -62,7 +62,7 @@ def append_new(table: str):
 def _read(spark: SparkSession, table: str) -> DataFrame:
     from pyspark.sql.types import LongType, StructType
 
-    schema = StructType(MESSAGES.fields).add("batch", LongType())
+    schema = StructType([*MESSAGES.fields]).add("batch", LongType())
     try:
         return spark.read.schema(schema).parquet(table)
     except Exception as e:  # the first batch finds no folder

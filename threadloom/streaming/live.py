@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions.text import access_decision, has_mention, search_mention
 from ..operators.history import respond_every
 
@@ -146,7 +147,7 @@ def _session_processor(max_tokens: int, template: str):
     return Session()
 
 
-def session_stream(turns: DataFrame, max_tokens: int = 14000, template: str | None = None) -> DataFrame:
+def session_stream(turns: DataFrame, max_tokens: int = Config.max_context_tokens, template: str | None = None) -> DataFrame:
     """Streaming twin of ``session_reset``."""
     from .. import fixed
 
