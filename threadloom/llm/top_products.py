@@ -131,7 +131,9 @@ def top_products(rows: DataFrame, queries: str, k: int = K, block: int = BLOCK)
     sizes = {r["level"]: (r["n"], r["longest"]) for r in levels.groupBy("level").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()}
     slots = {v: -(-n // block) for v, (n, _) in sizes.items()}
 
-    seeds = [(r["vec_id"], r["x"]) for r in data.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "x").collect()]  # bounded
+    least = data.agg(F.percentile_approx("norm", max(0.0, 1 - 2 * SEEDS / max(count, 1)), 10_000)).first()[0]
+    long = data.where(F.col("norm") >= (least or 0.0))
+    seeds = [(r["vec_id"], r["x"]) for r in long.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "x").collect()]  # bounded
     seed_ids = np.array([i for i, _ in seeds], np.int64)
     seed_x = np.array([x + [0.0] * (width - len(x)) for _, x in seeds]).reshape(len(seeds), width)
     longest = np.array([[v, sizes[v][1]] for v in sorted(sizes)]).reshape(len(sizes), 2)
