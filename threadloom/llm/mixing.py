@@ -38,7 +38,7 @@ TOLERANCE = 1e-4
 STAY = 1e-3
 #: Rates this near to a whole number count as it.
 WHOLE = 0.01
-#: Bounds of a marker's occurrences in a thousand characters.
+#: Bounds of a marker's occurrences in a thousand bytes.
 BINS = (0.5, 2.0, 5.0, 10.0)
 
 
@@ -48,8 +48,9 @@ def tokens(text: Column) -> Column:
 
 
 def _bin(text: Column, marker: str) -> Column:
-    n = (F.char_length(text) - F.char_length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker)
-    rate = n * 1000 / F.greatest(F.char_length(text), F.lit(1))
+    # lengths in bytes are known without a pass over the text
+    n = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker.encode())
+    rate = n * 1000 / F.greatest(F.octet_length(text), F.lit(1))
     return reduce(lambda out, b: out + (rate > b).cast("int"), BINS, F.lit(0))
 
 
@@ -83,7 +84,10 @@ class DomainModel:
 def fit_domains(labelled: DataFrame, rows: int = FIT_ROWS) -> DomainModel | None:
     """The model of ``labelled(text, domain)``; None without labels."""
     known = labelled.where("domain IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), F.col("domain").cast("string").alias("domain"))
-    few = cut(known.orderBy(F.xxhash64("text", "domain"), "text").limit(rows))
+    # about 1.2 x rows texts pass by hash, so that no task gets more than that to sort; copies count once
+    share = min(1.0, 1.2 * rows / max(known.count(), 1))
+    some = known.withColumn("h", F.xxhash64("text", "domain")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    few = cut(some.groupBy("h").agg(F.first("text").alias("text"), F.first("domain").alias("domain")).orderBy("h").limit(rows))
     count = {r["domain"]: r["n"] for r in few.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(DOMAINS).collect()}
     domains = sorted(count)
     if not domains:
@@ -119,15 +123,15 @@ def rates(docs: DataFrame, model: DomainModel | None, targets: dict[str, float]
     ``targets`` are shares of the domains; without them the present shares, tempered. No rate is below ``least``."""
     if model is None:
         return docs.select(*keep, tokens(F.col("text")).alias("n_tokens"), F.lit(1.0).alias("rate"))
+    if unknown := set(targets or ()) - set(model.domains):
+        raise ValueError(f"no labels of {sorted(unknown)}")
     size = len(model.domains)
     p = [f"p{d}" for d in range(size)]
     # kept columns travel in one, so that their names cannot clash
-    stem = docs.select(F.struct(*keep).alias("kept"), "text").withColumn("n_tokens", tokens(F.col("text")))
+    stem = docs.select(F.struct(*(keep or [F.lit(0).alias("none")])).alias("kept"), "text").withColumn("n_tokens", tokens(F.col("text")))
     rows = cut(model.posteriors(stem).select("kept", "n_tokens", *p))
     now = rows.agg(*(F.sum(F.col("n_tokens") * F.col(x)).alias(x) for x in p), *(F.sum(F.col("n_tokens") * F.col(p[i]) * F.col(p[j])).alias(f"g{i}_{j}") for i in range(size) for j in range(i, size))).first()
     have = np.array([now[x] or 0.0 for x in p])
-    if unknown := set(targets or ()) - set(model.domains):
-        raise ValueError(f"no labels of {sorted(unknown)}")
     shares = have / have.sum() if have.sum() else np.full(size, 1 / size)
     wanted = tempered(shares) if targets is None else np.array([targets.get(d, np.nan) for d in model.domains])
     given = ~np.isnan(wanted)
@@ -152,7 +156,7 @@ def rates(docs: DataFrame, model: DomainModel | None, targets: dict[str, float]
             rate = F.col("rate")
         found = rows.withColumn("now", rate).agg(*(F.sum(F.col("now") * F.col("n_tokens") * F.col(x)).alias(x) for x in p)).first()
         done = np.array([found[x] or 0.0 for x in p])
-    return rows.select("kept.*", "n_tokens", *(F.col(x).alias(f"p_{d}") for x, d in zip(p, model.domains, strict=True)), rate.alias("rate"))
+    return rows.select(*(["kept.*"] if keep else []), "n_tokens", *(F.col(x).alias(f"p_{d}") for x, d in zip(p, model.domains, strict=True)), rate.alias("rate"))
 
 
 def copies(rate: Column, key: Column) -> Column:
