@@ -80,6 +80,21 @@ def test_restored_spans(toxic_model):
     assert toxicity.restore("m0r0n", toxic_model.model) == "moron"
 
 
+def test_every_disguise_reaches_the_lattice(toxic_model):
+    spans = ["idio7", "scu+", "a$$", "sh17", "m103n", "f€ck", "£oser", "¡diot", "scuum", "iddiot", "a s s", "i d i o t", "i - d - i - o - t", "é c o l", "ï.d.ï.ö.t"]
+    found = toxicity.disguised(pa.array([f"Le {x} là" for x in spans]))
+    assert {(i, x) for i, x in enumerate(spans)} <= set(found)
+    # chains end with the text; letters beside quotes of three bytes are alone; pictures are no letters
+    assert toxicity.disguised(pa.array(["x a", "b c", "a     b     c", "😀😀", "l'a"])) == []
+    assert toxicity.disguised(pa.array(["“i d i o t”"])) == [(0, "i d i o t")]
+    of, restored = toxic_model.restored(pa.array(["idio7", "scuum", "iddiot", "i - d - i - o - t", "$cum!", "moron"]))
+    assert dict(zip(of.tolist(), (x.strip() for x in restored.to_pylist()), strict=True)) == {0: "idiot", 1: "scum", 2: "idiot", 3: "idiot", 4: "scum"}
+    pick = random.Random(9)
+    bad = ["idio7", "scuum", "i - d - i - o - t", "iddiot", "m o r o n", "5cum", "idio+"]
+    texts = [text(pick, "en") + f" {b} {b.upper()} vilething" for b in bad]
+    assert (toxic_model.evidence(pa.array(texts))[:, 2] >= np.log1p(2)).all()
+
+
 def test_viterbi_finds_the_least_cost(toxic_model):
     """Against all readings of short spans."""
     from itertools import product

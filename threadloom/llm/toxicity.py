@@ -2,10 +2,10 @@
 
 1. A character language model (trigrams of letters, all texts counted) tells which letter
    sequences are likely.
-2. Spans that may be disguised, found byte by byte in whole texts (digits or signs inside a word,
-   a letter three times or more, single letters with separators between), become lattices: a sign
-   may stand for letters, a separator or a repeated letter for nothing. Viterbi finds the restored
-   text of least channel cost minus log-probability under the model.
+2. Spans that may be disguised, found character by character in whole texts (tokens with a letter and a
+   sign or with a doubled letter; three or more single letters with one to three separators between),
+   become lattices: a sign may stand for letters, a separator or a repeated letter for nothing.
+   Viterbi finds the restored text of least channel cost minus log-probability under the model.
 3. Words and word beginnings that are much more frequent in toxic texts than in others are the
    evidence; a text's score is a logistic function of its strongest words and of their number, plain
    and restored.
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from threadloom.session import cut
 
 from .blocks import blocks, extended
-from .text_bytes import Words, lower_bytes, raw_bytes
+from .text_bytes import Words, lower_bytes
 
 EVIDENCE = 20_000
 FIT_ROWS = 20_000
@@ -48,6 +48,8 @@ SIGNS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "<": "c", "£": "l", "¡": "i",
 }
 SEPARATORS = " .-_*,/~'\""
+#: Signs that end or begin a word as punctuation, too.
+MARKS = "!¡(<|"
 
 #: Symbols of the model: 0 a word's edge, 1-26 the letters, then other letters by code.
 SYMBOLS = 48
@@ -106,6 +108,8 @@ def choices(text: str, at: int) -> list[tuple[str, float]]:
     out = [(x, READ_SIGN) for x in SIGNS.get(c, "")]
     if c in SEPARATORS:
         return [*out, ("", DROP_SEPARATOR), (" ", KEEP_SEPARATOR)]
+    if c in MARKS and any(not x or x in MARKS or x in SEPARATORS for x in (text[max(at - 1, 0) : at], text[at + 1 : at + 2])):
+        return [*out, ("", DROP_SIGN), (" ", KEEP_SEPARATOR)]
     return [*out, ("", DROP_SIGN if out else OTHER), (" ", DROP_SIGN if out else OTHER)]
 
 
@@ -135,57 +139,66 @@ def restore(text: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
-_SIGN = np.zeros(256, bool)
-_SIGN[[ord(c) for c in SIGNS if ord(c) < 128]] = True
-_BREAK = np.zeros(256, bool)
+_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000)
+_SIGN, _BREAK = np.zeros(0x10000, bool), np.zeros(0x10000, bool)
+_SIGN[[ord(c) for c in SIGNS]] = True
 _BREAK[[ord(c) for c in SEPARATORS]] = True
+#: A chain of single letters has so many of them at least, with so many separators between two at most.
+CHAIN, GAP = 3, 3
+
+
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each character of UTF-8 bytes begins, and its code; those beyond the basic plane are letters
+    but for pictures (0x1F000 to 0x1FFFF), which have the code 0."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    code = data[at].astype(np.int32)
+    more = np.flatnonzero(code >= 128)
+    if len(more):
+        tail = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
+        b, x, y, z = code[more], *(tail[at[more] + k] & 63 for k in (1, 2, 3))
+        far = (b & 7) << 18 | x << 12 | y << 6 | z
+        code[more] = np.where(b < 0xE0, (b & 31) << 6 | x, np.where(b < 0xF0, (b & 15) << 12 | x << 6 | y, np.where((far >= 0x1F000) & (far < 0x20000), 0, far)))
+    return at, code
 
 
 def disguised(texts: pa.Array) -> list[tuple[int, str]]:
-    """(text number, span) of the spans that may be disguised words."""
-    data, offsets = raw_bytes(texts)
-    n = len(data)
-    if n < 4:
+    """(text number, span in lower case) of the spans that may be disguised words: tokens with a letter and
+    a sign or with a doubled letter, and chains of single letters."""
+    data, offsets = lower_bytes(texts)
+    if len(data) < 2:
         return []
-    letter, sign, gap = _LETTER[data], _SIGN[data], _BREAK[data]
-    low = np.where((data >= 65) & (data <= 90), data + 32, data)
-    # a sign with a letter on one side, and a letter on the other or at two places
-    left, right = np.append(False, letter[:-1]), np.append(letter[1:], False)
-    run = sign & ((left & right) | (left & np.append(sign[1:], False) & np.append(letter[2:], [False] * 2)) | (right & np.append([False] * 2, letter[:-2]) & np.append(False, sign[:-1])) | (right & ~left & ~np.append(False, sign[:-1])))
-    triple = np.zeros(n, bool)
-    triple[2:] = letter[2:] & (data[2:] < 128) & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-    accented = np.zeros(n, bool)
-    accented[5:] = (data[5:] >= 128) & (data[5:] < 192) & (data[5:] == data[3:-2]) & (data[3:-2] == data[1:-4]) & (data[4:-1] == data[2:-3]) & (data[2:-3] == data[:-5]) & (data[4:-1] >= 192)
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    at, code = _characters(data)
+    n, offsets = len(at), np.searchsorted(at, offsets)
+    near = np.minimum(code, 0xFFFF)
+    letter, sign, gap = _LETTER[near] | (code > 0xFFFF), _SIGN[near], _BREAK[near]
+    word = ~((code == 32) | ((code >= 9) & (code <= 13)))
     first = np.zeros(n + 1, bool)
     first[offsets] = True
-    out: list[tuple[int, str]] = []
-    hits = np.flatnonzero(run | triple | accented)
-    if len(hits):
-        starts = np.flatnonzero(word & (first[:-1] | ~np.append(False, word[:-1])))
-        ends = np.flatnonzero(word & (first[1:] | ~np.append(word[1:], False))) + 1
-        hits = hits[word[hits]]
-        token = np.unique(np.searchsorted(starts, hits, side="right") - 1)
-        doc = np.searchsorted(offsets, starts[token], side="right") - 1
-        out += [(d, data[a:b].tobytes().decode("utf-8", "ignore")) for d, a, b in zip(doc.tolist(), starts[token].tolist(), ends[token].tolist(), strict=True)]
-    # letter, separator, letter, separator, letter, ... with no second letter beside them
-    alone = letter | sign
-    alone &= ~np.append(False, letter[:-1] | sign[:-1]) & ~np.append(letter[1:] | sign[1:], False)
-    pair = np.zeros(n, bool)
-    pair[:-2] = alone[:-2] & gap[1:-1] & alone[2:] & ~first[1:-2] & ~first[2:-1]
-    chain = np.flatnonzero(pair)
-    if len(chain):
-        # places of one chain are two apart
-        begins = chain[~pair[np.maximum(chain - 2, 0)] | (chain < 2)]
-        for a in begins.tolist():
-            b = a
-            while b < n and pair[b]:
-                b += 2
-            if b - a >= 6:
-                out.append((int(np.searchsorted(offsets, a, side="right")) - 1, data[a : b + 1].tobytes().decode("utf-8", "ignore")))
-    return out
+    double = letter & ~first[:-1]
+    double[1:] &= code[1:] == code[:-1]
+    double[0] = False
+
+    def before(x):
+        return np.append(np.int64(0), np.cumsum(x))
+
+    starts = np.flatnonzero(word & (first[:-1] | ~np.append(False, word[:-1])))
+    ends = np.flatnonzero(word & (first[1:] | ~np.append(word[1:], False))) + 1
+    letters, signs, doubles = (x[ends] - x[starts] > 0 for x in map(before, (letter, sign, double)))
+    some = np.flatnonzero(letters & signs | doubles)
+    begins, stops = starts[some], ends[some]
+    # a letter or sign with none beside it, 1 to GAP separators, another one, ...
+    single = letter | sign
+    alone = np.flatnonzero(single & (first[:-1] | ~np.append(False, single[:-1])) & (first[1:] | ~np.append(single[1:], False)))
+    if len(alone) >= CHAIN:
+        x, y, gaps, texts_before = alone[:-1], alone[1:], before(gap), before(first[:-1])
+        linked = (y - x <= GAP + 1) & (gaps[y] - gaps[x + 1] == y - x - 1) & (texts_before[y + 1] == texts_before[x + 1])
+        head = np.flatnonzero(np.append(True, ~linked))
+        last = np.append(head[1:], len(alone)) - 1
+        long = last - head + 1 >= CHAIN
+        begins, stops = np.append(begins, alone[head[long]]), np.append(stops, alone[last[long]] + 1)
+    doc = np.searchsorted(offsets, begins, side="right") - 1
+    raw, at = data.tobytes(), np.append(at, len(data))
+    return [(d, raw[a:b].decode("utf-8", "ignore")) for d, a, b in zip(doc.tolist(), at[begins].tolist(), at[stops].tolist(), strict=True)]
 
 
 @dataclass
@@ -198,17 +211,18 @@ class ToxicityModel:
     cache: dict = field(default_factory=dict)
 
     def restored(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-        """Restored spans of the texts, and of which text each is."""
-        found = disguised(texts)
+        """Spans of the texts that are restored to something else, and of which text each is."""
         if len(self.cache) > 200_000:
             self.cache.clear()
-        out = []
-        for _, span in found:
-            key = span.lower()
-            if key not in self.cache:
-                self.cache[key] = restore(key, self.model)
-            out.append(self.cache[key])
-        return np.array([d for d, _ in found], np.int64), pa.array(out, pa.string())
+        of, out = [], []
+        for d, span in disguised(texts):
+            if span not in self.cache:
+                found = restore(span, self.model)
+                self.cache[span] = None if found == span else found
+            if self.cache[span] is not None:
+                of.append(d)
+                out.append(self.cache[span])
+        return np.array(of, np.int64), pa.array(out, pa.string())
 
     def _hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text number, word hash and odds of each word with evidence, the word's strongest."""
