@@ -95,6 +95,19 @@ def test_every_disguise_reaches_the_lattice(toxic_model):
     assert (toxic_model.evidence(pa.array(texts))[:, 2] >= np.log1p(2)).all()
 
 
+def test_evidence_is_not_cut_by_frequency(spark):
+    """A word of toxic texts only counts, however many commoner words both kinds share."""
+    pick = random.Random(10)
+    common = " ".join("".join(pick.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(6000))
+    rows = [(f"{common} {i}" + (" zzword" if i < 20 else ""), int(i < 30)) for i in range(90)]
+    hashes, odds = toxicity._evidence(labelled(spark, rows).repartition(4), 30, 60)
+    wanted = toxicity.Words(*toxicity.lower_bytes(pa.array(["zzword"])))
+    assert set(np.concatenate([wanted.hashes(n)[1] for n in (None, *toxicity.PREFIXES)]).tolist()) == set(hashes.tolist())
+    assert odds == pytest.approx(np.log(20.5 / 31) - np.log(0.5 / 61))
+    model = toxicity.fit(labelled(spark, rows), labelled(spark, rows))
+    assert np.array_equal(model.hashes, hashes)
+
+
 def test_viterbi_finds_the_least_cost(toxic_model):
     """Against all readings of short spans."""
     from itertools import product

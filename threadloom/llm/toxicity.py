@@ -11,8 +11,8 @@
    and restored.
 
 Counting is distributed; to the driver and to the tasks go the model's table (``SYMBOLS ** 3``
-numbers), at most ``EVIDENCE`` words' hashes, and at most ``FIT_ROWS`` rows of three numbers for the
-logistic fit.
+numbers), the hashes of the words of evidence, which are bounded by the words of ``FIT_ROWS`` texts, and
+at most ``FIT_ROWS`` rows of three numbers for the logistic fit.
 
 Defined results: null and empty texts have no evidence and get the score of such texts; without
 labels of both kinds every score is the share of toxic labels (0 without any). Repeated rows are scored
@@ -34,7 +34,6 @@ from threadloom.session import cut
 from .blocks import blocks, extended
 from .text_bytes import Words, lower_bytes
 
-EVIDENCE = 20_000
 FIT_ROWS = 20_000
 PREFIXES = (4, 5, 6)
 #: A word of evidence occurs in this share of the toxic texts and in three of them at least.
@@ -266,34 +265,47 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _features(wanted: np.ndarray | None):
-    """A task that counts in how many texts each word and beginning occurs (only the wanted ones)."""
+def _features(batches):
+    """Counts in how many texts each word and beginning occurs."""
+    hashes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for part in blocks(batches, "text", 2_000_000):
+        words = Words(*lower_bytes(part["text"]))
+        doc, h = [], []
+        for length in (None, *PREFIXES):
+            at, x = words.hashes(length)
+            doc.append(words.doc[at])
+            h.append(x)
+        doc, h = np.concatenate(doc), np.concatenate(h)
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))[: len(doc)]
+        hashes, where = np.unique(np.append(hashes, h[new]), return_inverse=True)
+        counts = np.bincount(where, np.append(counts, np.ones(int(new.sum())))).astype(np.int64)
+        if len(hashes) > 1_000_000:
+            yield pa.RecordBatch.from_pydict({"h": hashes.view(np.int64), "n": counts})
+            hashes, counts = hashes[:0], counts[:0]
+    yield pa.RecordBatch.from_pydict({"h": hashes.view(np.int64), "n": counts})
+
+
+def _evidence(rows: DataFrame, bad: int, good: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and odds of all words and beginnings that pass, of ``bad`` and ``good`` labelled texts."""
+
+    def counted(label, name):
+        found = rows.where(F.col("label") == label).select("text").mapInArrow(_features, "h long, n long")
+        return found.groupBy("h").agg(F.sum("n").alias(name))
 
-    def task(batches):
-        hashes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for part in blocks(batches, "text", 2_000_000):
-            words = Words(*lower_bytes(part["text"]))
-            doc, h = [], []
-            for length in (None, *PREFIXES):
-                at, x = words.hashes(length)
-                if wanted is not None:
-                    place = np.minimum(np.searchsorted(wanted, x), max(len(wanted) - 1, 0))
-                    good = wanted[place] == x if len(wanted) else np.zeros(len(x), bool)
-                    at, x = at[good], x[good]
-                doc.append(words.doc[at])
-                h.append(x)
-            doc, h = np.concatenate(doc), np.concatenate(h)
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
-            new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))[: len(doc)]
-            hashes, where = np.unique(np.append(hashes, h[new]), return_inverse=True)
-            counts = np.bincount(where, np.append(counts, np.ones(int(new.sum())))).astype(np.int64)
-            if len(hashes) > 1_000_000:
-                yield pa.RecordBatch.from_pydict({"h": hashes.view(np.int64), "n": counts})
-                hashes, counts = hashes[:0], counts[:0]
-        yield pa.RecordBatch.from_pydict({"h": hashes.view(np.int64), "n": counts})
-
-    return task
+    def surprise(k, m):  # k of m texts where the share is expected
+        k = F.greatest(F.lit(1e-9), F.least(F.col(k).cast("double"), F.lit(m - 1e-9)))
+        return k * F.log(k / (F.col("share") * m)) + (m - k) * F.log((m - k) / F.greatest((1 - F.col("share")) * m, F.lit(1e-9)))
+
+    least = max(3, int(np.ceil(LEAST_SHARE * bad)))
+    both = counted(1, "t").where(F.col("t") >= least).join(counted(0, "c"), "h", "left").fillna(0, ["c"])
+    both = both.withColumn("odds", F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1)))
+    both = both.where(F.col("odds") >= LEAST_ODDS).withColumn("share", (F.col("t") + F.col("c")) / (bad + good))
+    found = both.where(2 * (surprise("t", bad) + surprise("c", good)) >= LEAST_SURPRISE).select("h", "odds").toArrow()
+    h = found["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found["odds"].to_numpy()[order]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -332,26 +344,7 @@ def fit(docs: DataFrame, rows: DataFrame) -> ToxicityModel:
         z = 30.0 if bad else -30.0
         return ToxicityModel(model, np.empty(0, np.uint64), empty, np.array([z, 0, 0, 0]), np.ones(3))
 
-    def counted(label, wanted):
-        found = rows.where(F.col("label") == label).select("text").mapInArrow(_features(wanted), "h long, n long")
-        return found.groupBy("h").agg(F.sum("n").alias("n"))
-
-    least = max(3, int(np.ceil(LEAST_SHARE * bad)))
-    first = counted(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(EVIDENCE).collect()  # bounded
-    h = np.array([r["h"] for r in first], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    h, t = h[order], np.array([r["n"] for r in first], np.float64)[order]
-    other = {r["h"]: r["n"] for r in counted(0, h).collect()}  # at most as many
-    c = np.array([other.get(x, 0) for x in h.view(np.int64).tolist()], np.float64)
-    odds = np.log((t + 0.5) / (bad + 1)) - np.log((c + 0.5) / (good + 1))
-    share = (t + c) / (bad + good)
-
-    def surprise(k, m):  # k of m texts where the share is expected
-        k = np.clip(k, 1e-9, m - 1e-9)
-        return k * np.log(k / (m * share)) + (m - k) * np.log((m - k) / np.maximum(m * (1 - share), 1e-9))
-
-    keep = (odds >= LEAST_ODDS) & (2 * (surprise(t, bad) + surprise(c, good)) >= LEAST_SURPRISE)
-    found = ToxicityModel(model, h[keep], odds[keep], np.zeros(4), np.ones(3))
+    found = ToxicityModel(model, *_evidence(rows, bad, good), np.zeros(4), np.ones(3))
 
     def evidence(batches):
         for part in blocks(batches, "text", 1_000_000):
