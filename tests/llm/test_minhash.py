@@ -31,6 +31,34 @@ def test_families_of_copies(documents):
     assert got == brute_dedup.components([r[:2] for r in rows])
 
 
+def test_repeated_rows_keep_their_links(documents):
+    """Pairs around the threshold whose rows are repeated, and ids with two texts."""
+    pick = random.Random(3)
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(70)]
+    rows = []
+    for i in range(90):
+        rows += [(i, " ".join(passage + [word() for _ in range(8 + i % 5)]), "en")] * (1 + i % 4)
+    for i in range(100, 130, 3):  # i + 2 has a text near that of i and one near that of i + 1
+        a, b = ([word() for _ in range(104)] for _ in range(2))
+        a2, b2 = ([*x[:40], word(), *x[41:60], word(), *x[61:]] for x in (a, b))
+        rows += [(i + 2, " ".join(a2), "de"), (i + 2, " ".join(b2), "de"), (i, " ".join(a), "de"), (i + 1, " ".join(b), "de")] * 3
+    found = minhash.near_duplicates(documents(rows)).collect()
+    assert len(found) == len(rows)
+    assert {r.doc_id: r.component_id for r in found} == {i: c for i, (_, c) in brute_dedup.components([r[:2] for r in rows]).items()}
+
+
+def test_one_set_of_each_class(documents, monkeypatch):
+    """What is confirmed and what the prefix filter ranks has one row for each distinct set."""
+    seen = []
+    plain = minhash._confirm
+    monkeypatch.setattr(minhash, "_confirm", lambda pairs, sets: seen.append(sets) or plain(pairs, sets))
+    words = [f"w{i}" for i in range(104)]
+    near = [*words[:40], "x", *words[41:]]
+    minhash.near_duplicates(documents([(1, " ".join(words), None)] * 5 + [(2, " ".join(near), None)] * 5 + [(2, " ".join(words[:-1]), None)])).collect()
+    assert seen and {(r.n, r.d) for s in seen for r in s.selectExpr("count(*) AS n", "count(DISTINCT rep) AS d").collect()} == {(3, 3)}
+
+
 def test_odd_rows(odd, none, documents):
     rows = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (5, 1, 5, True), (6, 1, 6, True)} <= rows

@@ -6,7 +6,8 @@ half-key from either collection is a table key. So ``HALVES ** 2`` tables cost o
 of similarity ``s`` meet in no table with probability at most ``2 * (1 - s ** PER_HALF) **
 HALVES``: 0.0005 at 0.75, 0.00007 at 0.8.
 
-Documents with equal sets are one class from the start. Classes that meet in a table are then
+Documents with equal sets are one class from the start, and everything up to the final edges goes by
+class: a class has one set, however many rows or ids have it. Classes that meet in a table are then
 compared without listing the pairs of a table. In a first round every class is compared with
 the most popular member of its tables, and linked ones take one label. Classes whose tables still
 hold several labels are then compared exactly by their rarest shingles (prefix filter: sets of similarity
@@ -106,6 +107,11 @@ def half_keys(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def _set_hashes(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Two hashes of each set, for sets stored as for ``half_keys``."""
+    return np.stack([np.add.reduceat(_mix(flat ^ _PLACES[k]), begin) for k in range(2)])
+
+
 def _sketch_task(batches):
     for part in blocks(batches, "text", 2_000_000):
         sets = shingle_sets(part["text"])
@@ -117,8 +123,7 @@ def _sketch_task(batches):
             flat = np.concatenate([sets[i] for i in full])
             begin = np.append(0, n[full].cumsum()[:-1])
             keys[full] = half_keys(flat, begin)
-            for k in range(2):
-                sums[k, full] = np.add.reduceat(_mix(flat ^ _PLACES[k]), begin)
+            sums[:, full] = _set_hashes(flat, begin)
         yield pa.RecordBatch.from_pydict({
             "doc_id": part["doc_id"],
             "n_shingles": n,
@@ -142,14 +147,17 @@ def table_rows(classes: DataFrame) -> DataFrame:
     return rows.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).where("m > 1").select("bucket", "rep", "n", "m")
 
 
-def _sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``rep, shingles`` (sorted 64-bit hashes) of the documents in ``reps(rep)`` and of a few more.
+_CLASS = ["h1", "h2", "n_shingles"]
+
 
-    Which documents these are is sent to the tasks as a filter of ``FILTER_BITS`` bits (1 MB at
-    every size of the input), so that texts are not shuffled; documents that pass it by chance
-    are not asked for later."""
-    spot = F.expr(f"pmod(xxhash64(rep), {FILTER_BITS})")
-    made = reps.select((spot + 1).alias("spot")).groupBy(F.expr("bitmap_bucket_number(spot)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("bits"))
+def _sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rep, shingles`` (sorted 64-bit hashes): one row for each of ``classes(rep, doc_id, h1, h2, n_shingles)``.
+
+    Which documents have them is sent to the tasks as a filter of ``FILTER_BITS`` bits (1 MB at
+    every size of the input), so that texts are not shuffled; rows that pass it by chance, and other
+    texts of the same id, belong to no class that is asked for."""
+    spot = F.expr(f"pmod(xxhash64(doc_id), {FILTER_BITS})")
+    made = classes.select((spot + 1).alias("spot")).groupBy(F.expr("bitmap_bucket_number(spot)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("bits"))
     bits = np.zeros(FILTER_BITS, bool)
     for row in made.collect():  # at most FILTER_BITS / 32768 rows
         at = (row["part"] - 1) * 32768
@@ -163,10 +171,24 @@ def _sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(asked[batch["spot"].to_numpy()].astype(bool)))
             for part in blocks([batch], "text", 2_000_000):
                 sets = shingle_sets(part["text"])
-                yield pa.RecordBatch.from_pydict({"rep": part["rep"], "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
-
-    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS rep", "text").where("rep IS NOT NULL")
-    return rows.withColumn("spot", spot).mapInArrow(task, "rep long, shingles binary")
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
+                full = np.flatnonzero(n)
+                if not len(full):
+                    continue
+                sums = _set_hashes(np.concatenate([sets[i] for i in full]), np.append(0, n[full].cumsum()[:-1])).view(np.int64)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part["doc_id"].take(pa.array(full)),
+                    "h1": sums[0],
+                    "h2": sums[1],
+                    "n_shingles": n[full],
+                    "shingles": pa.array([sets[i].tobytes() for i in full], pa.binary()),
+                })
+
+    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").where("doc_id IS NOT NULL")
+    made = rows.withColumn("spot", spot).mapInArrow(task, "doc_id long, h1 long, h2 long, n_shingles long, shingles binary")
+    # repeated rows have one set
+    once = made.groupBy("doc_id", *_CLASS).agg(F.first("shingles").alias("shingles"))
+    return once.join(classes, ["doc_id", *_CLASS]).select("rep", "shingles")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,13 +294,14 @@ def _prefix_tables(members: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``."""
     rows = cut(sketches(docs))
-    of = ["h1", "h2", "n_shingles"]
     real = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(real.groupBy(*of).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("copies")))
+    grouped = real.groupBy(*_CLASS).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    # a class has a number of its own: one id may be the least of several classes
+    classes = cut(grouped.withColumn("rep", F.monotonically_increasing_id()))
     tables = cut(table_rows(classes.select("rep", "keys", F.col("n_shingles").alias("n"))).withColumn("at", F.lit(0)))
-    met = tables.select("rep").distinct()
+    met = cut(classes.join(tables.select("rep").distinct(), "rep").select("rep", "doc_id", *_CLASS))
     sets = cut(_sets_of(docs, met))
-    left, labels, links = _rounds(tables, cut(met.withColumn("label", F.col("rep"))), sets, 1)
+    left, labels, links = _rounds(tables, cut(met.selectExpr("rep", "rep AS label")), sets, 1)
     if not left.isEmpty():
         rare = cut(_prefix_tables(left.select("rep", "n").distinct(), sets))
         left, labels, more = _rounds(rare, labels, sets, ROUNDS)
@@ -288,8 +311,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = labels.selectExpr("rep AS u", "label AS v")
     for x in links:
         edges = edges.union(x.select("a", "b"))
-    # rows of one doc_id with several texts are one document
-    edges = edges.union(real.join(classes.where("copies > 1").select(*of, "rep"), of).select("doc_id", "rep"))
+    # from classes to ids: rows of one doc_id with several texts are one document
+    edges = edges.join(met.selectExpr("rep AS u", "doc_id AS a"), "u").join(met.selectExpr("rep AS v", "doc_id AS b"), "v").select("a", "b")
+    alike = classes.where("copies > 1").select(*_CLASS, F.col("doc_id").alias("least"))
+    edges = edges.union(real.join(alike, _CLASS).select("doc_id", "least")).toDF("u", "v")
     found = cut(components(edges))
     out = rows.drop("keys", "h1", "h2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "doc_id")))
