@@ -44,6 +44,24 @@ def test_targets_are_met(corpus, targets):
     assert np.allclose(found.rate, plain(tokens, p, goal, mixing.ROUNDS), atol=1e-6)
 
 
+def test_rare_domains_are_kept(spark):
+    """A domain with 2 of 20 000 labels is learned, has its prior and meets its target; too many are an error."""
+    common = spark.range(20_000).selectExpr("concat('n', id, ' the and of the end') AS text", "'en' AS domain")
+    rare = spark.range(2).selectExpr("concat('r', id, ' zul mek zul end') AS text", "'xx' AS domain")
+    rows = common.union(rare)
+    model = mixing.fit_domains(rows)
+    assert model.domains == ["en", "xx"] and model.prior == pytest.approx([20_000 / 20_002, 2 / 20_002])
+    found = mixing.rates(rows.limit(200).union(rare), model, {"xx": 0.5, "en": 0.5}, keep=["domain"]).toPandas()
+    assert (found.p_xx[found.domain == "xx"] > 0.5).all() and (found.rate[found.domain == "xx"] > 10).all()
+    # copies of one text do not hide a domain
+    same = spark.range(20_000).selectExpr("'always the same' AS text", "'yy' AS domain")
+    assert mixing.fit_domains(rows.union(same)).domains == ["en", "xx", "yy"]
+    many = spark.range(65).selectExpr("concat('text ', id) AS text", "CAST(id AS STRING) AS domain")
+    assert len(mixing.fit_domains(many.where("id < 64")).domains) == 64
+    with pytest.raises(ValueError, match="domains"):
+        mixing.fit_domains(many)
+
+
 def test_no_rate_below_the_least(corpus):
     model = mixing.fit_domains(corpus.select("text", F.col("lang").alias("domain")))
     found = mixing.rates(corpus, model, keep=["doc_id"], least=1.0).withColumn("copies", mixing.copies(F.col("rate"), F.col("doc_id"))).toPandas()

@@ -13,8 +13,8 @@ ratio of target to present tokens unchanged, so that no document has to be throw
 ``total`` tokens if given.
 
 Defined results: null and blank texts have no tokens and the prior as posterior; with no domain at all
-every rate is 1; a target for a domain that no label has is an error; a domain without a target
-keeps its tokens; repeated rows are documents of their own. Other columns are ignored.
+every rate is 1; a target for a domain that no label has is an error, and so are more than ``DOMAINS``
+domains; a domain without a target keeps its tokens; repeated rows are documents of their own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from pyspark.sql.window import Window
 
 from threadloom.session import cut
 
-#: At most so many labelled rows are learned from, and so many domains and markers for each are used.
+#: Markers are learned from at most so many labelled rows, as many of each domain; each domain has so many
+#: markers, and more domains than that are an error.
 FIT_ROWS = 4000
 DOMAINS = 64
 MARKERS = 5
@@ -82,27 +83,38 @@ class DomainModel:
 
 
 def fit_domains(labelled: DataFrame, rows: int = FIT_ROWS) -> DomainModel | None:
-    """The model of ``labelled(text, domain)``; None without labels."""
+    """The model of ``labelled(text, domain)``; None without labels. Domains and priors are those of all
+    labelled rows; markers are learned from the same number of texts of each domain, copies counted once."""
     known = labelled.where("domain IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), F.col("domain").cast("string").alias("domain"))
-    # about 1.2 x rows texts pass by hash, so that no task gets more than that to sort; copies count once
-    share = min(1.0, 1.2 * rows / max(known.count(), 1))
-    some = known.withColumn("h", F.xxhash64("text", "domain")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    few = cut(some.groupBy("h").agg(F.first("text").alias("text"), F.first("domain").alias("domain")).orderBy("h").limit(rows))
-    count = {r["domain"]: r["n"] for r in few.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(DOMAINS).collect()}
-    domains = sorted(count)
+    known = known.withColumn("h", F.xxhash64("text", "domain"))
+    sizes = known.groupBy("domain", "h").agg(F.count("*").alias("n")).groupBy("domain").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    found = sorted(sizes.limit(DOMAINS + 1).collect(), key=lambda r: r["domain"])
+    if len(found) > DOMAINS:
+        raise ValueError(f"more than {DOMAINS} domains")
+    domains = [r["domain"] for r in found]
     if not domains:
         return None
-    size = np.array([count[d] for d in domains], float)
+    size = np.array([r["n"] for r in found], float)
+    each = max(1, rows // len(domains))
+
+    def of_domain(values):
+        return F.element_at(F.create_map(*(F.lit(x) for pair in zip(domains, values, strict=True) for x in pair)), F.col("domain"))
+
+    # about 1.2 x each + 20 texts of a domain pass by hash, so that no task gets more than that to sort
+    bound = of_domain([int(min(1.0, (1.2 * each + 20) / r["texts"]) * (1 << 30)) for r in found])
+    some = known.where(F.pmod("h", F.lit(1 << 30)) < bound).groupBy("domain", "h").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("domain").orderBy("h"))
+    few = cut(some.withColumn("place", place).where(F.col("place") <= each).select("text", "domain"))
+    count = {r["domain"]: r["n"] for r in few.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     words = few.select("domain", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).where("char_length(w) BETWEEN 2 AND 20 AND w RLIKE '^\\\\p{L}+$'")
     often = words.groupBy("w", "domain").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.element_at(F.create_map(*(F.lit(x) for d in domains for x in (d, float(count[d])))), F.col("domain"))
-    often = often.where(F.col("domain").isin(domains)).withColumn("share", share)
+    often = often.withColumn("share", F.col("n") / of_domain([float(count[d]) for d in domains]))
     others = F.sum("share").over(Window.partitionBy("w")) - F.col("share")
     often = often.withColumn("lead", F.col("share") - others / max(1, len(domains) - 1))
     place = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("lead"), "w"))
     best = often.withColumn("place", place).where(F.col("place") <= MARKERS).select("w").distinct().orderBy("w")
     markers = [f" {r['w']} " for r in best.collect()]  # at most DOMAINS * MARKERS
-    bins = few.where(F.col("domain").isin(domains)).select("domain", F.posexplode(F.array(*(_bin(F.col("text"), m) for m in markers))).alias("m", "bin")) if markers else None
+    bins = few.select("domain", F.posexplode(F.array(*(_bin(F.col("text"), m) for m in markers))).alias("m", "bin")) if markers else None
     table = np.full((len(markers), len(domains), len(BINS) + 1), 0.5)
     if bins is not None:
         for r in bins.groupBy("domain", "m", "bin").agg(F.count("*").alias("n")).collect():
