@@ -171,3 +171,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_domains(docs.where(f"NOT {held_out(5, 0)}").select("text", F.col("lang").alias("domain")))
     found = rates(docs, model, keep=["doc_id", "source"])
     return found.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+
+
+@query
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
