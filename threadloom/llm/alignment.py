@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from threadloom.session import cut
 
-from .blocks import blocks
+from .blocks import blocks, tidy
 
 BLOCK = 2_000_000
 #: Pairs are numbered a * WIDE + b.
@@ -219,7 +219,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False)
         if number & ((1 << 33) - 1):
             yield row(None, None, None, None, None, None, None, vector)
 
-    stored = cut(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(first, STORED))
+    stored = cut(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(tidy(first), STORED))
     vectors = stored.where("block IS NULL").select(F.posexplode("vector").alias("a", "n"))
     alike = vectors.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     sent = stored.where("block IS NOT NULL").select("block", F.posexplode(F.arrays_zip("pair", "docs")).alias("at", "x"))
@@ -267,7 +267,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False)
     shape = [x.split()[0] for x in fields.split(", ")]
     looked = stored.where("block IS NOT NULL").select("block", "doc_id", "sizes", "groups", "held").join(back, "block", "left")
     looked = looked.withColumn("found", F.coalesce("found", F.expr("CAST(array() AS ARRAY<STRUCT<at: INT, pair: BIGINT, n: BIGINT>>)")))
-    documents = looked.select("doc_id", "sizes", "groups", "held", "found").mapInArrow(second, fields)
+    documents = looked.select("doc_id", "sizes", "groups", "held", "found").mapInArrow(tidy(second), fields)
     named = spark.createDataFrame([(i, int(b)) for i, b in enumerate(same.tolist()) if same_docs[i] > 0], "a int, b long")
     pairs = alike.join(named, "a").select(F.col("a").cast("long").alias("a_id"), F.col("b").alias("b_id"), F.col("n").alias("n_docs"))
     return Alignment(documents, pairs.union(counts.select(pair_a, F.expr(f"pair % {WIDE}"), "n")))

@@ -30,6 +30,28 @@ def blocks(batches, column: str, limit: int = BLOCK_BYTES):
             yield batch.slice(start)
 
 
+def tidy(task):
+    """The task, which gives what it freed back to the system when it ends: Python workers live on for
+    other tasks, and their executor counts what they hold."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.enable()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return run
+
+
 def shared_folder(spark, what: str) -> str:
     """A new folder name below the shared folder the session names."""
     return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"

@@ -23,7 +23,7 @@ import base64
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import blocks
+from .blocks import blocks, tidy
 
 LONG = 48
 CACHED = 400_000
@@ -237,4 +237,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
                 out["decoded"] = pa.array(decoded, pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(task, fields)
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(tidy(task), fields)

@@ -12,7 +12,9 @@ languages x buckets comes to the driver and goes to the tasks.
 
 Defined results: null texts and texts without a letter are ``und`` with score 1; so is everything, with
 score 0, when there is nothing to learn from. Repeated rows are answered one by one; rows without
-``doc_id`` are answered but never learned from. Other columns are ignored.
+``doc_id`` are answered but never learned from; an empty table gives no rows. More than ``LANGUAGES``
+languages are an error. A very long text, or one unbroken run of letters, takes time and memory in proportion
+to its length. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import blocks, extended
+from .blocks import blocks, extended, tidy
 from .text_bytes import lower_bytes, sums
 
 BUCKETS = 1 << 15
@@ -36,6 +38,8 @@ MARGIN = 12.0
 AMBIGUOUS = 0.02
 #: Trigrams that count against a text's own: short texts have small margins.
 PRIOR = 10
+#: Texts x languages x bits that are compared at once.
+SLICE = 4_000_000
 
 #: Digits, punctuation and control characters count as spaces.
 _SPACED = np.arange(256, dtype=np.uint32)
@@ -93,7 +97,10 @@ class LanguageModel:
             margin[:, b] = sums(self.odds[:, b][bucket], offsets)
         counted = sums((bucket != 0).astype(np.int64), offsets)
         margin *= (MARGIN / (counted + PRIOR))[:, None]
-        loss = (np.logaddexp(0, -margin[:, None, :] * self.code) * self.weight).sum(axis=2)
+        loss = np.empty((len(texts), len(self.languages)))
+        rows = max(1, SLICE // self.code.size)
+        for a in range(0, len(texts), rows):  # texts x languages x bits at once would grow with the model
+            loss[a : a + rows] = (np.logaddexp(0, -margin[a : a + rows, None, :] * self.code) * self.weight).sum(axis=2)
         order = np.argsort(loss, axis=1, kind="stable")
         near = np.take_along_axis(loss, order[:, :2], axis=1)
         share = np.exp(-8 * (loss - near[:, :1]))
@@ -121,7 +128,7 @@ def fit(rows: DataFrame) -> LanguageModel:
         yield pa.RecordBatch.from_pydict({"at": at, "n": total[at]})
 
     counts = np.zeros(len(languages) * BUCKETS)
-    for r in rows.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in rows.mapInArrow(tidy(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["at"]] = r["n"]
     counts = counts.reshape(len(languages), BUCKETS)
     counts[:, 0] = 0  # spaces
@@ -146,4 +153,4 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] = ()) -> Dat
             language, score, ambiguous = model.answers(part["text"])
             yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), pa.array(language, pa.string()), pa.array(score), pa.array(ambiguous)], [*columns, "lang_pred", "score", "ambiguous"])
 
-    return docs.select(*(columns if "text" in columns else [*columns, "text"])).mapInArrow(task, fields)
+    return docs.select(*(columns if "text" in columns else [*columns, "text"])).mapInArrow(tidy(task), fields)

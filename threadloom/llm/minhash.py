@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from threadloom.session import cut
 
-from .blocks import blocks
+from .blocks import blocks, tidy
 from .components import components
 
 WORDS = 5
@@ -136,7 +136,7 @@ def _sketch_task(batches):
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, h1, h2, keys``: size, hash and half-keys of each row's shingle set."""
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
-    return rows.mapInArrow(_sketch_task, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
+    return rows.mapInArrow(tidy(_sketch_task), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
 def table_rows(classes: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 })
 
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").where("doc_id IS NOT NULL")
-    made = rows.withColumn("spot", spot).mapInArrow(task, "doc_id long, h1 long, h2 long, n_shingles long, shingles binary")
+    made = rows.withColumn("spot", spot).mapInArrow(tidy(task), "doc_id long, h1 long, h2 long, n_shingles long, shingles binary")
     # repeated rows have one set
     once = made.groupBy("doc_id", *_CLASS).agg(F.first("shingles").alias("shingles"))
     return once.join(classes, ["doc_id", *_CLASS]).select("rep", "shingles")
@@ -208,7 +208,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_())).select(names)
 
     rows = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
-    return rows.select(*names, "x", "y").mapInArrow(task, fields).distinct()
+    return rows.select(*names, "x", "y").mapInArrow(tidy(task), fields).distinct()
 
 
 _SIZES = f"100 * least(n, o) >= {THRESHOLD} * greatest(n, o)"
@@ -284,7 +284,7 @@ def _prefix_tables(members: DataFrame, sets: DataFrame) -> DataFrame:
             values = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["shingles"]]
             yield pa.RecordBatch.from_pydict({"rep": batch["rep"], "n": batch["n"], "shingles": pa.array(values, pa.list_(pa.int64()))})
 
-    one = members.join(sets, "rep").mapInArrow(task, "rep long, n long, shingles array<long>").selectExpr("rep", "n", "explode(shingles) AS bucket")
+    one = members.join(sets, "rep").mapInArrow(tidy(task), "rep long, n long, shingles array<long>").selectExpr("rep", "n", "explode(shingles) AS bucket")
     often = one.withColumn("m", F.count("*").over(Window.partitionBy("bucket")))
     rare = often.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("m", "bucket")) - 1)
     rare = rare.where(f"m > 1 AND at <= n - CAST(ceil(n * {THRESHOLD} / 100) AS BIGINT)").select("bucket", "rep", "n", "at")

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from threadloom.session import cut
 
-from .blocks import blocks, extended
+from .blocks import blocks, extended, tidy
 from .text_bytes import Words, lower_bytes
 
 FIT_ROWS = 20_000
@@ -82,7 +82,7 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"at": at, "n": total[at]})
 
     out = np.zeros(SYMBOLS**3)
-    for r in docs.select("text").mapInArrow(task, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.select("text").mapInArrow(tidy(task), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["at"]] = r["n"]
     return out.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
 
@@ -291,7 +291,7 @@ def _evidence(rows: DataFrame, bad: int, good: int) -> tuple[np.ndarray, np.ndar
     """Sorted hashes and odds of all words and beginnings that pass, of ``bad`` and ``good`` labelled texts."""
 
     def counted(label, name):
-        found = rows.where(F.col("label") == label).select("text").mapInArrow(_features, "h long, n long")
+        found = rows.where(F.col("label") == label).select("text").mapInArrow(tidy(_features), "h long, n long")
         return found.groupBy("h").agg(F.sum("n").alias(name))
 
     def surprise(k, m):  # k of m texts where the share is expected
@@ -368,4 +368,4 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] = ()) -> DataFr
             found = model.score(model.evidence(part["text"]))
             yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), pa.array(found)], [*columns, "score"])
 
-    return docs.select(*(columns if "text" in columns else [*columns, "text"])).mapInArrow(task, fields)
+    return docs.select(*(columns if "text" in columns else [*columns, "text"])).mapInArrow(tidy(task), fields)
