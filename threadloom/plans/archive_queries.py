@@ -615,6 +615,31 @@ def dump_round_trip(spark, d):
     return _message_rows(dumps.to_messages(dumps.read_written_dump(spark, path)))
 
 
+@query(_MESSAGE_ROWS)
+def dump_scan(spark, d):
+    """JSON arrays, read by byte ranges."""
+    path = scratch(spark, "arrays")
+    dumps.write_dump_arrays(_dump_rows(spark, d), path)
+    return _message_rows(dumps.to_messages(dumps.read_dump(spark, path, name_part=-2)))
+
+
+@query(
+    r"""SELECT CAST(conv_id AS VARCHAR) AS chat_id, CAST(n - 1 AS VARCHAR) AS id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS content, part FROM (
+  SELECT conv_id, part, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM (
+    SELECT conv_id, turn // 100 AS part, regexp_split_to_array(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn), '\r\n|\r|\n') AS lines
+    FROM conversations GROUP BY ALL)) WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> ''"""
+)
+def line_scan(spark, d):
+    """Text files, one for each hundred turns of a conversation, with a blank line behind every turn."""
+    path = scratch(spark, "lines")
+    at = F.expr("turn DIV 100")
+    rows = b.table(spark, d, "conversations").withColumn("dump", F.concat(F.lit(fixed.DUMP_NAME_PREFIX), "conv_id", F.lit("_"), at))
+    rows = rows.repartition("dump").sortWithinPartitions("dump", "turn").select("dump", F.coalesce("text", F.lit("")).alias("value"))
+    rows.write.partitionBy("dump").option("lineSep", "\n\n").text(path)
+    found = dumps.read_lines(spark, path, "2024-01-01 00:00:00", name_part=-2)
+    return found.select(dumps.chat_id_of(F.col("file_name")).alias("chat_id"), "id", "content", F.regexp_extract("file_name", r"_(\d+)$", 1).cast("long").alias("part"))
+
+
 @query(_MESSAGE_ROWS)
 def stream_ingest(spark, d):
     """Dumps whose order of arrival is not that of their dates, through the ingest stream."""

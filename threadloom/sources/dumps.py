@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import compose_id, strip
 from ..schemas import VECTOR_FILE
-
-_DUMP_ITEM = "array<struct<id:string,date:string,sender:string,content:string>>"
+from . import arrays
 
 
 def chat_id_of(file_name: Column) -> Column:
@@ -17,57 +17,57 @@ def chat_id_of(file_name: Column) -> Column:
     return F.when(found != "", found).otherwise(F.lit(fixed.UNKNOWN_CHAT))
 
 
-def _file_name() -> Column:
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+def _name_in(path: Column, part: int) -> Column:
+    return F.element_at(F.split(path, "/"), part)
+
 
+def read_dump(spark: SparkSession, path: str, name_part: int = -1) -> DataFrame:
+    """``id, ts, sender, content, file_name`` of JSON-array dumps, each file read by as many tasks as it has ranges.
 
-def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """``id, ts, sender, content, file_name`` of JSON-array dumps.
+    ``file_name`` is that part of the path which names the chat: the last one, or -2 where files lie in a folder of their chat.
 
     Files whose top level is not an array give no rows.  A key that is absent takes its
-    default; a malformed date fails the read.
+    default; a malformed date or file fails the read.
     """
-    raw = (
-        spark.read.option("multiLine", True)
-        .option("primitivesAsString", True)
-        .option("encoding", "UTF-8")
-        .schema("id string, date string, sender string, content string, _bad string")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .json(path)
-        .select("*", _file_name().alias("file_name"), F.col("_metadata.file_path").alias("_path"))
-    )
-    heads = (
-        spark.read.format("text").option("wholetext", False).load(path)
-        .select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"), F.ltrim("value").alias("v"))
-        .filter((F.col("v") != "") & (F.col("_at") == 0))
-        .groupBy("_path")
-        .agg(F.min_by(F.substring("v", 1, 1), "_i").alias("first"))
-        .filter(F.col("first") == "[")
-        .select("_path")
-    )
-    broken = F.raise_error(F.concat(F.lit("not a readable dump: "), F.col("_path")))
-    return raw.join(heads, "_path", "left_semi").select(
-        F.col("id"),
-        F.when(F.col("_bad").isNotNull(), broken.cast("timestamp_ntz")).otherwise(F.col("date").cast("timestamp_ntz")).alias("ts"),
-        F.coalesce("sender", F.lit(fixed.UNKNOWN_SENDER)).alias("sender"),
-        F.coalesce("content", F.lit("")).alias("content"),
-        "file_name",
+    item = "id string, date string, sender string, content string, _bad string"
+    options = {"primitivesAsString": "true", "columnNameOfCorruptRecord": "_bad"}
+    rows = arrays.read_objects(spark, path).select("path", F.from_json("text", item, options).alias("x"))
+    broken = F.raise_error(F.concat(F.lit("not a readable dump: "), F.col("path"))).cast("boolean")
+    rows = rows.where(F.when(F.col("x._bad").isNull(), True).otherwise(broken))
+    return rows.select(
+        F.col("x.id").alias("id"),
+        F.col("x.date").cast("timestamp_ntz").alias("ts"),
+        F.coalesce("x.sender", F.lit(fixed.UNKNOWN_SENDER)).alias("sender"),
+        F.coalesce("x.content", F.lit("")).alias("content"),
+        _name_in(F.col("path"), name_part).alias("file_name"),
     )
 
 
-def read_lines(spark: SparkSession, path: str, ts: str) -> DataFrame:
-    """One message per non-blank line; ids count all lines of a file from zero."""
-    whole = spark.read.text(path, wholetext=True).select(_file_name().alias("file_name"), "value")
+def read_lines(spark: SparkSession, path: str, ts: str, name_part: int = -1) -> DataFrame:
+    """One message per non-blank line; ids count all lines of a file from zero.
+
+    A file is read in byte ranges by many tasks. Lines end at LF, CR or both, also where a range ends
+    between the two. A first scan counts the lines of each range, a running sum over the ranges of a file
+    gives the number of their first lines; within a range numbers follow from the order of its rows.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(
+        meta["file_path"].alias("path"), meta["file_block_start"].alias("at"), F.monotonically_increasing_id().alias("seq"), "value"
+    )
+    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    counted = lines.groupBy("path", "at").agg(F.count("*").alias("n"), F.min("seq").alias("low"))
+    shift = counted.select("path", "at", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("shift"))
+    content = strip(F.col("value"))
     return (
-        whole.select("file_name", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("id", "line"))
-        .withColumn("content", strip(F.col("line")))
+        lines.withColumn("content", content)
         .filter(F.col("content") != "")
+        .join(shift, ["path", "at"])
         .select(
-            F.col("id").cast("string").alias("id"),
+            (F.col("seq") + F.col("shift")).cast("string").alias("id"),
             F.lit(ts).cast("timestamp_ntz").alias("ts"),
             F.lit(fixed.UNKNOWN_SENDER).alias("sender"),
             "content",
-            "file_name",
+            _name_in(F.col("path"), name_part).alias("file_name"),
         )
     )
 
@@ -120,6 +120,36 @@ def write_dump(dump: DataFrame, path: str) -> None:
     )
 
 
+def write_dump_arrays(dump: DataFrame, path: str) -> None:
+    """Dump rows as JSON arrays, one or more files in a folder for each chat, every file one array."""
+    named = dump.withColumn("dump", F.concat(F.lit(fixed.DUMP_NAME_PREFIX), F.col("chat_id").cast("string")))
+    keys = ["dump", "date", "id"]
+    sorted_rows = named.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    body = F.to_json(F.struct(*(c for c in dump.columns if c != "chat_id")))
+
+    def frame(batches):
+        """Puts brackets and commas around the rows of a chat, which follow each other in a task."""
+        chat, held = None, None
+
+        def row(text):
+            return pa.RecordBatch.from_pydict({"dump": [chat], "value": [text]})
+
+        for batch in batches:
+            out = {"dump": [], "value": []}
+            for name, text in zip(batch["dump"].to_pylist(), batch["value"].to_pylist(), strict=True):
+                if held is not None:
+                    out["dump"].append(chat)
+                    out["value"].append(held if name == chat else held + "]")
+                held = ("," if name == chat else "[") + text
+                chat = name
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("dump", pa.string()), ("value", pa.string())]))
+        if held is not None:
+            yield row(held + "]")
+
+    framed = sorted_rows.select("dump", body.alias("value")).mapInArrow(frame, "dump string, value string")
+    framed.write.mode("overwrite").partitionBy("dump").text(path)
+
+
 def read_written_dump(spark: SparkSession, path: str) -> DataFrame:
     """What ``write_dump`` wrote, in the shape ``to_messages`` takes."""
     rows = spark.read.schema("id string, date string, sender string, content string, dump string").json(path)
