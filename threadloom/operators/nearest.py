@@ -134,10 +134,12 @@ def top_k(
     plan: str = "auto",
     block_rows: int = BLOCK_ROWS,
     max_pivots: int = MAX_PIVOTS,
+    index=None,
 ) -> DataFrame:
     """The ``k`` nearest vectors of every query: ``(query_id, vector_id, distance, rank)``.
 
-    ``within`` holds ``(query_id, cell)`` pairs and limits each query to vectors whose
+    ``index`` is a stored cell index of the same vectors: it is read instead of them, only where a
+    neighbour can be (searches limited by ``within`` keep to the vectors). ``within`` holds ``(query_id, cell)`` pairs and limits each query to vectors whose
     ``cell`` column it names; without it every vector is a candidate.
     """
     if metric not in METRICS:
@@ -158,7 +160,9 @@ def top_k(
         few = q.limit(SCAN_QUERIES + 1).toArrow()  # bounded, and the count that decides
         if few.num_rows > SCAN_QUERIES:
             few = None
-    if few is not None:
+    if index is not None and within is None:
+        hits = index.hits(q, few, k, metric)
+    elif few is not None:
         hits = _scan(few, q, s, k, metric, within is not None)
     elif within is not None:
         hits = _blocks(q.withColumn("cell", F.explode("cells")).drop("cells"), s, k, metric, block_rows)

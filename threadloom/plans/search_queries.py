@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.vectors import rounded
 from ..operators import nearest, search
-from ..session import cut
+from ..session import cut, scratch
+from ..sources.cells import CellIndex
 from . import bindings as b
 from .catalog import query
 
@@ -48,6 +49,27 @@ def topk_cells(spark, d):
     return _distance(search.search_direct(b.queries(spark, d), b.chunks(spark, d), 10, plan="cells", block_rows=256))
 
 
+def _cell_index(spark, d):
+    """The chunks in a stored index, written in two batches."""
+    every = b.chunks(spark, d).select("chunk_id", "embedding")
+    index = CellIndex.build(every.where("chunk_id % 3 <> 0"), scratch(spark, "cells"), block_rows=64)
+    return index.add(every.where("chunk_id % 3 = 0"))
+
+
+@query(b.sql(f"SELECT query_id, chunk_id, {D}, rank FROM direct WHERE rank <= 10", "direct"))
+def indexed_topk(spark, d):
+    """Two sets of queries against one stored index: one as many would be asked, one as few."""
+    index, asked, every = _cell_index(spark, d), b.queries(spark, d), b.chunks(spark, d)
+    many = search.search_direct(asked.where("query_id % 2 = 0"), every, 10, plan="cells", index=index)
+    few = search.search_direct(asked.where("query_id % 2 = 1"), every, 10, plan="scan", index=index)
+    return _distance(many.unionByName(few))
+
+
+@query(b.sql(f"SELECT query_id, rank, chunk_id, {D}, metadata FROM direct JOIN chunks USING (chunk_id) WHERE rank <= 3", "direct"))
+def indexed_search(spark, d):
+    return _distance(search.search_basic(b.queries(spark, d), b.chunks(spark, d), 3, index=_cell_index(spark, d)))
+
+
 @query(b.sql(f"SELECT query_id, rank, chunk_id, {D}, metadata FROM direct JOIN chunks USING (chunk_id) WHERE rank <= 3", "direct"))
 def search_basic(spark, d):
     return _distance(search.search_basic(b.queries(spark, d), b.chunks(spark, d), 3))
