@@ -27,7 +27,9 @@ def plain(rows, aligner):
     """Groups and links from byte spans, two tokens at a time."""
     texts = []
     for doc, text in rows:
-        a, b = aligner.encode([text])
+        a, b = aligner.encode([text]) if text else ([[]], [[]])
+        if not aligner.spell(a[0], b[0], (" " + (text or "")).encode()):
+            a, b = [[]], [[]]
         x, y = spans(a[0], aligner.a_bytes), spans(b[0], aligner.b_bytes)
         links, j = [], 0
         for s, e, i in x:
@@ -72,8 +74,10 @@ def test_equal_to_byte_spans(documents, aligner, monkeypatch):
     want = sorted(want, key=lambda r: (r[0] is None, r[0] or 0))
     assert any(r[1] == 0 and r[0] == 2 for r in want)  # the text has a U+2581 of its own
     frame = documents([(i, t, "en") for i, t in rows])
-    for size, parts in ((2_000_000, 1), (60, 3)):
+    for size, parts, cached in ((2_000_000, 1, 1000), (60, 3, 5)):
         monkeypatch.setattr(alignment, "BLOCK", size)
+        monkeypatch.setattr(alignment, "CACHED", cached)
+        monkeypatch.setattr(alignment, "TOGETHER", cached)
         found = alignment.align(frame.repartition(parts), A, B, keep_groups=True)
         assert listed(found.documents) == want
         assert {(r.a_id, r.b_id): r.n_docs for r in found.pairs.collect()} == dict(count)
@@ -91,10 +95,30 @@ def test_pairs_of_same_bytes_off_their_place(aligner):
     """A link of ids with the same bytes whose tokens do not cover the same place counts with the others of its kind."""
     a_size, b_size = np.array([1, 2, 1]), np.array([1, 2, 1])
     # bytes xyxy: A cuts x|yx|y, B cuts xy|xy
-    links = alignment.link([[0, 1, 2]], [[1, 1]], a_size, b_size)
+    links = alignment.link(np.array([3]), np.array([0, 1, 2]), np.array([2]), np.array([1, 1]), a_size, b_size)
     assert list(zip(links.a.tolist(), links.b.tolist(), strict=True)) == [(0, 1), (1, 1), (1, 1), (2, 1)]
     assert (links.n_groups.tolist(), links.n_links.tolist()) == ([1], [4])
-    assert alignment.group_strings(links, aligner.names[:6] + [f"{i}{e}" for i in range(3) for e in ",;"]) == ["0,1,2|1,1"]
+    assert alignment.group_strings(links, aligner.names[:6] + [f"{i}{e}" for i in range(3) for e in ",;\n"]) == ["0,1,2|1,1"]
+
+
+def test_cut_texts_are_encoded_as_whole_ones(aligner):
+    texts = [t for t in TEXTS if t] + [" a  b \n c\x1cd\x85e f", "x\u00a0y z  ", "\n\n a", "don't 'll we've  's", "1 2 33 444", "a \u2581 b"]
+    assert aligner.cuts
+    for text in texts:
+        a, b = aligner.encode([text])
+        if aligner.spell(a[0], b[0], (" " + text).encode()):
+            x, y = aligner.encode(aligner.cut(text))
+            assert a[0] == [i for p in x for i in p] and b[0] == [i for p in y for i in p]
+
+
+def test_whole_texts_where_cuts_are_not_safe(documents, monkeypatch):
+    monkeypatch.setattr(alignment.Aligner, "forget", lambda self, forget=alignment.Aligner.forget: (setattr(self, "cuts", False), forget(self)) and None)
+    whole = alignment.Aligner(A, B)
+    assert whole.cut("a b c") == ["a b c"]
+    counts, names, doc, pair = whole.block(["a b c", None, "a b c"])
+    monkeypatch.undo()
+    again = alignment.Aligner(A, B).block(["a b c", None, "a b c"])
+    assert (counts == again[0]).all() and names == again[1] and (doc == again[2]).all() and (pair == again[3]).all()
 
 
 def test_identity_map():

@@ -4,7 +4,8 @@ Both tokenizations of a text cover the same bytes, so their ends are places on o
 share cut the tokens into groups; every end of either one closes exactly one overlap of an A token with a
 B token, so the links of a text are the union of the ends, found by a merge of two sorted arrays.
 
-A vocabulary-length array gives each A id the B id of the same bytes. Links of that kind, all exact
+Texts are cut at single blanks, over which neither side has a token, and the links of a piece are found once
+for as long as a task remembers it. A vocabulary-length array gives each A id the B id of the same bytes. Links of that kind, all exact
 one-to-one groups among them, are counted in vectors of vocabulary length, one a task, that Spark adds up.
 Only the other pairs are shuffled: a block of texts (2 MB, or one longer text) sends each of its distinct
 pairs once, with the number of its documents that hold it; sums by pair go back to the blocks by a join. A
@@ -22,7 +23,9 @@ text, and one unbroken run of letters, is a block of its own and takes memory in
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,10 @@ from threadloom.session import cut
 from .blocks import blocks, tidy
 
 BLOCK = 2_000_000
+#: Pieces that a task knows at once.
+CACHED = 400_000
+#: Pieces that are encoded as one text.
+TOGETHER = 500
 #: Pairs are numbered a * WIDE + b.
 WIDE = 1 << 31
 
@@ -73,8 +80,16 @@ def identity_map(a: list[bytes], b: list[bytes], single: list[bool]) -> np.ndarr
     return np.array([best.get(x, -1) for x in a], np.int32)
 
 
+#: A blank between two other characters: no token of either side reaches over it (see ``Aligner.cut``).
+_BLANK = re.compile(r"(?<=\S) (?=\S)")
+
+
 class Aligner:
-    """Two tokenizers and the tables of their ids."""
+    """Two tokenizers, the tables of their ids, and the links of the pieces met so far.
+
+    Of a byte-level pattern such as A's, a single blank between other characters always begins a match. B's model
+    never joins over it either, unless some piece has a blank behind another character. So texts are cut
+    there, and a piece that comes again is not encoded or aligned again; else a text is one piece."""
 
     def __init__(self, a_path: str, b_path: str):
         import os
@@ -90,49 +105,119 @@ class Aligner:
         self.b_bytes, single = b_bytes(self.b)
         self.same = identity_map(self.a_bytes, self.b_bytes, single)
         self.a_size, self.b_size = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
-        self.names = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"] + [f"{i}{end}" for i in range(len(self.b_bytes)) for end in ",;"]
-
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides for each text; none where the bytes differ."""
-        at = [i for i, t in enumerate(texts) if t]
-        a, b = [[] for _ in texts], [[] for _ in texts]
-        left = self.a.encode_batch_fast([" " + texts[i] for i in at], add_special_tokens=False) if at else []
-        right = self.b.encode([texts[i] for i in at], num_threads=1) if at else []
-        for i, x, y in zip(at, left, right, strict=True):
-            x, whole = x.ids, (" " + texts[i]).encode()
-            if b"".join(map(self.a_bytes.__getitem__, x)) == whole and b"".join(map(self.b_bytes.__getitem__, y)) == whole:
-                a[i], b[i] = x, y
-        return a, b
+        self.names = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"] + [f"{i}{end}" for i in range(len(self.b_bytes)) for end in ",;\n"]
+        self.cuts = not any(b" " in x.lstrip(b" ") for x in self.b_bytes)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.strings: list[str] = []
+        self.sound = np.empty(0, bool)
+        self.counts = np.empty((0, 4), np.int64)  # A tokens, B tokens, groups, links
+        self.starts = np.zeros(1, np.int64)
+        self.codes = np.empty(0, np.int64)
+
+    def cut(self, text: str | None) -> list[str]:
+        """The pieces of a text; each stands behind a blank, the first too."""
+        if not text:
+            return []
+        return _BLANK.split(text) if self.cuts else [text]
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both sides for each text behind a blank."""
+        left = self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False) if texts else []
+        return [x.ids for x in left], self.b.encode(texts, num_threads=1) if texts else []
+
+    def spell(self, a: list[int], b: list[int], whole: bytes) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes and aligns pieces. Those with no blank at either end are encoded ``TOGETHER`` as one text: it is cut
+        where they meet. What does not spell its text is encoded again alone."""
+        ends = [x[0].isspace() or x[-1].isspace() for x in pieces]
+        alone = [x for x, e in zip(pieces, ends, strict=True) if e or not self.cuts]
+        joined = [x for x, e in zip(pieces, ends, strict=True) if not e] if self.cuts else []
+        runs = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
+        for group in (runs, [[x] for x in alone]):
+            again = self._add(group)
+            if again:
+                self._add([[x] for run in again for x in run])
+
+    def _add(self, runs: list[list[str]]) -> list[list[str]]:
+        """Adds runs of pieces; returns longer ones that do not spell their text."""
+        texts = [" ".join(run) for run in runs]
+        a, b = self.encode(texts)
+        sound = [self.spell(x, y, (" " + t).encode()) for x, y, t in zip(a, b, texts, strict=True)]
+        again = [run for run, good in zip(runs, sound, strict=True) if not good and len(run) > 1]
+        for run, good in zip(runs, sound, strict=True):
+            if not good and len(run) == 1:  # no links
+                self._store(run, False, np.zeros((1, 4), np.int64), np.empty(0, np.int64), [""])
+        pieces = [x for run, good in zip(runs, sound, strict=True) if good for x in run]
+        if not pieces:
+            return again
+        ids_a, ids_b = (_flat([x for x, good in zip(side, sound, strict=True) if good]) for side in (a, b))
+        stops = np.cumsum([1 + len(x.encode()) for x in pieces])
+        n_a, n_b = (np.diff(np.searchsorted(np.cumsum(size[ids]), stops, side="right"), prepend=0) for ids, size in ((ids_a, self.a_size), (ids_b, self.b_size)))
+        links = link(n_a, ids_a, n_b, ids_b, self.a_size, self.b_size)
+        counts = np.stack([links.n_a, links.n_b, links.n_groups, links.n_links], axis=1)
+        self._store(pieces, True, counts, links.a * WIDE + links.b, group_strings(links, self.names))
+        return again
+
+    def _store(self, pieces: list[str], sound: bool, counts: np.ndarray, codes: np.ndarray, strings: list[str]) -> None:
+        self.number.update(zip(pieces, range(len(self.strings), len(self.strings) + len(pieces)), strict=True))
+        self.strings += strings
+        self.sound = np.append(self.sound, np.full(len(pieces), sound))
+        self.counts = np.concatenate([self.counts, counts])
+        self.codes = np.append(self.codes, codes)
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(counts[:, 3]))
+
+    def block(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """For each text its four counts and its group string; for each link its text and pair."""
+        parts = [self.cut(t) for t in texts]
+        if len(self.strings) > CACHED or len(self.codes) > 10 * CACHED:
+            self.forget()
+        if new := list(set().union(*parts) - self.number.keys()):
+            self.learn(new)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        piece = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, int(lengths.sum()))
+        doc = np.repeat(np.arange(len(texts)), lengths)
+        good = np.bincount(doc[~self.sound[piece]], minlength=len(texts)) == 0
+        piece, doc = piece[good[doc]], doc[good[doc]]
+        counts = np.stack([np.bincount(doc, self.counts[piece, j], len(texts)).astype(np.int64) for j in range(4)], axis=1)
+        ends = np.searchsorted(doc, np.arange(len(texts)), side="right").tolist()
+        numbers = piece.tolist()
+        names = [";".join(map(self.strings.__getitem__, numbers[i:j])) for i, j in zip([0, *ends], ends, strict=False)]
+        n = self.counts[piece, 3]
+        at = np.arange(int(n.sum())) + np.repeat(self.starts[piece] - (np.cumsum(n) - n), n)
+        return counts, names, np.repeat(doc, n), self.codes[at]
 
 
 @dataclass
 class Links:
-    """Links of a block of texts: arrays by text, and one entry for each link or piece of a group string."""
+    """Links of texts: arrays by text, and one entry for each link or piece of a group string."""
 
     n_a: np.ndarray
     n_b: np.ndarray
     n_groups: np.ndarray
     n_links: np.ndarray
-    doc: np.ndarray
     a: np.ndarray
     b: np.ndarray
     pieces: np.ndarray
 
 
 def _flat(rows: list[list[int]]) -> np.ndarray:
-    from itertools import chain
-
     return np.fromiter(chain.from_iterable(rows), np.int64, sum(map(len, rows)))
 
 
-def link(a_rows: list[list[int]], b_rows: list[list[int]], a_size: np.ndarray, b_size: np.ndarray) -> Links:
-    """Groups and links of texts, all at once on one line of bytes; ids of a text cover the same bytes on both sides."""
-    n_a, n_b = np.array([len(x) for x in a_rows], np.int64), np.array([len(x) for x in b_rows], np.int64)
-    a, b = _flat(a_rows), _flat(b_rows)
+def link(n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> Links:
+    """Groups and links of texts that follow each other on one line of bytes: ``n_a`` and ``n_b`` ids each, of ``a`` and
+    ``b``, which cover the same bytes. No text is without ids."""
     ends_a, ends_b = np.cumsum(a_size[a]), np.cumsum(b_size[b])
-    stop = np.append(0, ends_a)[np.cumsum(n_a)]  # where each text ends
-    shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    every = np.union1d(ends_a, ends_b)
+    stop = ends_a[np.cumsum(n_a) - 1]  # where each text ends
+    every = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # two sorted runs
+    twice = np.append(every[1:] == every[:-1], False)
+    shared = every[twice]
+    every = every[~twice]
     per = lambda ends: np.diff(np.searchsorted(ends, stop, side="right"), prepend=0)
     # group strings: A ids of a group, then its B ids
     group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
@@ -140,17 +225,15 @@ def link(a_rows: list[list[int]], b_rows: list[list[int]], a_size: np.ndarray, b
     a_until = np.searchsorted(group_a, np.arange(len(shared)), side="right")
     pieces = np.empty(len(a) + len(b), np.int64)
     pieces[np.arange(len(a)) + b_before[group_a]] = 2 * a + (shared[group_a] == ends_a)
-    pieces[np.arange(len(b)) + a_until[group_b]] = 2 * (len(a_size) + b) + (shared[group_b] == ends_b)
-    return Links(n_a, n_b, per(shared), per(every), np.searchsorted(stop, every), a[np.searchsorted(ends_a, every)], b[np.searchsorted(ends_b, every)], pieces)
+    last = np.zeros(len(b), np.int64)
+    last[np.cumsum(n_b) - 1] = 1
+    pieces[np.arange(len(b)) + a_until[group_b]] = 2 * len(a_size) + 3 * b + (shared[group_b] == ends_b) + last
+    return Links(n_a, n_b, per(shared), per(every), a[np.searchsorted(ends_a, every)], b[np.searchsorted(ends_b, every)], pieces)
 
 
 def group_strings(links: Links, names: list[str]) -> list[str]:
-    """``a1,a2|b1;a3|b2,b3`` for each text."""
-    out, at = [], 0
-    for n in (links.n_a + links.n_b).tolist():
-        out.append("".join(map(names.__getitem__, links.pieces[at : at + n].tolist()))[:-1])
-        at += n
-    return out
+    """``a1,a2|b1;a3|b2,b3`` for each text; ``names`` has every A id before , and | and every B id before , and ; and a new line."""
+    return "".join(map(names.__getitem__, links.pieces.tolist())).split("\n")[:-1]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -200,20 +283,18 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False)
 
         vector = np.zeros(len(aligner.same), np.int64)
         for part in blocks(batches, "text", BLOCK):
-            a, b = aligner.encode(part["text"].to_pylist())
-            links = link(a, b, aligner.a_size, aligner.b_size)
-            names = group_strings(links, aligner.names)
+            counts, names, doc, pair = aligner.block(part["text"].to_pylist())
             if not keep_groups:
                 names = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in names]
-            alike = aligner.same[links.a] == links.b
+            alike = aligner.same[pair // WIDE] == pair % WIDE
             # distinct same-bytes ids, and distinct other pairs, of each text
-            mine, times = np.unique(links.doc[alike] * WIDE + links.a[alike], return_counts=True)
+            mine, times = np.unique(doc[alike] * WIDE + pair[alike] // WIDE, return_counts=True)
             vector += np.bincount(mine % WIDE, minlength=len(vector))
-            codes, at = np.unique(links.a[~alike] * WIDE + links.b[~alike], return_inverse=True)
-            other, often = np.unique(links.doc[~alike] * WIDE + at, return_counts=True)
+            codes, at = np.unique(pair[~alike], return_inverse=True)
+            other, often = np.unique(doc[~alike] * WIDE + at, return_counts=True)
             texts = len(part)
             held = pack(np.bincount(mine // WIDE, minlength=texts), mine % WIDE, times, np.bincount(other // WIDE, minlength=texts), other % WIDE, often)
-            sizes = pack(links.n_a, links.n_b, links.n_groups, links.n_links)
+            sizes = pack(*counts.T)
             yield row(number, part["doc_id"].to_pylist(), sizes, names, held, codes, np.bincount(other % WIDE, minlength=len(codes)), None)
             number += 1
         if number & ((1 << 33) - 1):
