@@ -91,6 +91,31 @@ def test_every_n_stream(rocks, tmp_path):
     assert key(got) == key(want)
 
 
+def test_idle_counters_expire(spark, tmp_path):
+    needs_state_runtime()
+    import time
+
+    rows = [(c, s, s, 3, False, False, False) for s, c in enumerate([1, 2, 1, 2, 2])] + [(2, 10, 10, 3, False, False, False)]
+    schema = "chat_id long, seq long, event_id long, frequency int, has_mention boolean, is_command boolean, is_private boolean"
+    df = spark.createDataFrame(rows, schema)
+    for idle, left in ((None, {1: 2, 2: 4}), (1, {2: 4})):
+        at = tmp_path / str(idle)
+        for part in ("seq < 10", "seq >= 10"):
+            df.filter(part).write.mode("append").parquet(str(at / "in"))
+            stream = live.respond_every_stream(spark.readStream.schema(df.schema).parquet(str(at / "in")), idle)
+            live.run_available(stream, str(at / "out"), str(at / "state"))
+            time.sleep(0.1)
+        assert {r.chat_id: r.counter for r in live.stored_counters(spark, str(at / "state")).collect()} == left
+        assert sorted((r.seq, r.counter) for r in spark.read.parquet(str(at / "out")).collect()) == [(0, 1), (1, 1), (2, 2), (3, 2), (4, 3), (10, 4)]
+
+
+def test_pieces_of_a_key_count_in_order():
+    import pandas as pd
+
+    pieces = [pd.DataFrame({"seq": [3, 1]}), pd.DataFrame({"seq": [0, 2]})]
+    assert live._in_order(iter(pieces), "seq")["seq"].tolist() == [0, 1, 2, 3]
+
+
 def test_flow_stream(rocks, tmp_path):
     needs_state_runtime()
     events = aq.live_events(rocks, SF)

@@ -173,17 +173,24 @@ def representatives(topics_l2: DataFrame, topics_l1: DataFrame, chunks: DataFram
     )
 
 
+def sample_order(chunk_id, seed: int):
+    """A seeded random order that SQL engines share: the digest of seed and id."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), chunk_id.cast("string")))
+
+
 def sample_chunks(chunks: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:
-    """Up to n chunks of every topic in a seeded random order, as numbered blocks."""
-    order = Window.partitionBy("topic_l1_id").orderBy(F.xxhash64("chunk_id", F.lit(seed)), "chunk_id")
-    return (
-        chunks.filter(F.col("topic_l1_id").isNotNull())
-        .withColumn("nth", F.row_number().over(order))
-        .filter(F.col("nth") <= n)
-        .select(
-            F.col("topic_l1_id").alias("topic_id"), "nth", "chunk_id",
-            F.concat(F.lit("Chunk "), F.col("nth").cast("string"), F.lit(":\n"), F.substring("text", 1, 200), F.lit("...")).alias("block"),
-        )
+    """Up to n chunks of every topic in a seeded random order, as numbered blocks.
+
+    The n least digests of a topic are the least of those of its sixteen parts by first digit; parts are
+    sampled on their own, ids and digests only, so a topic with a third of all chunks is no single task. Texts
+    are joined to what is left."""
+    keyed = chunks.filter(F.col("topic_l1_id").isNotNull() & F.col("chunk_id").isNotNull()).select("topic_l1_id", "chunk_id", sample_order(F.col("chunk_id"), seed).alias("_h"))
+    least = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "chunk_id"))
+    parts = keyed.withColumn("_at", least("topic_l1_id", F.substring("_h", 1, 1))).filter(F.col("_at") <= n).drop("_at")
+    picked = parts.withColumn("nth", least("topic_l1_id")).filter(F.col("nth") <= n)
+    return picked.join(chunks.select("topic_l1_id", "chunk_id", "text"), ["topic_l1_id", "chunk_id"]).select(
+        F.col("topic_l1_id").alias("topic_id"), "nth", "chunk_id",
+        F.concat(F.lit("Chunk "), F.col("nth").cast("string"), F.lit(":\n"), F.substring("text", 1, 200), F.lit("...")).alias("block"),
     )
 
 

@@ -292,6 +292,47 @@ def live_flow(spark, d):
     return flow_batch(live_events(spark, d)).select("event_id", "route", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+def _streamed(spark, rows, order, transform, runs=3):
+    """The rows through a stream that is started ``runs`` times with one checkpoint; each run finds the next rows by ``order``."""
+    from ..streaming.live import run_available
+
+    path, rows = scratch(spark, "stream"), cut(rows)
+    edges = rows.agg(F.percentile_approx(order, [i / runs for i in range(1, runs)], 1000)).first()[0] or []
+    part = sum(((F.col(order) > e).cast("int") for e in edges), F.lit(0))
+    for run in range(runs):
+        rows.filter(part == run).write.mode("append").parquet(f"{path}/in")
+        run_available(transform(spark.readStream.schema(rows.schema).parquet(f"{path}/in")), f"{path}/out", f"{path}/state")
+    return spark.read.parquet(f"{path}/out"), f"{path}/state"
+
+
+@query(b.sql(f"SELECT event_id, counter, reason, {_ANSWER} FROM decided", extra=_counter_sql(True)))
+def every_n_stream(spark, d):
+    """``counter_reset`` as a stream that is stopped and started again."""
+    from ..streaming.live import respond_every_stream
+
+    e = b.table(spark, d, "events").select("event_id", ((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0)).alias("is_reset"))
+    found, _ = _streamed(spark, counter_events(spark, d).join(e, "event_id"), "seq", respond_every_stream)
+    return found.select("event_id", "counter", "reason", "respond")
+
+
+@query(b.sql("SELECT chat_id, max(counter) AS counter FROM decided GROUP BY 1", extra=_counter_sql(False)))
+def counter_state(spark, d):
+    """The counters of chats as the stream's state store holds them."""
+    from ..streaming.live import respond_every_stream, stored_counters
+
+    _, checkpoint = _streamed(spark, counter_events(spark, d), "seq", respond_every_stream, runs=2)
+    return stored_counters(spark, checkpoint)
+
+
+@query(b.sql("SELECT conv_id, turn, depth, usage, reset FROM walk", recursive=True, extra=_RESET))
+def session_stream(spark, d):
+    """``session_reset`` as a stream that is stopped and started again."""
+    from ..streaming import live
+
+    found, _ = _streamed(spark, b.table(spark, d, "conversations"), "turn", lambda s: live.session_stream(s, 600))
+    return found.select("conv_id", "turn", F.col("depth").cast("int").alias("depth"), "usage", "reset")
+
+
 def live_events(spark, d):
     said = F.expr(
         "case event_type when 'purchase' then concat('@helper ', if(event_id % 2 = 0, 'find ', 'hello '), props) when 'click' then '/help' "

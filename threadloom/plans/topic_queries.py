@@ -109,10 +109,16 @@ def representatives(spark, d):
     return topics.representatives(b.topics_l2(spark, d), b.topics_l1(spark, d), b.chunks(spark, d))
 
 
-@query()
+@query(
+    b.sql(
+        """SELECT topic_l1_id AS topic_id, nth, chunk_id, 'Chunk ' || nth || chr(58) || chr(10) || substring(text, 1, 200) || '...' AS block FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic_l1_id ORDER BY md5('0:' || chunk_id), chunk_id) AS nth FROM chunks WHERE topic_l1_id IS NOT NULL)
+WHERE nth <= 5""",
+        "chunks",
+    )
+)
 def sample_chunks(spark, d):
-    """Seeded hash order, which SQL engines do not share; covered by tests."""
-    return topics.sample_chunks(b.chunks(spark, d))
+    return topics.sample_chunks(b.chunks(spark, d)).withColumn("nth", F.col("nth").cast("long"))
 
 
 @query(

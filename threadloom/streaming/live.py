@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -48,7 +48,26 @@ def flow_batch(events: DataFrame, username: str = USERNAME, account_id: int = AC
 _COUNTED = "chat_id long, seq long, event_id long, counter long, reason string, respond boolean, hint string"
 
 
-def _every_n_processor():
+def _in_order(rows, column: str):
+    """The rows of a key in a batch, which may come in several pieces, as one ordered frame."""
+    import pandas as pd
+
+    return pd.concat(list(rows), ignore_index=True).sort_values(column, kind="stable")
+
+
+def _expiry(idle_ms: int | None):
+    """Timers that end a key's state when nothing came for ``idle_ms``: (renew, is it due)."""
+
+    def renew(handle, timer_values) -> None:
+        if idle_ms is not None:
+            for at in list(handle.listTimers()):
+                handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
+            handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + idle_ms)
+
+    return renew, "None" if idle_ms is None else "ProcessingTime"
+
+
+def _every_n_processor(renew):
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -56,31 +75,36 @@ def _every_n_processor():
         """One counter per chat; decisions follow the batch rule."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.counter = handle.getValueState("counter", "n long")
 
         def handleInputRows(self, key, rows, timerValues):
             n = self.counter.get()[0] if self.counter.exists() else 0
             out = []
-            for pdf in rows:
-                for e in pdf.sort_values("seq").itertuples(index=False):
-                    if e.is_reset:
-                        n, reason = 0, "reset"
-                    elif e.is_command or e.is_private:
-                        reason = "command_or_private"
-                    elif e.has_mention:
-                        reason = "mentioned"
-                    elif e.frequency < 1:
-                        reason = "freq_zero_no_mention"
-                    elif e.frequency == 1:
-                        reason = "freq_one"
-                    else:
-                        n += 1
-                        reason = f"freq_{'match' if n % e.frequency == 0 else 'skip'}_{n}"
-                    respond = not reason.startswith("freq_skip") and reason not in ("freq_zero_no_mention", "reset")
-                    out.append((key[0], e.seq, e.event_id, n, reason, respond, e.hint))
+            for e in _in_order(rows, "seq").itertuples(index=False):
+                if e.is_reset:
+                    n, reason = 0, "reset"
+                elif e.is_command or e.is_private:
+                    reason = "command_or_private"
+                elif e.has_mention:
+                    reason = "mentioned"
+                elif e.frequency < 1:
+                    reason = "freq_zero_no_mention"
+                elif e.frequency == 1:
+                    reason = "freq_one"
+                else:
+                    n += 1
+                    reason = f"freq_{'match' if n % e.frequency == 0 else 'skip'}_{n}"
+                respond = not reason.startswith("freq_skip") and reason not in ("freq_zero_no_mention", "reset")
+                out.append((key[0], e.seq, e.event_id, n, reason, respond, e.hint))
             self.counter.update((n,))
+            renew(self.handle, timerValues)
             yield pd.DataFrame(out, columns=["chat_id", "seq", "event_id", "counter", "reason", "respond", "hint"])
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.counter.clear()
+            return iter(())
+
         def close(self) -> None:
             pass
 
@@ -96,21 +120,50 @@ def _flagged(events: DataFrame, hint: Column) -> DataFrame:
     return events.select(*_FLAGS, reset.alias("is_reset"), hint.alias("hint"))
 
 
-def _count(events: DataFrame) -> DataFrame:
+def _count(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    renew, mode = _expiry(idle_ms)
     return events.groupBy("chat_id").transformWithStateInPandas(
-        statefulProcessor=_every_n_processor(), outputStructType=_COUNTED, outputMode="Append", timeMode="None"
+        statefulProcessor=_every_n_processor(renew), outputStructType=_COUNTED, outputMode="Append", timeMode=mode
     )
 
 
-def respond_every_stream(events: DataFrame) -> DataFrame:
-    """Streaming twin of ``respond_every``, resets included; rows of a batch count in ``seq`` order."""
-    return _count(_flagged(events, F.lit(""))).drop("hint")
+def respond_every_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Streaming twin of ``respond_every``, resets included; rows of a batch count in ``seq`` order.
+
+    A chat's counter is kept for ever, or until nothing came for ``idle_ms`` (it begins again at zero then)."""
+    return _count(_flagged(events, F.lit("")), idle_ms).drop("hint")
+
+
+def stored_counters(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``chat_id, counter`` as a counting stream's last finished batch left them, from its state store."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "counter").load()
+    return state.select(F.col("key.chat_id").alias("chat_id"), F.col("value.n").alias("counter"))
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Appends what a stream gives for all that is present now to the table at ``path``, and stops; the next run
+    with the same checkpoint goes on with its state."""
+    spark = stream.sparkSession
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        # timers alone would keep such a run going for ever
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 _SESSION = "conv_id long, turn long, depth int, usage long, reset boolean"
 
 
-def _session_processor(max_tokens: int, template: str):
+def _session_processor(max_tokens: int, template: str, renew):
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -124,35 +177,41 @@ def _session_processor(max_tokens: int, template: str):
         """The last five lines since the last reset."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.lines = handle.getListState("lines", "line string")
 
         def handleInputRows(self, key, rows, timerValues):
             lines = [r[0] for r in self.lines.get()]
             out = []
-            for pdf in rows:
-                for t in pdf.sort_values("turn").itertuples(index=False):
-                    text = "\n".join(lines).strip()
-                    usage = overhead + len(frame.replace("{h}", text)) // 4 if lines else 0
-                    depth = len(lines)
-                    reset = t.role == "user" and depth > 0 and usage >= max_tokens
-                    lines = ([] if reset else lines) + [("User: " if t.role == "user" else "Bot: ") + t.text]
-                    lines = lines[-tail:]
-                    out.append((key[0], t.turn, depth, usage, reset))
+            for t in _in_order(rows, "turn").itertuples(index=False):
+                text = "\n".join(lines).strip()
+                usage = overhead + len(frame.replace("{h}", text)) // 4 if lines else 0
+                depth = len(lines)
+                reset = t.role == "user" and depth > 0 and usage >= max_tokens
+                lines = ([] if reset else lines) + [("User: " if t.role == "user" else "Bot: ") + t.text]
+                lines = lines[-tail:]
+                out.append((key[0], t.turn, depth, usage, reset))
             self.lines.put([(line,) for line in lines])
+            renew(self.handle, timerValues)
             yield pd.DataFrame(out, columns=["conv_id", "turn", "depth", "usage", "reset"])
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.lines.clear()
+            return iter(())
+
         def close(self) -> None:
             pass
 
     return Session()
 
 
-def session_stream(turns: DataFrame, max_tokens: int = Config.max_context_tokens, template: str | None = None) -> DataFrame:
-    """Streaming twin of ``session_reset``."""
+def session_stream(turns: DataFrame, max_tokens: int = Config.max_context_tokens, template: str | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Streaming twin of ``session_reset``; a session ends too when nothing came for ``idle_ms``, if given."""
     from .. import fixed
 
+    renew, mode = _expiry(idle_ms)
     return turns.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=_session_processor(max_tokens, template or fixed.PROMPT_TEMPLATE), outputStructType=_SESSION, outputMode="Append", timeMode="None"
+        statefulProcessor=_session_processor(max_tokens, template or fixed.PROMPT_TEMPLATE, renew), outputStructType=_SESSION, outputMode="Append", timeMode=mode
     )
 
 
