@@ -50,9 +50,9 @@ def test_error_bound_holds():
 
 
 def products_brute(rows, k=10):
-    good = {(i, tuple(int(np.floor(1024 * c)) for c in x)) for i, x in rows if i is not None and x and None not in x and np.isfinite(x).all()}
+    good = [(i, tuple(int(np.floor(1024 * c)) for c in x)) for i, x in rows if i is not None and x and None not in x and np.isfinite(x).all()]
     out = []
-    for q, a in sorted(good):
+    for q, a in sorted(set(good)):
         if q % 100:
             continue
         found = sorted((-sum(s * t for s, t in zip(a, b, strict=False)), i) for i, b in good if i != q)[:k]
@@ -62,6 +62,7 @@ def products_brute(rows, k=10):
 
 def test_top_products_equal_all_pairs(vectors):
     rows = vectors_around(3, 450) + [(700 + i, [2.0] * 8) for i in range(30)] + [(901, [1.5, -1.0]), (300, [1e4] * 8)]
+    rows += [(705, [2.0] * 8)] * 3 + [rows[400]] * 2 + [(706, [3.0] * 8)] + [rows[7]] * 20  # repeated rows and ids
     frame = vectors(rows + ODD)
     for block in (8192, 32):
         got = top_products.top_products(frame.where("NOT (vec_id = 300 AND embedding[0] < 1000)"), "vec_id % 100 = 0", block=block).collect()

@@ -12,8 +12,8 @@ Blocks and query blocks have a fixed size, so a task's memory does not grow; a q
 once, and a block returns at most k rows for each of its queries.
 
 Defined results: vectors that are null, empty or hold null or non-finite components and rows
-without ``vec_id`` take no part; missing components of shorter vectors are zero; equal rows count
-once; scores outside the range of long are cut to it. Other columns are ignored.
+without ``vec_id`` take no part; missing components of shorter vectors are zero; equal rows are
+rows of their own as candidates, and one query; scores outside the range of long are cut to it. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +38,9 @@ HEAD = 16
 
 
 def integers(rows: DataFrame) -> DataFrame:
-    """``vec_id, x, norm`` with components floor(1024 x), as doubles."""
+    """``vec_id, x, norm, times``: components floor(1024 x) as doubles, equal rows once with their number."""
     rows = usable(rows).selectExpr("vec_id", "transform(x, c -> floor(1024 * c) + 0D) AS x")
-    return rows.where("forall(x, c -> abs(c) < double('Infinity'))").distinct().withColumn("norm", F.expr("sqrt(aggregate(x, 0D, (s, c) -> s + c * c))"))
+    return rows.where("forall(x, c -> abs(c) < double('Infinity'))").groupBy("vec_id", "x").agg(F.count("*").alias("times")).withColumn("norm", F.expr("sqrt(aggregate(x, 0D, (s, c) -> s + c * c))"))
 
 
 def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -62,7 +62,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_block(q, q_ids, floor, x, x_ids, turn, k):
-    """(place of the query, id, score) of the k best rows of ``x`` for each query that are not
+    """(scores, places) of the k best rows of ``x``, which come by ascending id, for each query that are not
     certainly below ``floor``."""
     order = np.argsort(-np.linalg.norm(x, axis=1), kind="stable")
     x, x_ids = x[order], x_ids[order]
@@ -84,11 +84,11 @@ def search_block(q, q_ids, floor, x, x_ids, turn, k):
         if not len(columns):
             continue
         scores = exact_products(q[live], x[a:b][columns])
-        ids = x_ids[a:b][columns]
+        ids, places = x_ids[a:b][columns], order[a:b][columns]
         for row, i in enumerate(live.tolist()):
             mine = np.flatnonzero((scores[row] >= floor[i]) & (ids != q_ids[i]))
             if len(mine):
-                s, n = np.append(held[i][0], scores[row][mine]), np.append(held[i][1], ids[mine])
+                s, n = np.append(held[i][0], scores[row][mine]), np.append(held[i][1], places[mine])
                 keep = best(s, n, k)
                 held[i] = (s[keep], n[keep])
                 if len(keep) == k:
@@ -127,7 +127,7 @@ def top_products(rows: DataFrame, queries: str, k: int = K, block: int = BLOCK)
             low = len(at) - np.searchsorted(at, batch["norm"].to_numpy(), side="left")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.int32())], [*batch.schema.names, "level"])
 
-    levels = cut(data.mapInArrow(rank, "vec_id long, x array<double>, norm double, level int"))
+    levels = cut(data.mapInArrow(rank, "vec_id long, x array<double>, times long, norm double, level int"))
     sizes = {r["level"]: (r["n"], r["longest"]) for r in levels.groupBy("level").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()}
     slots = {v: -(-n // block) for v, (n, _) in sizes.items()}
 
@@ -156,22 +156,28 @@ def top_products(rows: DataFrame, queries: str, k: int = K, block: int = BLOCK)
     asked = cut(data.where(queries).mapInArrow(first_bounds, "vec_id long, x array<double>, floor long, go array<int>"))
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
     slot = spark.createDataFrame(list(slots.items()) or [(0, 1)], "level int, slots int")
-    c = levels.join(F.broadcast(slot), "level").select("level", F.expr("int(pmod(xxhash64(vec_id), slots))").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(None).cast("long").alias("floor"), "vec_id", "x")
+    c = levels.join(F.broadcast(slot), "level").select("level", F.expr("int(pmod(xxhash64(vec_id), slots))").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(None).cast("long").alias("floor"), "vec_id", "x", "times")
     q = asked.select("vec_id", "x", "floor", F.expr(f"int(pmod(xxhash64(vec_id), {groups}))").alias("g"), F.explode("go").alias("level")).join(F.broadcast(slot), "level")
-    q = q.select("level", F.explode(F.expr("sequence(0, slots - 1)")).alias("slot"), "g", "floor", "vec_id", "x")
+    q = q.select("level", F.explode(F.expr("sequence(0, slots - 1)")).alias("slot"), "g", "floor", "vec_id", "x", F.lit(1).cast("long").alias("times"))
 
     def task(table: pa.Table) -> pa.Table:
         ask = table["floor"].is_valid().to_numpy()
         ids, x = table["vec_id"].to_numpy(), matrix(table["x"], width)
         floor = table["floor"].fill_null(0).to_numpy()[ask]
         q_ids = ids[ask]
-        held = search_block(x[ask], q_ids, floor, x[~ask], ids[~ask], turn, k) if ask.any() and not ask.all() else []
+        row = np.flatnonzero(~ask)
+        row = row[np.lexsort((*x[row].T[::-1], ids[row]))]  # of one id, by the vector
+        times = table["times"].to_numpy()[row]
+        held = search_block(x[ask], q_ids, floor, x[row], ids[row], turn, k) if ask.any() and len(row) else []
+        place = np.concatenate([n for _, n in held]) if held else np.empty(0, np.int64)
         return pa.table({
             "query_id": pa.array(np.repeat(q_ids, [len(s) for s, _ in held]) if held else [], pa.int64()),
-            "vec_id": pa.array(np.concatenate([n for _, n in held]) if held else [], pa.int64()),
+            "vec_id": pa.array(ids[row][place], pa.int64()),
             "score": pa.array(np.concatenate([s for s, _ in held]) if held else [], pa.int64()),
+            "times": pa.array(times[place], pa.int64()),
         })
 
-    found = c.union(q).groupBy("level", "slot", "g").applyInArrow(task, "query_id long, vec_id long, score long").distinct()
+    found = c.union(q).groupBy("level", "slot", "g").applyInArrow(task, "query_id long, vec_id long, score long, times long")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)))))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
