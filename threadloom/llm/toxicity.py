@@ -16,7 +16,8 @@ at most ``FIT_ROWS`` rows of three numbers for the logistic fit.
 
 Defined results: null and empty texts have no evidence and get the score of such texts; without
 labels of both kinds every score is the share of toxic labels (0 without any). Repeated rows are scored
-one by one; rows without ``doc_id`` are scored, never learned from. Other columns are ignored.
+one by one; rows without ``doc_id`` are scored, never learned from; an empty table gives no rows. A very long text, or
+one unbroken run of letters, takes time and memory in proportion to its length (Viterbi is linear). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from threadloom.session import cut
 
-from .blocks import blocks, extended, tidy
+from .blocks import blocks, extended, small_batches, tidy
 from .text_bytes import Words, lower_bytes
 
 FIT_ROWS = 20_000
@@ -39,7 +40,8 @@ PREFIXES = (4, 5, 6)
 #: A word of evidence occurs in this share of the toxic texts and in three of them at least.
 LEAST_SHARE = 0.002
 LEAST_ODDS = 2.5
-LEAST_SURPRISE = 30.0
+#: And is as surprising there as three or four texts of a kind that has a twelfth of the labels (G squared).
+LEAST_SURPRISE = 15.0
 
 #: Letters that a sign commonly stands for.
 SIGNS = {
@@ -360,6 +362,7 @@ def fit(docs: DataFrame, rows: DataFrame) -> ToxicityModel:
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] = ()) -> DataFrame:
     """``keep`` columns of ``docs`` with the ``score`` of the column ``text``."""
+    small_batches(docs.sparkSession)
     columns = list(keep)
     fields = extended(docs.select(*columns).schema, [("score", T.DoubleType())])
 
