@@ -25,6 +25,37 @@ def test_language(documents, languages):
     assert len({tuple(r) for r in code.tolist()}) == len(languages) or len(languages) < 2
 
 
+def plain_answer(model, given):
+    """Trigrams, margins and losses of one text, one by one."""
+    import math
+
+    if not any(c.isalpha() for c in given or ""):
+        return "und", 1.0
+    data = [b if 97 <= b <= 122 or b >= 128 else 32 for b in given.lower().encode()]
+    buckets = []
+    for i in range(len(data)):
+        code = int.from_bytes(bytes((data[i : i + 3] + [32, 32])[:3]), "big")
+        buckets.append(0 if code == 0x202020 else (code * 2654435761 % 2**32) >> 17)
+    scale = language.MARGIN / (sum(b != 0 for b in buckets) + language.PRIOR)
+    margin = [scale * sum(float(model.odds[b, bit]) for b in buckets) for bit in range(model.code.shape[1])]
+    loss = [sum(model.weight[n][bit] * math.log1p(math.exp(-m * model.code[n][bit])) for bit, m in enumerate(margin)) for n in range(len(model.languages))]
+    least = min(loss)
+    return model.languages[loss.index(least)], 1 / sum(math.exp(-8 * (x - least)) for x in loss)
+
+
+def test_language_equals_a_plain_decoder(documents, odd, monkeypatch):
+    pick = random.Random(9)
+    rows = [(i, text(pick, x), x) for i, x in enumerate(["en", "de", "fr", "es"] * 15)]
+    model = language.fit(documents(rows).select("text", "lang"))
+    texts = [t for _, t, _ in rows] + ["ab", "é", "12", "", None, "The end. " * 30] + ["x" * 20_000]
+    for size in (language.SLICE, 30):  # losses a few rows at a time are the same
+        monkeypatch.setattr(language, "SLICE", size)
+        found, score, _ = model.answers(pa.array(texts))
+        for given, lang, s in zip(texts, found, score, strict=True):
+            want = plain_answer(model, given)
+            assert lang == want[0] and s == pytest.approx(want[1], rel=1e-4), given
+
+
 def test_language_of_odd_rows(odd, none):
     model = language.fit(odd.select("text", "lang"))
     got = language.identify(odd, model, ["doc_id", "text"]).collect()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from threadloom.session import cut
 
-from .blocks import blocks, tidy
+from .blocks import blocks, small_batches, tidy
 
 BLOCK = 2_000_000
 #: Pieces that a task knows at once.
@@ -267,6 +267,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False)
 
     Both files are read by every task, so they must exist on every machine."""
     spark = docs.sparkSession
+    small_batches(spark)
 
     def first(batches):
         import hashlib

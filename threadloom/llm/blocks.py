@@ -30,6 +30,14 @@ def blocks(batches, column: str, limit: int = BLOCK_BYTES):
             yield batch.slice(start)
 
 
+def small_batches(spark) -> None:
+    """Arrow batches of at most 1000 rows, where the session has the default of ten times as many: those of whole texts
+    take tens of MB in the executor and again in its workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def tidy(task):
     """The task, which gives what it freed back to the system when it ends: Python workers live on for
     other tasks, and their executor counts what they hold."""

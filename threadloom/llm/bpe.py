@@ -23,7 +23,7 @@ import base64
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import blocks, tidy
+from .blocks import blocks, small_batches, tidy
 
 LONG = 48
 CACHED = 400_000
@@ -210,6 +210,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     ``ids`` (array) and ``decoded`` (the bytes the ids decode to) when asked for.
 
     ``ranks_path`` is read by every task, so it must exist on every machine."""
+    small_batches(docs.sparkSession)
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     fields += ", ids array<int>" * keep_ids + ", decoded binary" * keep_decoded
 

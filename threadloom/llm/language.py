@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import blocks, extended, tidy
+from .blocks import blocks, extended, small_batches, tidy
 from .text_bytes import lower_bytes, sums
 
 BUCKETS = 1 << 15
@@ -98,7 +98,7 @@ class LanguageModel:
         counted = sums((bucket != 0).astype(np.int64), offsets)
         margin *= (MARGIN / (counted + PRIOR))[:, None]
         loss = np.empty((len(texts), len(self.languages)))
-        rows = max(1, SLICE // self.code.size)
+        rows = max(1, SLICE // max(1, self.code.size))
         for a in range(0, len(texts), rows):  # texts x languages x bits at once would grow with the model
             loss[a : a + rows] = (np.logaddexp(0, -margin[a : a + rows, None, :] * self.code) * self.weight).sum(axis=2)
         order = np.argsort(loss, axis=1, kind="stable")
@@ -145,6 +145,7 @@ def fit(rows: DataFrame) -> LanguageModel:
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] = ()) -> DataFrame:
     """``keep`` columns of ``docs`` with ``lang_pred, score, ambiguous`` of the column ``text``."""
+    small_batches(docs.sparkSession)
     columns = list(keep)
     fields = extended(docs.select(*columns).schema, [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType())])
 

@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from threadloom.session import cut
 
-from .blocks import blocks, tidy
+from .blocks import blocks, small_batches, tidy
 from .components import components
 
 WORDS = 5
@@ -293,6 +293,7 @@ def _prefix_tables(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``."""
+    small_batches(docs.sparkSession)
     rows = cut(sketches(docs))
     real = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     grouped = real.groupBy(*_CLASS).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
