@@ -693,6 +693,22 @@ def stream_ingest(spark, d):
     return _message_rows(spark.read.parquet(f"{path}/messages"))
 
 
+@query(_MESSAGE_ROWS)
+def stream_ingest_runs(spark, d):
+    """``stream_ingest`` into a table of runs with Bloom filters: six batches, rows of four of them twice."""
+    from ..streaming.store import MessageStore
+
+    path = scratch(spark, "runs")
+    rows = cut(_dump_rows(spark, d))
+    store = MessageStore(spark, f"{path}/messages")
+    for at in range(6):
+        part = F.col("chat_id") % 5
+        batch = rows.filter((part == at) | (part == at - 1))
+        named = batch.select("id", F.col("date").cast("timestamp_ntz").alias("ts"), "sender", F.coalesce("content", F.lit("")).alias("content"), F.concat(F.lit(fixed.DUMP_NAME_PREFIX), "chat_id").alias("file_name"))
+        store.insert(dumps.to_messages(named), at)
+    return _message_rows(store.read())
+
+
 @query("SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
 def vector_file_round_trip(spark, d):
     path = scratch(spark, "vectors")
