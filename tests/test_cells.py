@@ -59,12 +59,16 @@ def test_equal_to_all_distances(spark, points, tmp_path, metric, asked):
             assert stored.items() <= files(tmp_path).items()  # what was stored stays as it is
 
 
-def test_few_files_are_read(spark, points, tmp_path):
-    x, frame = points
+def test_few_files_are_read(spark, tmp_path):
+    pick = np.random.default_rng(12)
+    x = (pick.normal(size=(10, 8)) * 4)[pick.integers(0, 10, 900)] + pick.normal(size=(900, 8)) * 0.05
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<double>")
     index = CellIndex.build(frame, str(tmp_path / "i"), block_rows=20)
     rings = index._rings()
     pick = cells.ring_picker(index.pivots, rings, 3, "sq_l2")
-    seen = pick(x[[77]])[0]
+    part = pick(x).mean(axis=1)
+    assert np.median(part) < 0.34  # of the rings
+    seen = pick(x[[int(part.argmin())]])[0]
     assert 0 < seen.sum() < len(rings) / 4
     named = index._named(index._stored(), rings[seen])
     assert len(named.inputFiles()) == len(rings)  # the table's files, before the plan prunes them

@@ -10,6 +10,7 @@ from ..functions import embed
 from ..functions.text import token_count
 from ..functions.vectors import rounded
 from ..operators import audit, chunking, history, hydrate, mutate, search
+from ..operators.buckets import BucketTable
 from ..session import cut, scratch
 from ..sources import dumps, index
 from . import bindings as b
@@ -630,6 +631,34 @@ def apply_delta(spark, d):
     return rows.select("chunk_id", F.coalesce("topic_l1_id", blank).alias("topic_l1_id"), F.coalesce("topic_l2_id", blank).alias("topic_l2_id"))
 
 
+@query(
+    b.sql(
+        """SELECT chunk_id, coalesce(CASE WHEN quality = 1 THEN toxic END, topic_l1_id, -1) AS topic_l1_id, coalesce(CASE WHEN quality = 1 THEN 7 END, topic_l2_id, -1) AS topic_l2_id
+FROM chunks LEFT JOIN labels ON doc_id = chunk_id AND doc_id % 16 < 5""",
+        "chunks", whole=True,
+    )
+)
+def apply_delta_cow(spark, d):
+    """Two deltas of a stored table, each rewriting the buckets it touches."""
+    rows = b.all_chunks(spark, d).select("chunk_id", "topic_l1_id", "topic_l2_id")
+    table = BucketTable.create(rows, scratch(spark, "buckets"), "chunk_id", 16)
+    some = b.table(spark, d, "labels").filter("doc_id % 16 < 5")
+    good = F.col("quality") == 1
+    table = table.apply(some.select(F.col("doc_id").alias("chunk_id"), F.when(good, F.col("toxic")).cast("long").alias("topic_l1_id")))
+    table = table.apply(some.select(F.col("doc_id").alias("chunk_id"), F.when(good, F.lit(7)).cast("long").alias("topic_l2_id")))
+    blank = F.lit(-1)
+    return table.read().select("chunk_id", F.coalesce("topic_l1_id", blank).alias("topic_l1_id"), F.coalesce("topic_l2_id", blank).alias("topic_l2_id"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, source, length(text) AS chars FROM documents WHERE doc_id IN (SELECT item_id * 7 FROM benchmark)")
+def point_lookup(spark, d):
+    """Documents by a table of ids, from key-sorted files with Bloom filters."""
+    docs = b.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", "text")
+    table = BucketTable.create(docs, scratch(spark, "lookup"), "id", 16)
+    asked = b.table(spark, d, "benchmark").select((F.col("item_id") * 7).cast("string").alias("id"))
+    return table.lookup(asked).select("id", "source", F.char_length("text").cast("long").alias("chars"))
+
+
 # --- files written and read back ---------------------------------------------------
 
 _MESSAGE_ROWS = """SELECT conv_id || '_' || turn AS msg_id, CAST(conv_id AS VARCHAR) AS chat_id, role AS from_id, coalesce(text, '') AS text,

@@ -6,8 +6,7 @@ are there, they become one run of the next level, so a table of n batches has ab
 written log n times. A filter is ``BITS`` bits an id in pieces of 32768 bits, built by mergeable
 aggregates and asked by a join on the pieces that an id points to: no filter is held whole anywhere.
 
-A manifest names the runs that count. It is written last, in one of ``KEPT`` folders in turn, and the newest whole one is
-read: a batch that is lost half way, or comes again, changes nothing. Merged runs stay where they are, unread.
+A manifest names the runs that count and is written last: a batch that is lost half way, or comes again, changes nothing. Merged runs stay where they are, unread.
 """
 
 from __future__ import annotations
@@ -16,16 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MESSAGES
+from ..sources.manifest import Manifest
 
 FAN = 8
 BITS, HASHES = 10, 7
-KEPT = 4
 PIECE = 32768
-_RUNS = "version long, rows long, run string, level int, n long, bits long"
-
-
-def _missing(e: Exception) -> bool:
-    return "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e)
 
 
 def positions(ids: DataFrame, bits) -> DataFrame:
@@ -42,34 +36,11 @@ class MessageStore:
 
     def __init__(self, spark: SparkSession, path: str, schema=MESSAGES):
         self.spark, self.path, self.schema = spark, path, schema
-
-    # --- the manifest --------------------------------------------------------------
+        self.manifest = Manifest(spark, f"{path}/manifest", "run string, level int, n long, bits long")
 
     def runs(self) -> list[dict]:
         """The runs that count: about FAN x log(batches) rows."""
-        best: list[dict] = []
-        for slot in range(KEPT):
-            try:
-                rows = [r.asDict() for r in self.spark.read.schema(_RUNS).parquet(f"{self.path}/manifest/{slot}").collect()]
-            except Exception as e:  # never written, or being written now
-                if not _missing(e):
-                    raise
-                continue
-            if rows and len(rows) == rows[0]["rows"] and (not best or rows[0]["version"] > best[0]["version"]):
-                best = rows
-        return [r for r in best if r["run"] is not None]
-
-    def _publish(self, runs: list[dict]) -> None:
-        versions = [0]
-        for slot in range(KEPT):
-            try:
-                versions += [r["version"] for r in self.spark.read.schema(_RUNS).parquet(f"{self.path}/manifest/{slot}").limit(1).collect()]
-            except Exception as e:
-                if not _missing(e):
-                    raise
-        version = max(versions) + 1
-        rows = [(version, max(len(runs), 1), r["run"], r["level"], r["n"], r["bits"]) for r in runs] or [(version, 1, None, 0, 0, 0)]
-        self.spark.createDataFrame(rows, _RUNS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{version % KEPT}")
+        return self.manifest.read()
 
     # --- reading -------------------------------------------------------------------
 
@@ -117,7 +88,7 @@ class MessageStore:
         runs = [r for r in self.runs() if r["run"] != run]
         stored = self._rows([r for r in self.suspects(batch) if r["run"] != run]).select("msg_id")
         added = self._add_run(insert_new(stored, batch), run, 0)
-        self._publish([*runs, added] if added["n"] else runs)
+        self.manifest.publish([*runs, added] if added["n"] else runs)
         self.compact(batch_id)
         return self._rows([added])
 
@@ -131,7 +102,7 @@ class MessageStore:
                 parts = max(1, -(-sum(r["n"] for r in mine) // 1_000_000))
                 merged = self._add_run(rows.coalesce(parts), f"level-{level + 1}-{batch_id}", level + 1)
                 runs = [*(r for r in runs if r["level"] != level), merged]
-                self._publish(runs)
+                self.manifest.publish(runs)
             level += 1
 
     def sink(self):
