@@ -61,3 +61,22 @@ def test_encoding(stages):
     assert after.count() == before.count()
     want = {(r.doc_id, r.h) for r in before.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).collect()}
     assert {(r.doc_id, r.decoded_sha256) for r in after.collect()} == want
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, SF_DIR)
+        assert found.columns == docs.columns and found.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() == 0
+
+
+def test_texts_are_stored_once_a_stage(spark, monkeypatch):
+    """The mixing stage writes nothing that has a text."""
+    from threadloom.llm import mixing
+
+    stored = []
+    monkeypatch.setattr(mixing, "cut", lambda df, cut=mixing.cut: stored.append(df.columns) or cut(df))
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    corpus_pipeline.mixing_stage(spark, docs, SF_DIR)
+    assert stored and not any("text" in c or "kept" in c for c in stored)

@@ -27,6 +27,7 @@ from .blocks import blocks, small_batches, tidy
 
 LONG = 48
 CACHED = 400_000
+BLOCK = 2_000_000
 WORDS_A_QUERY, BYTES_A_QUERY = 20_000, 200_000
 STEPS_A_QUERY = 12
 
@@ -93,7 +94,7 @@ DECODE = "SELECT d, string_agg(piece, '' ORDER BY p) AS text FROM ids_in JOIN vo
 class Codec:
     """One task's connection with the vocabulary as tables."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = CACHED):
         import duckdb
         import regex
 
@@ -113,6 +114,7 @@ class Codec:
             self.db.unregister("given")
         self.first = [ranks[bytes([b])] for b in range(256)]
         self.known: dict[str, str] = {}
+        self.cached = cached
 
     def _contract(self, words: list[bytes], query: str) -> list[str]:
         import numpy as np
@@ -176,7 +178,7 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[list[str], list[int]]:
         """For each text its ids as decimals joined by commas, and their number."""
         texts = [self._parts(t) for t in texts]
-        if len(self.known) > CACHED:
+        if len(self.known) > self.cached:
             self.known = {}
         known = self.known
         new = set().union(*texts) - known.keys()
@@ -205,10 +207,11 @@ class Codec:
         return out
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = True, keep_decoded: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = True, keep_decoded: bool = False, cached: int = CACHED, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for each row of ``docs(doc_id, text)``, with
     ``ids`` (array) and ``decoded`` (the bytes the ids decode to) when asked for.
 
+    A task remembers ``cached`` words and holds ``block`` bytes of text at once: about 230 bytes a word and 50 a byte.
     ``ranks_path`` is read by every task, so it must exist on every machine."""
     small_batches(docs.sparkSession)
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -221,8 +224,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
         import numpy as np
 
         gc.disable()  # millions of live strings, no cycles
-        codec = Codec(read_ranks(ranks_path), pattern)
-        for part in blocks(batches, "text", 2_000_000):
+        codec = Codec(read_ranks(ranks_path), pattern, cached)
+        for part in blocks(batches, "text", block):
             ids, counts = codec.encode([x or "" for x in part["text"].to_pylist()])
             parts = [np.fromstring(x, np.int32, sep=",") if x else np.empty(0, np.int32) for x in ids]
             decoded = codec.decode(parts)

@@ -113,7 +113,7 @@ def _set_hashes(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _sketch_task(batches):
-    for part in blocks(batches, "text", 2_000_000):
+    for part in blocks(batches, "text", 1_000_000):
         sets = shingle_sets(part["text"])
         n = np.fromiter(map(len, sets), np.int64, len(sets))
         full = np.flatnonzero(n)
@@ -169,7 +169,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
         asked = np.unpackbits(packed.value)
         for batch in batches:
             batch = batch.filter(pa.array(asked[batch["spot"].to_numpy()].astype(bool)))
-            for part in blocks([batch], "text", 2_000_000):
+            for part in blocks([batch], "text", 1_000_000):
                 sets = shingle_sets(part["text"])
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 full = np.flatnonzero(n)

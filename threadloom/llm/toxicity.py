@@ -74,7 +74,7 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
     def task(batches):
         table = _symbol_table()
         total = np.zeros(SYMBOLS**3, np.int64)
-        for part in blocks(batches, "text", 2_000_000):
+        for part in blocks(batches, "text", 1_000_000):
             chars = np.frombuffer("\n".join(x for x in part["text"].to_pylist() if x).encode("utf-32-le", "surrogatepass"), np.uint32)
             s = np.where(chars < len(table), table[np.minimum(chars, len(table) - 1)], 27 + chars % (SYMBOLS - 27)).astype(np.int32)
             s = np.concatenate(([0, 0], s[(s != 0) | np.append(True, s[:-1] != 0)], [0])) if len(s) else s
@@ -213,7 +213,7 @@ class ToxicityModel:
 
     def restored(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """Spans of the texts that are restored to something else, and of which text each is."""
-        if len(self.cache) > 200_000:
+        if len(self.cache) > 100_000:
             self.cache.clear()
         of, out = [], []
         for d, span in disguised(texts):
@@ -270,7 +270,7 @@ class ToxicityModel:
 def _features(batches):
     """Counts in how many texts each word and beginning occurs."""
     hashes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for part in blocks(batches, "text", 2_000_000):
+    for part in blocks(batches, "text", 1_000_000):
         words = Words(*lower_bytes(part["text"]))
         doc, h = [], []
         for length in (None, *PREFIXES):
