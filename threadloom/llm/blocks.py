@@ -43,25 +43,19 @@ def tidy(task):
     other tasks, and their executor counts what they hold."""
 
     def run(batches):
-        import ctypes
-        import gc
-
-        try:
-            libc = ctypes.CDLL(None)
-            # large blocks are given back when they are freed, and few arenas are kept: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
-            for option, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 2)):
-                libc.mallopt(option, value)
-            pa.set_memory_pool(pa.system_memory_pool())
-        except (AttributeError, OSError):  # not glibc
-            libc = None
         try:
             yield from task(batches)
         finally:
+            import ctypes
+            import gc
+
             gc.enable()
             gc.collect()
             pa.default_memory_pool().release_unused()
-            if libc is not None:
-                libc.malloc_trim(0)
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
 
     return run
 
