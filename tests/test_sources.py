@@ -123,6 +123,15 @@ def test_title_responses(spark):
     assert got == ["ok"] * 3 + ["invalid_json", "not_an_object", "missing_key", "empty_value", "empty_value", "empty_response", "empty_response"]
 
 
+def test_title_response_is_one_value(spark):
+    """What follows the first JSON value makes a response invalid."""
+    one = '{"title": "a", "description": "b"}'
+    said = [one, f" {one}\n", "12 words", f"{one} and more", f"{one}, {one}", "1], [2", '1}', '1, "b": 2', "12", "null", "[1, 2]"]
+    df = spark.createDataFrame([(s,) for s in said], "s string")
+    got = [r.p.status for r in df.select(text.parse_title_response(F.col("s")).alias("p")).collect()]
+    assert got == ["ok", "ok"] + ["invalid_json"] * 6 + ["not_an_object"] * 3
+
+
 def test_access(spark):
     rows = [(True, False, None, True, False), (True, False, None, False, True), (True, True, "/admin_set pw", False, False), (False, True, "/x", False, False), (False, False, None, False, True), (False, False, None, False, False)]
     df = spark.createDataFrame(rows, "p boolean, c boolean, t string, a boolean, l boolean")
