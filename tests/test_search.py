@@ -88,3 +88,56 @@ def test_score_rules(spark):
         v.cosine(F.col("a"), F.col("z")).alias("zero"), v.cosine(F.col("a"), F.col("l")).alias("cut"), v.l2_normalise(F.col("z")).alias("n"),
     ).first()
     assert (pair.same, pair.right, pair.zero, pair.cut, pair.n) == (1.0, 0.0, 0.0, 1.0, [0.0, 0.0])
+
+
+def test_a_query_returns_k_rows_whatever_the_blocks(spark):
+    """Small blocks once returned k rows each, and wrote every query once a block."""
+    x = np.random.default_rng(5).normal(size=(300, 16))
+    q = frame(spark, x, "query_id long, query_vec array<double>")
+    s = frame(spark, x, "vector_id long, vector array<double>")
+    assert nearest._cells(q, s, 3, "sq_l2", 8, 512).count() == 900
+
+
+@pytest.mark.parametrize("metric", nearest.METRICS)
+def test_many_blocks_with_copies_and_odd_rows(spark, metric, monkeypatch):
+    """Blocks of a few queries, tiles of a few vectors: the same rows as all distances."""
+    for name, value in {"QUERY_ROWS": 16, "PACK_ROWS": 4, "TILE_ROWS": 8, "STEP": 8}.items():
+        monkeypatch.setattr(nearest, name, value)
+    x = np.random.default_rng(6).normal(size=(150, 5)).astype(np.float32).astype(float)
+    x[40:90] = x[3]  # many equal distances
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    odd = [(500, None), (501, [float("nan")] * 5)]
+    q = spark.createDataFrame(rows + odd, "query_id long, query_vec array<double>")
+    s = spark.createDataFrame(rows + odd, "chunk_id long, embedding array<float>")
+    want = sorted(brute(x, x, 6, metric))
+    got = nearest.top_k(q, s, 6, metric=metric, plan="cells").collect()
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got) == want
+    # limited to one of three cells
+    of = s.selectExpr("*", "chunk_id % 3 AS c")
+    pairs = q.selectExpr("query_id", "query_id % 3 AS c")
+    got = nearest.top_k(q, of, 6, metric=metric, plan="cells", within=pairs, cell="c").collect()
+    want = [(i, j * 3 + i % 3, n) for a in range(3) for i, j, n in ((i * 3 + a, j, n) for i, j, n in brute(x[a::3], x[a::3], 6, metric))]
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e6, 1e18])
+@pytest.mark.parametrize("metric", nearest.METRICS)
+def test_running_top_k_of_near_equal_distances(metric, scale):
+    """Distances closer than single precision tells apart keep their order."""
+    import pyarrow as pa
+
+    pick = np.random.default_rng(7)
+    s = (np.ones((400, 8)) + pick.normal(size=(400, 8)) * 1e-5) * scale
+    q = (np.ones((30, 8)) + pick.normal(size=(30, 8)) * 1e-5) * scale
+    block = nearest._Block(5, metric, 64)
+    block.ask(pa.array(range(30)), q.ravel())
+    for a in range(0, 400, 40):
+        block.meet(pa.array(range(a, a + 40)), s[a : a + 40].ravel())
+    got = {}
+    for batch in block.hits(["q", "v", "d"]):
+        for row in batch.to_pylist():
+            got.setdefault(row["q"], []).append(row["v"])
+    x, y = nearest.prepare(q, metric), nearest.prepare(s, metric)
+    for i in range(30):
+        d = nearest.exact_distances(np.repeat(x[i : i + 1], 400, axis=0), y, metric)
+        assert got[i] == np.lexsort((np.arange(400), d))[:5].tolist()

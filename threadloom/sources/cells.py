@@ -130,14 +130,14 @@ class CellIndex:
             x = nearest.prepare(nearest.stack(v), metric)
             return pd.Series([np.flatnonzero(p).astype("int32") for at in range(0, len(x), 64) for p in pick(x[at : at + 64])])
 
-        routed = q.withColumn("cell", F.explode(route("query_vec"))).withColumn("cell", F.col("cell").cast("long"))
+        asked, wanted = nearest._grouped(q, self.pivots, nearest_metric(metric), route.func)
         names = self.spark.createDataFrame(rings.assign(ring=np.arange(len(rings)))[["batch", "cell", "block", "ring"]])
         if rings["block"].iloc[0] < 0:
             rows = self._stored().join(self.manifest.select("batch", "cell", "block"), ["batch", "cell", "block"], "left_semi")
             rows = rows.select("vector_id", "vector", "cell").join(names.select("cell", "ring"), "cell")
         else:
             rows = stored.join(names, ["batch", "cell", "block"])
-        return nearest._blocks(routed, rows.select("vector_id", "vector", F.col("ring").alias("cell")), k, metric, self.block_rows)
+        return nearest._sweep(asked, rows.select("vector_id", "vector", F.col("ring").alias("cell")), wanted, k, metric, self.block_rows)
 
     def _named(self, stored: DataFrame, rings: pd.DataFrame) -> DataFrame:
         """The rows of some rings: a filter on the folders, so that files of others are not opened."""
