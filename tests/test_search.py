@@ -141,3 +141,26 @@ def test_running_top_k_of_near_equal_distances(metric, scale):
     for i in range(30):
         d = nearest.exact_distances(np.repeat(x[i : i + 1], 400, axis=0), y, metric)
         assert got[i] == np.lexsort((np.arange(400), d))[:5].tolist()
+
+
+def test_find_totals_of_late_minutes_and_long_texts(spark):
+    """As many parts, characters and chunks as ``find`` gives, also after minute 35 of an hour."""
+    from pyspark.sql import functions as F
+
+    from threadloom.operators import search
+
+    x = np.random.default_rng(8).normal(size=(12, 4)) * 0.3
+    chunks = frame(spark, x, "chunk_id long, embedding array<double>").selectExpr(
+        "*", "'7' AS chat_id", "concat('7_', chunk_id * 5) AS msg_id_start", "concat('7_', chunk_id * 5 + chunk_id % 3) AS msg_id_end"
+    )
+    messages = spark.range(60).selectExpr(
+        "concat('7_', id) AS msg_id", "'7' AS chat_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, int(id), 0) AS ts",
+        "'u' AS from_id", "if(id % 4 = 0, repeat('word ', 2000), 'short') AS text",
+    )
+    queries = chunks.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    rows = search.find(queries, chunks, messages, 0.8, 6).groupBy("query_id").agg(
+        F.count("*").alias("parts"), F.sum(F.char_length("content")).alias("chars"), F.count_distinct("chunk_id").alias("chunks")
+    )
+    want = sorted(tuple(r) for r in rows.collect())
+    got = search.find_totals(queries, chunks, messages, 0.8, 6).select("query_id", "parts", "chars", "chunks")
+    assert len(want) == 12 and sorted(tuple(r) for r in got.collect()) == want
