@@ -89,3 +89,25 @@ def test_separated_groups(spark):
     x = np.vstack([np.eye(10)[0] + 0.01 * blobs(1, 5, 10, 1, 1), np.eye(10)[1] + 0.01 * blobs(2, 5, 10, 1, 1), np.eye(10)[2:3]])
     got = [r.label for r in density.cluster(frame(spark, x), min_cluster_size=3).orderBy("chunk_id").collect()]
     assert got == [0] * 5 + [1] * 5 + [-1]
+
+
+def test_least_edges_to_other_components_while_points_stream_by():
+    """One row a component whatever the number of tiles, equal weights by the lower ends."""
+    import numpy as np
+    import pyarrow as pa
+
+    from threadloom.operators import density
+
+    pick = np.random.default_rng(9)
+    x = pick.integers(0, 3, size=(90, 3)).astype(float)  # many equal distances
+    c = np.arange(90) % 4
+    core = pick.integers(0, 2, 90).astype(float)
+    block = density._Outside(1, "l2", 16)
+    block.ask(pa.array(range(90)), np.c_[x, core, c, np.full(90, np.inf)].ravel())
+    for a in range(0, 90, 15):
+        block.meet(pa.array(range(a, a + 15)), np.c_[x, core, c][a : a + 15].ravel())
+    got = {r["c"]: (r["w"], min(r["a"], r["b"]), max(r["a"], r["b"])) for batch in block.hits(None) for r in batch.to_pylist()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    w = density._weight(np.maximum(np.maximum(d, core[:, None]), core[None]))
+    for k in range(4):
+        assert got[k] == min((w[i, j], min(i, j), max(i, j)) for i in range(90) for j in range(90) if c[i] == k != c[j])

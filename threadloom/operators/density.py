@@ -27,9 +27,12 @@ from .nearest import (
     BLOCK_ROWS,
     MAX_PIVOTS,
     STEP,
+    _Block,
+    _grouped,
     _nearest_pivot,
     _pivots,
     _plain,
+    _sweep,
     exact_distances,
     fast_distances,
     knn,
@@ -205,63 +208,75 @@ def _nearest_outside(unsure: DataFrame, placed: DataFrame, comp: DataFrame, pivo
     for r in stats:
         radius[r["cell"]], lo[r["cell"]], hi[r["cell"]], size[r["cell"]] = r["radius"], r["lo"], r["hi"], r["n"]
 
-    @F.pandas_udf("array<int>")
-    def route(vec: pd.Series, bound: pd.Series, mine: pd.Series) -> pd.Series:
-        out = []
-        x = prepare(stack(vec), metric)
-        for at in range(0, len(x), STEP):
-            d = _plain(fast_distances(x[at : at + STEP], pivots, metric), metric)
-            limit = bound.to_numpy()[at : at + STEP, None]
-            inside = (lo == hi)[None, :] & (lo[None, :] == mine.to_numpy()[at : at + STEP, None])
-            near = (d - radius[None, :]) <= limit * (1 + 1e-6) + 1e-5
-            out += [np.nonzero(row)[0].astype("int32") for row in near & ~inside & (size > 0)[None, :]]
-        return pd.Series(out)
-
-    q = cut(
-        unsure.join(placed.select("v", "vec"), "v")
-        .withColumn("cell", F.explode(route("vec", "bound", "c")))
-        .select("cell", "v", "c", "core", "vec")
+    def route(asked: pd.Series) -> pd.Series:
+        rows = stack(asked)
+        x, limit, mine = prepare(rows[:, :-3], metric), rows[:, -1:], rows[:, -2:-1]
+        d = _plain(fast_distances(x, pivots, metric), metric)
+        inside = (lo == hi)[None, :] & (lo[None, :] == mine)
+        near = (d - radius[None, :]) <= limit * (1 + 1e-6) + 1e-5
+        return pd.Series([np.nonzero(row)[0].astype("int32") for row in near & ~inside & (size > 0)[None, :]])
+
+    # core, component and bound travel behind the components of a vector; numbers of points are exact in doubles
+    asked = unsure.join(placed.select("v", "vec"), "v").select(
+        F.col("v").alias("query_id"), F.expr("concat(vec, array(core, double(c), bound))").alias("query_vec")
     )
-    grid = q.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("qn")).join(
-        s.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("sn")), "cell"
-    )
-    zero = F.lit(0).cast("long")
-    left = q.join(grid, "cell").select(
-        "cell", F.pmod(F.xxhash64("v"), "qn").alias("qb"), F.explode(F.sequence(zero, F.col("sn") - 1)).alias("sb"), "v", "c", "core", "vec"
-    )
-    right = s.join(grid, "cell").select(
-        F.col("cell").alias("cell_"), F.explode(F.sequence(zero, F.col("qn") - 1)).alias("qb_"), F.pmod(F.xxhash64("v"), "sn").alias("sb_"),
-        F.col("v").alias("v_"), F.col("comp").alias("c_"), F.col("core").alias("core_"), F.col("vec").alias("vec_"),
-    )
-    schema = "c long, a long, b long, w double"
-
-    def meet(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        out = {"c": [], "a": [], "b": [], "w": []}
-        if lt.num_rows and rt.num_rows:
-            x, y = prepare(stack(lt.column("vec")), metric), prepare(stack(rt.column("vec_")), metric)
-            qv, qc, qcore = (lt.column(n).to_numpy() for n in ("v", "c", "core"))
-            sv, sc, score = (rt.column(n).to_numpy() for n in ("v_", "c_", "core_"))
-            for at in range(0, len(x), STEP):
-                d = _plain(fast_distances(x[at : at + STEP], y, metric), metric)
-                m = np.maximum(np.maximum(d, qcore[at : at + STEP, None]), score[None, :])
-                m[qc[at : at + STEP, None] == sc[None, :]] = np.inf
-                least = m.min(axis=1)
-                rows, cols = np.nonzero((m <= least[:, None] * (1 + 1e-6) + 1e-5) & np.isfinite(m))
-                if not len(rows):
-                    continue
-                exact = exact_distances(x[at + rows], y[cols], metric)
-                w = _weight(np.maximum(np.maximum(exact, qcore[at + rows]), score[cols]))
-                a, b = qv[at + rows], sv[cols]
-                order = np.lexsort((np.maximum(a, b), np.minimum(a, b), w, rows))
-                first = order[np.r_[True, np.diff(rows[order]) > 0]]
-                out["c"].append(qc[at + rows[first]])
-                out["a"].append(a[first])
-                out["b"].append(b[first])
-                out["w"].append(w[first])
-        flat = {n: np.concatenate(v) if v else np.zeros(0, dtype="float64" if n == "w" else "int64") for n, v in out.items()}
-        return pa.table({n: pa.array(v, pa.float64() if n == "w" else pa.int64()) for n, v in flat.items()})
-
-    return left.groupBy("cell", "qb", "sb").cogroup(right.groupBy("cell_", "qb_", "sb_")).applyInArrow(meet, schema)
+    others = s.select(F.col("v").alias("vector_id"), F.expr("concat(vec, array(core, double(comp)))").alias("vector"), "cell")
+    asked, wanted = _grouped(asked, pivots, metric, route, extra=3)
+    return _sweep(asked, others, wanted, 1, metric, block_rows, found=("c long, a long, b long, w double", _Outside))
+
+
+class _Outside(_Block):
+    """For each component of a block's points the least edge to a point of another one."""
+
+    def start(self) -> None:
+        rows = np.concatenate(self.x)
+        self.q, self.x = prepare(rows[:, :-3], self.metric), None
+        self.v = pa.concat_arrays(self.names).to_numpy()
+        self.core, self.c, self.least = rows[:, -3], rows[:, -2].astype(np.int64), rows[:, -1].copy()
+        self.found = []
+
+    def step(self) -> None:
+        if self.q is None:
+            self.start()
+        v, rows = pa.concat_arrays(self.ids).to_numpy(), np.concatenate(self.rows)
+        self.ids, self.rows, self.held = [], [], 0
+        y, core, comp = prepare(rows[:, :-2], self.metric), rows[:, -2], rows[:, -1].astype(np.int64)
+        step = STEP if self.metric != "manhattan" else max(1, 2**22 // max(1, y.size))
+        for at in range(0, len(self.q), step):
+            part = slice(at, at + step)
+            d = fast_distances(self.q[part], y, self.metric)
+            limit = np.minimum(self.least[part], 1e150) * (1 + 1e-6) + 1e-5
+            i, j = np.nonzero(d <= (limit if self.metric == "manhattan" else limit * limit * (1 + 1e-9))[:, None])
+            other = self.c[at + i] != comp[j]
+            i, j = i[other], j[other]
+            for a in range(0, len(i), 65536):
+                r, c = at + i[a : a + 65536], j[a : a + 65536]
+                w = _weight(np.maximum(np.maximum(exact_distances(self.q[r], y[c], self.metric), self.core[r]), core[c]))
+                keep = w <= self.least[r]
+                self._keep(self.c[r][keep], self.v[r][keep], v[c[keep]], w[keep])
+                np.minimum.at(self.least, r, w)
+        self._first()
+
+    def _keep(self, c, a, b, w) -> None:
+        if len(c):
+            order = np.lexsort((np.maximum(a, b), np.minimum(a, b), w, c))
+            first = order[np.r_[True, np.diff(c[order]) > 0]]
+            self.found.append((c[first], a[first], b[first], w[first]))
+
+    def _first(self) -> None:
+        if len(self.found) > 1:
+            parts, self.found = [np.concatenate(x) for x in zip(*self.found)], []
+            self._keep(*parts)
+        if self.found:  # the least edge of a component bounds all its points
+            c, _, _, w = self.found[0]
+            at = np.minimum(np.searchsorted(c, self.c), len(c) - 1)
+            self.least = np.where(c[at] == self.c, np.minimum(self.least, w[at]), self.least)
+
+    def hits(self, fields):
+        if self.held:
+            self.step()
+        for c, a, b, w in self.found if self.q is not None else []:
+            yield pa.record_batch([pa.array(x) for x in (c, a, b, w)], names=["c", "a", "b", "w"])
 
 
 # --- dendrogram --------------------------------------------------------------------
