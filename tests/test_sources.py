@@ -198,3 +198,18 @@ def test_sample_chunks(spark):
     assert len(one) == 20 and {t for t, _, _ in one} == {0, 1, 2, 3} and all(int(c) % 4 == t for t, _, c in one)
     assert one == pick(df.repartition(7), 1) and one != pick(df, 2)
     assert len(sample_chunks(df).first().block) == len("Chunk 1:\n") + 203
+
+
+def test_long_texts_go_to_the_splitter_in_small_batches(spark):
+    """Ten thousand long texts were one batch of a worker."""
+    from threadloom.operators import render
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        rows = spark.createDataFrame([("1_1", "x" * 5000)], "msg_id string, text string").withColumns({"ts": F.expr("timestamp_ntz'2024-01-01 00:00:07'"), "from_id": F.lit("U")})
+        assert render.split_parts(rows).count() == 2
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, old)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions.text import escape_html, render_head, render_html, render_msg_id
+from ..llm.blocks import small_batches
 
 _PART_OPEN, _PART_CLOSE = "<code>part: ", "</code>\n"
 
@@ -35,7 +36,9 @@ def cut_text(text: str, room: int) -> list[str]:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for text, room in parts:
-        yield pd.Series([cut_text(t, int(r)) for t, r in zip(text, room)])
+        out = pd.Series([cut_text(t, int(r)) for t, r in zip(text, room)])
+        del text, room  # not held beside the pieces while these are written
+        yield out
 
 
 def iso(ts):
@@ -48,8 +51,10 @@ def iso(ts):
 def split_parts(messages: DataFrame, max_len: int = fixed.MAX_PART_CHARS, sender_id: str | None = None) -> DataFrame:
     """``(msg_id, render_id, date, sender, part, content)``; ``part`` is null for whole messages.
 
-    Messages that fit never leave the JVM; only longer ones go through the splitter.
+    Messages that fit never leave the JVM; only longer ones go through the splitter, in batches
+    that a few long texts do not make large.
     """
+    small_batches(messages.sparkSession)
     date = iso(F.col("ts"))
     sender = F.coalesce("from_id", F.lit(fixed.UNKNOWN_SENDER))
     text = F.coalesce("text", F.lit(""))
