@@ -49,6 +49,29 @@ def test_dump_round_trip(spark, tmp_path):
     assert [(r.msg_id, r.text) for r in back] == [("-100_1", "x"), ("-100_2", "y\nz"), ("7_1", "w")]
 
 
+def test_stream_batches_follow_messages(spark, tmp_path, monkeypatch):
+    """450 chats of one message are no reason for three batches of 200 files."""
+    from threadloom.plans import archive_queries
+
+    spark.range(450).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "concat('t', id) AS text").write.parquet(
+        str(tmp_path / "conversations.parquet")
+    )
+    monkeypatch.setattr(archive_queries, "scratch", lambda spark, what: str(tmp_path / what))
+    rows = archive_queries.stream_ingest(spark, str(tmp_path)).collect()
+    assert sorted((r.msg_id, r.text) for r in rows) == sorted((f"{i}_0", f"t{i}") for i in range(450))
+    assert len(list((tmp_path / "ingest" / "messages").glob("batch=*"))) == 1
+
+
+def test_packed_dump_cuts_large_chats(spark, tmp_path):
+    df = spark.range(100).selectExpr("if(id < 90, -7L, id) AS chat_id", "cast(id AS string) AS id", "'2024-01-01T00:00:00' AS date", "'A' AS sender", "if(id = 3, null, 'x') AS content")
+    dumps.write_dump_packed(df, str(tmp_path / "d"), 20)
+    assert max(len(f.read_text().splitlines()) for f in (tmp_path / "d").glob("*.json")) == 20
+    back = dumps.to_messages(dumps.read_written_dump(spark, str(tmp_path / "d"))).collect()
+    assert sorted((r.chat_id, r.msg_id, r.text) for r in back) == sorted(
+        (str(c), f"{c}_{i}", "" if i == 3 else "x") for i in range(100) for c in [-7 if i < 90 else i]
+    )
+
+
 def test_vector_file(spark, tmp_path):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.5])], "chunk_id string, embedding array<float>")
     dumps.write_vectors(df, str(tmp_path / "v"))

@@ -11,6 +11,9 @@ from ..functions.text import compose_id, strip
 from ..schemas import VECTOR_FILE
 from . import arrays
 
+#: Messages in a file of many chats, at most.
+FILE_ROWS = 4096
+
 
 def chat_id_of(file_name: Column) -> Column:
     found = F.regexp_extract(file_name, fixed.DUMP_NAME_PATTERN, 1)
@@ -120,6 +123,16 @@ def write_dump(dump: DataFrame, path: str) -> None:
     )
 
 
+def write_dump_packed(dump: DataFrame, path: str, rows: int = FILE_ROWS) -> None:
+    """Dump rows as JSON lines that name their chat in ``dump``, at most ``rows`` a file.
+
+    Small chats share a file and a large one fills several, so the number of files follows the messages, not the chats.
+    """
+    named = dump.withColumn("dump", F.concat(F.lit(fixed.DUMP_NAME_PREFIX), F.col("chat_id").cast("string"))).drop("chat_id")
+    keys = ["dump", "date", "id"]
+    named.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("maxRecordsPerFile", rows).json(path)
+
+
 def write_dump_arrays(dump: DataFrame, path: str) -> None:
     """Dump rows as JSON arrays, one or more files in a folder for each chat, every file one array."""
     named = dump.withColumn("dump", F.concat(F.lit(fixed.DUMP_NAME_PREFIX), F.col("chat_id").cast("string")))
@@ -151,7 +164,7 @@ def write_dump_arrays(dump: DataFrame, path: str) -> None:
 
 
 def read_written_dump(spark: SparkSession, path: str) -> DataFrame:
-    """What ``write_dump`` wrote, in the shape ``to_messages`` takes."""
+    """What ``write_dump`` or ``write_dump_packed`` wrote, in the shape ``to_messages`` takes."""
     rows = spark.read.schema("id string, date string, sender string, content string, dump string").json(path)
     return rows.select(
         "id", F.col("date").cast("timestamp_ntz").alias("ts"), F.coalesce("sender", F.lit(fixed.UNKNOWN_SENDER)).alias("sender"),

@@ -32,7 +32,7 @@ def read_dump_stream(spark: SparkSession, path: str, files_per_trigger: int = 1)
 
 
 def read_written_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """New files of what ``write_dump`` writes, as messages."""
+    """New files of what ``write_dump`` or ``write_dump_packed`` writes, as messages."""
     raw = spark.readStream.schema(_LINE + ", dump string").option("maxFilesPerTrigger", files_per_trigger).json(path)
     return to_messages(
         raw.select(
