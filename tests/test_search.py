@@ -98,6 +98,21 @@ def test_a_query_returns_k_rows_whatever_the_blocks(spark):
     assert nearest._cells(q, s, 3, "sq_l2", 8, 512).count() == 900
 
 
+def test_topic_limited_search_returns_k_rows_whatever_the_blocks(spark, monkeypatch):
+    """A cell's queries go to blocks of a bounded number, and come back once with k rows."""
+    x = np.random.default_rng(8).normal(size=(300, 16))
+    q = frame(spark, x, "query_id long, query_vec array<double>").selectExpr("*", "4L AS cell")
+    s = frame(spark, x, "vector_id long, vector array<double>").selectExpr("*", "4L AS cell")
+    asked = []
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 32, raising=False)
+    sweep = getattr(nearest, "_sweep", None)
+    if sweep:
+        monkeypatch.setattr(nearest, "_sweep", lambda rows, *rest: asked.append(rows) or sweep(rows, *rest))
+    assert nearest._limited(q, s, 3, "sq_l2", 8).count() == 900
+    blocks = asked[0].groupBy("group", "qb").count().collect()
+    assert sum(r["count"] for r in blocks) == 300 and len(blocks) > 5 and max(r["count"] for r in blocks) < 64
+
+
 @pytest.mark.parametrize("metric", nearest.METRICS)
 def test_many_blocks_with_copies_and_odd_rows(spark, metric, monkeypatch):
     """Blocks of a few queries, tiles of a few vectors: the same rows as all distances."""
