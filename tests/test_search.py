@@ -113,6 +113,21 @@ def test_topic_limited_search_returns_k_rows_whatever_the_blocks(spark, monkeypa
     assert sum(r["count"] for r in blocks) == 300 and len(blocks) > 5 and max(r["count"] for r in blocks) < 64
 
 
+@pytest.mark.parametrize("k, most", [(3, 5), (60, 13)])
+def test_blocks_are_wide_where_few_rows_a_query_are_kept(spark, monkeypatch, k, most):
+    """Vectors are written once a block; blocks of 32 queries each wrote them ten times for any k."""
+    x = np.random.default_rng(9).normal(size=(300, 16))
+    q = frame(spark, x, "query_id long, query_vec array<double>")
+    s = frame(spark, x, "vector_id long, vector array<double>")
+    asked, sweep = [], nearest._sweep
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 32)
+    monkeypatch.setattr(nearest, "_sweep", lambda rows, *rest: asked.append(rows) or sweep(rows, *rest))
+    got = nearest._cells(q, s, k, "sq_l2", 8, 512).collect()
+    assert sorted((r.query_id, r.vector_id) for r in got) == sorted((i, j) for i, j, _ in brute(x, x, k, "sq_l2"))
+    blocks = asked[0].groupBy("group", "qb").count().count()
+    assert blocks <= most and (k == 3 or blocks > 5)
+
+
 @pytest.mark.parametrize("metric", nearest.METRICS)
 def test_many_blocks_with_copies_and_odd_rows(spark, metric, monkeypatch):
     """Blocks of a few queries, tiles of a few vectors: the same rows as all distances."""
