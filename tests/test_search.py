@@ -173,6 +173,34 @@ def test_running_top_k_of_near_equal_distances(metric, scale):
         assert got[i] == np.lexsort((np.arange(400), d))[:5].tolist()
 
 
+def test_a_block_sorts_a_group_of_queries_at_a_time():
+    """What a block takes besides its k rows a query was several times those rows: all were sorted at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pick = np.random.default_rng(10)
+    q, s = pick.normal(size=(8192, 4)), pick.normal(size=(6000, 4))
+    s[3000:3600] = s[0]  # many equal distances
+    block = nearest._Block(50, "sq_l2", 2048)
+    block.ask(pa.array(range(8192)), q.ravel())
+    tracemalloc.start()
+    for a in range(0, 6000, 100):
+        block.meet(pa.array(range(a, a + 100)), s[a : a + 100].ravel())
+    got = {}
+    for batch in block.hits(["q", "v", "d"]):
+        for row, v in zip(batch[0].to_numpy(), batch[1].to_numpy()):
+            if row % 512 == 1:
+                got.setdefault(int(row), []).append(int(v))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 16
+    for i, found in got.items():
+        d = nearest.exact_distances(np.repeat(q[i : i + 1], 6000, axis=0), s, "sq_l2")
+        assert found == np.lexsort((np.arange(6000), d))[:50].tolist()
+    assert peak < 3 * 8192 * 50 * 24
+
+
 def test_find_totals_of_late_minutes_and_long_texts(spark):
     """As many parts, characters and chunks as ``find`` gives, also after minute 35 of an hour."""
     from pyspark.sql import functions as F
